@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, simhash
+from . import lang_id, lm_score, packing, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,22 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+def _split(modulus: int):
+    """Whether the remainder of the id's CRC32 is the held-out one, 2."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == 2
+
+
+@query
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), _split(7), order=5).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lang_id.identify(table(spark, sf_dir, "documents"), _split(4), order=3)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), out_col="secret_spans").select("doc_id", "secret_spans")
