@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, lm_score, packing, secrets, simhash
+from . import imatch, lang_id, lm_score, packing, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,12 @@ def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: imatch.as_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")}).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), out_col="secret_spans").select("doc_id", "secret_spans")
