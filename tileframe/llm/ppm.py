@@ -16,16 +16,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 START, END = 0xFE, 0xFF
 #: Symbols there are: all bytes but START.
 SYMBOLS = 255
-#: Places worked on at once.
-CHUNK = 1 << 21
+#: Bytes of texts and places worked on at once; a longer text is taken by itself.
+TEXTS, CHUNK = 1 << 22, 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def portions(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in portions of about TEXTS bytes, each with the place of its first."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    cuts = np.flatnonzero(np.diff(ends // TEXTS)) + 1 if len(ends) else []
+    for at, stop in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+        yield int(at), texts.slice(at, stop - at)
+
+
 def padded(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts one after another, each behind ``order`` START symbols and before END, and the text of each place."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -62,7 +71,7 @@ class Counter:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((keys, counts))
         self.size += len(keys)
-        if self.size > 4_000_000:
+        if self.size > 2_000_000:
             self.parts = [self.merged()]
             self.size = 0
 
@@ -142,20 +151,23 @@ class Model:
 
 
 def count_batch(texts: pa.Array, order: int, counter: Counter) -> None:
-    for g, _ in grams(*padded(texts, order), order):
-        counter.add(*(x.astype(t) for x, t in zip(np.unique(g, return_counts=True), (np.uint64, np.int64), strict=True)))
+    for _, part in portions(texts):
+        for g, _ in grams(*padded(part, order), order):
+            keys, counts = np.unique(g, return_counts=True)
+            counter.add(keys, counts.astype(np.int64))
 
 
 def score_batch(texts: pa.Array, order: int, models: list[Model], shard: tuple[int, int] = (0, 1)) -> np.ndarray:
     """log10 probabilities of each text under each model; with a shard, only of places whose context of two bytes it holds."""
     out = np.zeros((len(models), len(texts)))
-    for g, of in grams(*padded(texts, order), order):
-        if shard[1] > 1:
-            own = shard_of(g, shard[1]) == shard[0]
-            g, of = g[own], of[own]
-        distinct, inverse = np.unique(g, return_inverse=True)
-        for m, model in enumerate(models):
-            out[m] += np.bincount(of, model.log10(distinct)[inverse], len(texts))
+    for at, part in portions(texts):
+        for g, of in grams(*padded(part, order), order):
+            if shard[1] > 1:
+                own = shard_of(g, shard[1]) == shard[0]
+                g, of = g[own], of[own]
+            distinct, inverse = np.unique(g, return_inverse=True)
+            for m, model in enumerate(models):
+                out[m, at : at + len(part)] += np.bincount(of, model.log10(distinct)[inverse], len(part))
     return out
 
 
