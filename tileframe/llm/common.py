@@ -32,4 +32,4 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Words of a text as an array; none for a null or blank text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, lang_id, lm_score, packing, secrets, simhash
+from . import imatch, lang_id, lm_score, packing, quality_rules, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    found = quality_rules.judged(docs).withColumn("base_failed", failed)
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return found.select("doc_id", *base, (~F.col("base_failed") & F.col("good")).alias("kept"), "p_good")
+
+
 def _split(modulus: int):
     """Whether the remainder of the id's CRC32 is the held-out one, 2."""
     return F.crc32(F.col("doc_id").cast("string")) % modulus == 2
