@@ -38,8 +38,8 @@ def plain(rows, band):
 
     def fp(text):
         own, out = [t for t in terms(text) if t in lexicon], []
-        for s, of in enumerate(imatch.SUBSETS):
-            kept = [t for t in own if xxh64_intdigest(struct.pack("<i", s), hash_long(t)) >> (65 - of.bit_length()) == 0]
+        for place, of, s in imatch.SUBSETS:
+            kept = [t for t in own if (t >> place) % of == s]
             out.append(hash_all(kept) if kept else 0)
         return out if any(out) else [hash_all(terms(text))] * len(out)
 
@@ -69,7 +69,7 @@ def test_whole_table(documents, parts):
 
 @pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_odd_rows(odd_docs, monkeypatch, limit):
-    monkeypatch.setattr(imatch, "BROADCAST_TERMS", limit)
+    monkeypatch.setattr(imatch, "SENT_TERMS", limit)
     rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
     assert got(odd_docs, (0.5, 7.0), 3) == plain(rows, (0.5, 7.0))
 

@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, words_of
 
-#: Random subsets of the lexicon: each has one term in so many.
-SUBSETS = [4] * 4 + [64] * 10 + [256] * 10
+#: Random subsets of the lexicon, each of one term in so many: (place of the hash bits that are compared, one in, number of the subset).
+SUBSETS = [(0, 4, s) for s in range(4)] + [(8, 64, s) for s in range(10)] + [(16, 256, s) for s in range(10)]
 #: Band of idf = ln(documents / documents with the term).
 IDF_BAND = (3.0, 7.0)
-#: Lexicons of more terms are joined by a shuffle instead of being broadcast.
-BROADCAST_TERMS = 1_000_000
+#: Lexicons of more terms are joined by a shuffle instead of being sent along.
+SENT_TERMS, SENT_SLOTS = 100_000, 1 << 14
 
 
 def term_hashes(text: Column) -> Column:
@@ -80,16 +80,45 @@ def with_next(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str
     )
 
 
-def _subset_hashes(terms: Column, whole: Column) -> Column:
-    """The hash of each subset's share of sorted terms; that of all of the document's terms where no subset has one."""
+def _subset_hashes(terms: Column) -> Column:
+    """The hash of each subset's share of sorted terms; 0 where it has none."""
 
-    def one(s: int, of: int) -> Column:
-        mixed = lambda t: F.shiftrightunsigned(F.xxhash64(t, F.lit(s)), 65 - of.bit_length())
-        kept = F.filter(terms, lambda t: mixed(t) == 0)
+    def one(place: int, of: int, s: int) -> Column:
+        kept = F.filter(terms, lambda t: F.shiftrightunsigned(t, place).bitwiseAND(F.lit(of - 1)) == s)
         return F.when(F.size(kept) > 0, F.xxhash64(kept)).otherwise(F.lit(0).cast("long"))
 
-    hashes = F.array(*[one(s, of) for s, of in enumerate(SUBSETS)])
-    return F.when(F.exists(hashes, lambda h: h != 0), hashes).otherwise(F.array_repeat(whole, len(SUBSETS)))
+    return F.array(*[one(*subset) for subset in SUBSETS])
+
+
+def _filled(hashes: Column, terms: Column) -> Column:
+    """The hashes, or where none is set that of all terms instead of each."""
+    return F.when(F.exists(hashes, lambda h: h != 0), hashes).otherwise(F.array_repeat(F.xxhash64(terms), len(SUBSETS)))
+
+
+def _slots(terms: DataFrame) -> Column:
+    """A lexicon as one constant: its terms by slot, the remainder of a term by SENT_SLOTS."""
+    slots = terms.sparkSession.range(SENT_SLOTS).select(F.col("id").alias("slot"))
+    filled = slots.join(terms.withColumn("slot", F.pmod("term", F.lit(SENT_SLOTS))), "slot", "left")
+    filled = filled.groupBy("slot").agg(F.collect_list("term").alias("terms"))
+    told = filled.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("slot", "terms"))), lambda s: s["terms"])))
+    return F.from_json(F.lit(told.first()[0]), "array<array<long>>")
+
+
+def _listed_by_value(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` with lexicon_own and lexicon_other: terms of own and other that the lexicon has."""
+    slots = _slots(terms)
+    inside = lambda t: F.array_contains(F.get(slots, F.pmod(t, F.lit(SENT_SLOTS)).cast("int")), t)
+    return rows.withColumn("lexicon_own", F.filter("own", inside)).withColumn("lexicon_other", F.filter("other", inside))
+
+
+def _listed_by_join(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """The same for a lexicon of any size: terms meet it in a join and are gathered again by row."""
+    tagged = lambda name, v: F.transform(name, lambda t: F.struct(F.lit(v).alias("v"), t.alias("term")))
+    pairs = rows.select("part", "rank", F.inline(F.concat(tagged("own", 0), tagged("other", 1)))).join(terms, "term")
+    listed = lambda v: F.sort_array(F.collect_list(F.when(F.col("v") == v, F.col("term"))))
+    found = pairs.groupBy("part", "rank").agg(listed(0).alias("lexicon_own"), listed(1).alias("lexicon_other"))
+    none = F.array().cast("array<long>")
+    return rows.join(found, ["part", "rank"], "left").withColumns({c: F.coalesce(c, none) for c in ("lexicon_own", "lexicon_other")})
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,34 +141,23 @@ def fingerprints_with_edits(docs: DataFrame, band: tuple[float, float] = IDF_BAN
     ignored.
     """
     spark = docs.sparkSession
-    terms = checkpoint(lexicon(docs, band, text_col)).withColumn("listed", F.lit(True))
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
+    terms = checkpoint(lexicon(docs, band, text_col))
+    listed = _listed_by_value if terms.count() <= SENT_TERMS else _listed_by_join
     rows = with_next(docs, parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), id_col, text_col)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    rows = rows.select("part", "rank", "guest", "id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    rows = rows.select(
-        "part", "rank", "guest", "id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), term_hashes(F.col("text")).alias("own"), term_hashes(F.col("edited")).alias("other")
-    )
-    both = F.concat(F.transform("own", lambda t: F.struct(F.lit(0).alias("v"), t.alias("term"))), F.transform("other", lambda t: F.struct(F.lit(1).alias("v"), t.alias("term"))))
-    rows = rows.select(
-        "part", "rank", "guest", "id", "n_chars", "sha", F.xxhash64("own").alias("whole"), F.xxhash64("other").alias("edited_whole"), F.inline_outer(both)
-    )
-    rows = rows.join(terms, "term", "left")
-    listed = lambda v: F.sort_array(F.collect_set(F.when(F.col("listed") & (F.col("v") == v), F.col("term"))))
-    kept = ("guest", "id", "n_chars", "sha", "whole", "edited_whole")
-    told = rows.groupBy("part", "rank").agg(*[F.first(c).alias(c) for c in kept], listed(0).alias("own"), listed(1).alias("other"))
-    told = told.select(
-        "part", "rank", "guest", "id", "n_chars", "sha", _subset_hashes(F.col("own"), F.col("whole")).alias("fp"), _subset_hashes(F.col("other"), F.col("edited_whole")).alias("edited_fp")
-    )
-    after = F.lead("fp").over(W.partitionBy("part").orderBy("rank"))
-    told = told.withColumn("next_fp", after).where("not guest")
-    return told.select(
+    kept = ("part", "rank", "guest", "id", "n_chars", "edited_sha256")
+    rows = rows.select(*kept[:4], n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    rows = rows.select(*kept[:5], F.sha2("edited", 256).alias("edited_sha256"), term_hashes(F.col("text")).alias("own"), term_hashes(F.col("edited")).alias("other"))
+    rows = listed(rows, terms)
+    rows = rows.withColumns({"fp": _subset_hashes(F.col("lexicon_own")), "edited_fp": _subset_hashes(F.col("lexicon_other"))})
+    rows = rows.select(*kept, _filled(F.col("fp"), F.col("own")).alias("fp"), _filled(F.col("edited_fp"), F.col("other")).alias("edited_fp"))
+    rows = rows.withColumn("next_fp", F.lead("fp").over(W.partitionBy("part").orderBy("rank"))).where("not guest")
+    return rows.select(
         "id",
         "n_chars",
-        F.lower(F.hex("sha")).alias("edited_sha256"),
+        "edited_sha256",
         F.col("fp").alias("fingerprint"),
         F.col("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
