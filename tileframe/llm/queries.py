@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, lang_id, lm_score, packing, quality_rules, secrets, simhash
+from . import imatch, importance, lang_id, line_dedup, lm_score, packing, quality_rules, secrets, simhash, spm
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hexed(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = line_dedup.drop_boilerplate(docs)
+    kept = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", "n_removed", F.char_length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op2_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+    FROM documents
+), marked AS (
+    SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]')
+        AND line IN (SELECT line FROM lines WHERE source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 10) AS gone
+    FROM lines
+), kept AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text
+    FROM marked GROUP BY doc_id
+)
+SELECT doc_id, n_removed, CAST(length(text) AS BIGINT) AS kept_chars, sha256(text) AS kept_sha256 FROM kept
+"""
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -58,12 +82,39 @@ def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def good_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, good_ids(spark, sf_dir), keep_text=False)
+
+
 @query
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = imatch.fingerprints_with_edits(table(spark, sf_dir, "documents"))
     return found.withColumns({c: imatch.as_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")}).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spm.decode(spm.encode(docs, path), path)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.crc32(F.array_join("ids", ",")).alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), out_col="secret_spans").select("doc_id", "secret_spans")
