@@ -33,18 +33,17 @@ def luma(c: Column) -> Column:
 
 
 def reduce(c: Column, m: Mode) -> Column:
-    """A colour at the depth that the mode has."""
-    kept = gated(c)
+    """A colour at the depth that the mode has; one of alpha below 128 counts as transparent, or as black where the mode has no such colour."""
     if m.reduce == "grey4":
-        y = luma(kept)
-        level = F.when(y <= 0x40, 0).when(y <= 0x80, 1).when(y <= 0xC0, 2).otherwise(3)
-        return joined(level, level, level)
-    if m.reduce == "grey8":
-        level = F.shiftright(luma(kept), 5)
-        return joined(level, level, level)
-    bits = int(m.reduce)
-    out = joined(*(F.shiftright(channel(kept, k), 8 - bits) for k in range(3)))
-    return F.when(kept == TRANSPARENT, F.lit(TRANSPARENT).cast("long")).otherwise(out) if m.gated else out
+        y = luma(c)
+        out = F.when(y <= 0x40, 0).when(y <= 0x80, 1).when(y <= 0xC0, 2).otherwise(3) * F.lit(0x010101).cast("long") + OPAQUE
+    elif m.reduce == "grey8":
+        out = F.shiftright(luma(c), 5) * F.lit(0x010101).cast("long") + OPAQUE
+    else:
+        cut = 8 - int(m.reduce)
+        part = lambda k: F.shiftleft(F.shiftrightunsigned(c, 8 * k + cut).bitwiseAND(F.lit((1 << 8 - cut) - 1)), 8 * k)
+        out = part(0) + part(1) + part(2) + OPAQUE
+    return F.when(c.bitwiseAND(F.lit(1 << 31)) == 0, F.lit(TRANSPARENT if m.gated else OPAQUE).cast("long")).otherwise(out)
 
 
 def _replicated(value: Column, bits: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import pack_entry
 from ..plans.modes import Mode
-from .palettes import _holds, color_set, remap
+from .palettes import _holds, color_set, reduced, remap
 from .tiles import canonical, mirrored
 
 
@@ -19,8 +19,8 @@ def build(tiles: DataFrame, palettes: DataFrame, tileset: DataFrame, m: Mode, fl
     tile. Tiles that aren't found, and indices that the mode has no room for, become entry 0.
     """
     rows = tiles.join(palettes, "image_id").withColumn("colors", color_set(F.col("rgba"), m))
-    rows = rows.select("image_id", "seq", "rgba", "colors", F.posexplode_outer("palettes").alias("palette", "p"))
-    probes = rows.where(_holds(F.col("p"), F.col("colors"))).withColumn("probe", remap(F.col("rgba"), F.col("p"), m))
+    rows = rows.select("image_id", "seq", reduced(F.col("rgba"), m).alias("reduced"), "colors", F.posexplode_outer("palettes").alias("palette", "p"))
+    probes = rows.where(_holds(F.col("p"), F.col("colors"))).withColumn("probe", remap(F.col("reduced"), F.col("p")))
     probes = probes.select("image_id", "seq", "palette", "probe", canonical(F.col("probe"), flip=flip).alias("canon"))
     hits = probes.join(tileset.select("image_id", "canon", "tile", "data"), ["image_id", "canon"])
     best = hits.groupBy("image_id", "seq").agg(F.min(F.struct("palette", "tile", "probe", "data")).alias("b")).select("image_id", "seq", "b.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import normalize, reduce, sort_key
+from ..functions.color import reduce, sort_key
 from ..plans.modes import TRANSPARENT, Mode
 
 
@@ -115,13 +115,14 @@ def all_matches(sets: DataFrame, palettes: DataFrame) -> DataFrame:
     return rows.where(_holds(F.col("p"), F.col("colors"))).select("image_id", "seq", "palette")
 
 
-def remap(rgba: Column, palette: Column, m: Mode) -> Column:
-    """Colour indices of pixels: the first colour of the palette that is equal once normalized; 0 for transparent ones, null where none is."""
-    known = F.transform(palette, lambda c: normalize(c, m))
+def reduced(rgba: Column, m: Mode) -> Column:
+    return F.transform(rgba, lambda c: reduce(c, m))
 
-    def one(c: Column) -> Column:
-        reduced = reduce(c, m)
-        at = F.array_position(known, normalize(reduced, m))
-        return F.when(reduced == TRANSPARENT, F.lit(0)).when(at > 0, at - 1).cast("int")
 
-    return F.transform(rgba, one)
+def remap(colors: Column, palette: Column) -> Column:
+    """Indices of reduced colours: the first equal one of the palette, 0 for transparent ones, null where there is none.
+
+    Colours are equal if they are once normalized, which for reduced ones comes to the same.
+    """
+    at = lambda c: F.nullif(F.array_position(palette, c), F.lit(0)) - 1
+    return F.transform(colors, lambda c: F.when(c == TRANSPARENT, F.lit(0)).otherwise(at(c)).cast("int"))

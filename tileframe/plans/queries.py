@@ -366,7 +366,8 @@ ts AS (SELECT image_id, canon, min(seq) AS seq, arg_min(data, seq) AS first, cou
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_tiles(spark, sf_dir).join(_sorted_palette(spark, sf_dir), "image_id")
-    return rows.select("image_id", "seq", palettes.remap(F.col("rgba"), F.get("palettes", F.lit(0)), SNES).alias("data"))
+    rows = rows.select("image_id", "seq", palettes.reduced(F.col("rgba"), SNES).alias("reduced"), F.get("palettes", F.lit(0)).alias("palette"))
+    return rows.select("image_id", "seq", palettes.remap(F.col("reduced"), F.col("palette")).alias("data"))
 
 
 @query("remap_indices", f"WITH {PIXELS_SQL}, {_INDEX_SQL} SELECT image_id, CAST(seq AS INT) AS seq, array_to_string(data, ',') AS indices FROM di")

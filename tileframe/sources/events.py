@@ -23,14 +23,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pixel(p: Column) -> Column:
-    px, py = p % SIDE, F.floor(p / SIDE).cast("int")
+def _index(p: Column) -> Column:
+    px, py = p % SIDE, F.shiftright(p, 3)
     sx, sy = F.when(F.col("fh") == 1, 7 - px).otherwise(px), F.when(F.col("fv") == 1, 7 - py).otherwise(py)
-    m = (sx * (F.col("k") + 3) + sy * sy * (F.col("k") + 1) + sx * sy) % 7
-    ix = F.when(m < 4, m).otherwise(0)
+    return (sx * (F.col("k") + 3) + sy * sy * (F.col("k") + 1) + sx * sy) % 7
+
+
+def _pixel(m: Column) -> Column:
     g = F.col("g")
-    rgb = (g * 48 + ix * 16) % 256 + 256 * ((g * 24 + ix * 64) % 256) + 65536 * ((200 - g * 32 - ix * 8) % 256)
-    return F.when(ix == 0, F.lit(GREY)).otherwise(rgb.cast("long") + 0xFF000000)
+    rgb = (g * 48 + m * 16) % 256 + 256 * ((g * 24 + m * 64) % 256) + 65536 * ((200 - g * 32 - m * 8) % 256)
+    return F.when((m == 0) | (m > 3), F.lit(GREY)).otherwise(rgb.cast("long") + 0xFF000000)
 
 
 def event_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def event_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
     # one file is one task; tiles are dealt out before the work on their pixels
     rows = rows.repartition("image_id", "seq")
-    rgba = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), _pixel)
+    rgba = F.transform(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), _index), _pixel)
     return rows.select("image_id", "seq", (F.col("seq") % COLUMNS).alias("tx"), F.expr(f"seq div {COLUMNS}").cast("int").alias("ty"), rgba.alias("rgba"))
 
 
