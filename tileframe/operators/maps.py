@@ -12,7 +12,7 @@ from .palettes import _holds, color_set, reduced, remap
 from .tiles import canonical, mirrored
 
 
-def build(tiles: DataFrame, palettes: DataFrame, tileset: DataFrame, m: Mode, flip: bool = True) -> DataFrame:
+def build(tiles: DataFrame, palettes: DataFrame, tileset: DataFrame, m: Mode, flip: bool = True, width: int = 8, height: int = 8) -> DataFrame:
     """(image_id, seq, tile, palette, flip_h, flip_v, matched) for tiles (image_id, seq, rgba).
 
     The first subpalette whose indices give a tile of the tileset decides, then the first such
@@ -21,12 +21,12 @@ def build(tiles: DataFrame, palettes: DataFrame, tileset: DataFrame, m: Mode, fl
     rows = tiles.join(palettes, "image_id").withColumn("colors", color_set(F.col("rgba"), m))
     rows = rows.select("image_id", "seq", reduced(F.col("rgba"), m).alias("reduced"), "colors", F.posexplode_outer("palettes").alias("palette", "p"))
     probes = rows.where(_holds(F.col("p"), F.col("colors"))).withColumn("probe", remap(F.col("reduced"), F.col("p")))
-    probes = probes.select("image_id", "seq", "palette", "probe", canonical(F.col("probe"), flip=flip).alias("canon"))
+    probes = probes.select("image_id", "seq", "palette", "probe", canonical(F.col("probe"), width, height, flip).alias("canon"))
     hits = probes.join(tileset.select("image_id", "canon", "tile", "data"), ["image_id", "canon"])
     best = hits.groupBy("image_id", "seq").agg(F.min(F.struct("palette", "tile", "probe", "data")).alias("b")).select("image_id", "seq", "b.*")
     found = tiles.select("image_id", "seq").join(best, ["image_id", "seq"], "left")
     ok = F.col("tile").isNotNull() & ((F.col("tile") < m.max_tiles) if m.max_tiles else F.lit(True))
-    h, v = flips(F.col("probe"), F.col("data"))
+    h, v = flips(F.col("probe"), F.col("data"), width, height)
     pick = lambda value, other: F.when(ok, value).otherwise(F.lit(other))
     return found.select(
         "image_id", "seq", pick(F.col("tile"), 0).alias("tile"), pick(F.col("palette"), 0).alias("palette"), pick(h, False).alias("flip_h"), pick(v, False).alias("flip_v"), F.col("tile").isNotNull().alias("matched")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, color
-from ..operators import maps, palettes, tiles
+from ..operators import maps, outputs, palettes, tiles
 from ..sources.events import COLUMNS, GREY, event_pixels, event_tiles
 from .modes import MODES, mode
 
@@ -466,6 +466,78 @@ def mode7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("image_id", maps.interleaved(F.coalesce("hex", none), F.coalesce("tile_hex", none)).alias("hex"))
 
 
+_COLORS_OF_SQL = "pc AS (SELECT image_id, c, row_number() OVER (PARTITION BY image_id ORDER BY c) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM (SELECT DISTINCT image_id, c FROM rx))"
+_FULL_SQL = [f"((((c >> {8 * k}) & 255) * 8 | ((c >> {8 * k}) & 255) // 4) & 255)" for k in range(3)]
+
+
+@query("palette_native", f"WITH {PIXELS_SQL}, {_COLORS_OF_SQL} SELECT image_id, rpad(string_agg(printf('%02x%02x', w & 255, w >> 8), '' ORDER BY i), 64, '0') AS hex FROM (SELECT *, {_WORD_SQL['snes'].format(*_CH)} AS w FROM pc) GROUP BY image_id")
+def palette_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sorted_palette(spark, sf_dir).select("image_id", outputs.palette_native(F.col("palettes"), SNES).alias("hex"))
+
+
+@query("palette_act", f"WITH {PIXELS_SQL}, {_COLORS_OF_SQL} SELECT image_id, rpad(string_agg(printf('%02x%02x%02x', {', '.join(_FULL_SQL)}), '' ORDER BY i), 1536, '0') || '00' || printf('%02x', any_value(n)) || 'ffff' AS hex FROM pc GROUP BY image_id")
+def palette_act(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sorted_palette(spark, sf_dir).select("image_id", outputs.palette_act(F.col("palettes"), SNES).alias("hex"))
+
+
+@query(
+    "palette_json",
+    f"""WITH {PIXELS_SQL}, {_COLORS_OF_SQL} SELECT image_id, '{{"palettes":[[' || string_agg(printf('"#%02x%02x%02x"', {', '.join(_FULL_SQL)}), ',' ORDER BY i)
+    || ']],"palettes_native_rgb":[[' || string_agg(printf('[%d,%d,%d]', {', '.join(_CH)}), ',' ORDER BY i) || ']]}}' AS json FROM pc GROUP BY image_id""",
+)
+def palette_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sorted_palette(spark, sf_dir).select("image_id", outputs.palette_json(F.col("palettes"), SNES).alias("json"))
+
+
+@query(
+    "palette_pixels",
+    f"""WITH {PIXELS_SQL}, {_COLORS_OF_SQL}, im AS (SELECT DISTINCT image_id FROM pc)
+    SELECT im.image_id, CAST(x AS INT) AS x, 0 AS y, CASE WHEN c IS NULL THEN 0 ELSE 4278190080 + {_FULL_SQL[0]} + {_FULL_SQL[1]} * 256 + {_FULL_SQL[2]} * 65536 END AS rgba
+    FROM im CROSS JOIN range(16) r(x) LEFT JOIN pc ON pc.image_id = im.image_id AND pc.i = x""",
+)
+def palette_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outputs.palette_pixels(_sorted_palette(spark, sf_dir), SNES)
+
+
+_PLANES_SQL = "SELECT image_id, tile, pl // 2 * 16 + p // 8 * 2 + pl % 2 AS b, CAST(sum(((first[p + 1] >> pl) & 1) << (7 - p % 8)) AS BIGINT) AS v FROM ts, range(64) r(p), range(4) s(pl) GROUP BY ALL"
+
+
+@query("tileset_native", f"WITH {PIXELS_SQL}, {_INDEX_SQL}, {_FLIP_SQL} SELECT image_id, string_agg(printf('%02x', v), '' ORDER BY tile, b) AS hex FROM ({_PLANES_SQL}) GROUP BY image_id")
+def tileset_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outputs.tileset_native(tiles.dedupe(_indexed(spark, sf_dir)), SNES)
+
+
+@query("tileset_pixels", f"WITH {PIXELS_SQL}, {_INDEX_SQL}, {_FLIP_SQL} SELECT image_id, CAST(tile % 4 * 8 + p % 8 AS INT) AS x, CAST(tile // 4 * 8 + p // 8 AS INT) AS y, first[p + 1] AS idx FROM ts, range(64) r(p)")
+def tileset_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outputs.tileset_pixels(tiles.dedupe(_indexed(spark, sf_dir)), image_width=32)
+
+
+@query(
+    "metatiles",
+    f"""WITH {PIXELS_SQL}, {_INDEX_SQL}, {_FLIP_SQL}, mt AS (SELECT a.image_id, a.tile, p, CASE
+        WHEN p // 16 < 8 AND p % 16 < 8 THEN a.first[p // 16 * 8 + p % 16 + 1] WHEN p // 16 < 8 THEN b.first[p // 16 * 8 + p % 16 - 8 + 1]
+        WHEN p % 16 < 8 THEN c.first[(p // 16 - 8) * 8 + p % 16 + 1] ELSE d.first[(p // 16 - 8) * 8 + p % 16 - 8 + 1] END AS v
+    FROM ts a JOIN ts b ON b.image_id = a.image_id AND b.tile = a.tile + 1 JOIN ts c ON c.image_id = a.image_id AND c.tile = a.tile + 2
+    JOIN ts d ON d.image_id = a.image_id AND d.tile = a.tile + 3, range(256) r(p))
+    SELECT image_id, CAST(tile AS INT) AS tile, string_agg(v, ',' ORDER BY p) AS data FROM mt GROUP BY image_id, tile""",
+)
+def metatiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.metatiles(tiles.dedupe(_indexed(spark, sf_dir)), 16, 16, per_row=2).select("image_id", "tile", _list("data").alias("data"))
+
+
+@query(
+    "metatile_cells",
+    f"""WITH {PIXELS_SQL}, {_INDEX_SQL}, {_FLIP_SQL}, w AS (SELECT image_id, tile, first || first || first || first AS big FROM ts)
+    SELECT image_id, CAST(tile // 8 * 32 + tile % 8 * 2 + cell // 2 * 16 + cell % 2 AS INT) AS place,
+    string_agg(big[(cell // 2 * 8 + p // 8) * 16 + cell % 2 * 8 + p % 8 + 1], ',' ORDER BY p) AS data
+    FROM w, range(4) c(cell), range(64) r(p) GROUP BY image_id, tile, cell""",
+)
+def metatile_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 16 by 16, here four times the indices of an 8 by 8 one, as cells in their native places."""
+    large = tiles.dedupe(_indexed(spark, sf_dir)).withColumn("data", F.concat("data", "data", "data", "data"))
+    return tiles.cell_positions(large, 16, 16).select("image_id", "place", _list("data").alias("data"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tilesets without repeats, their tiles in native form."""
     found = tiles.dedupe(_indexed(spark, sf_dir))
