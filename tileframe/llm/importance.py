@@ -131,7 +131,8 @@ def resample(
     n = ids.count()
     picked = F.pmod(F.xxhash64("_target"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))
     text = F.col(text_col).alias("text")
-    target = docs.join(ids.where(picked), docs[id_col] == F.col("_target"), "left_semi").select(text)
+    # the sample bounds what is broadcast: about ``sample`` ids
+    target = docs.join(F.broadcast(ids.where(picked)), docs[id_col] == F.col("_target"), "left_semi").select(text)
     ratios = log_ratios(feature_counts(target), feature_counts(docs.select(text))) if n else np.zeros(BUCKETS)
     rows = weighed(docs, ratios, text_col)
     own = (F.col(id_col), F.col(text_col).cast("string"))
