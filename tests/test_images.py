@@ -91,12 +91,16 @@ def image(seed):
     return out
 
 
+def value(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
 def pixels(spark, images):
     rows = [(i, x, y, int(v)) for i, im in images.items() for y, line in enumerate(im) for x, v in enumerate(line)]
     return spark.createDataFrame(rows, "image_id long, x int, y int, rgba long")
 
 
-@pytest.mark.parametrize("name", ["snes", "gbc", "gba", "md", "wsc", "ngpc"])
+@pytest.mark.parametrize("name", ["snes", "gbc", "gba", "md", "wsc", "wsc_packed"])
 def test_conversions_can_be_drawn_again(spark, name):
     """What map, tileset and palette draw is the image at the mode's depth."""
     images, m = {1: image(1), 2: image(2)}, mode(name)
@@ -104,6 +108,9 @@ def test_conversions_can_be_drawn_again(spark, name):
     source = pixels(spark, images)
     done = convert(source, options)
     want = {(r.image_id, r.x, r.y): r.c for r in source.select("image_id", "x", "y", normalize(reduce(F.col("rgba"), m), m).alias("c")).collect()}
+    if m.col0_shared:
+        corner = {i: value(spark, reduce(F.lit(int(im[0, 0])).cast("long"), m)) for i, im in images.items()}
+        assert all(p[0] == corner[r.image_id] for r in done.palettes.collect() for p in r.palettes)
     palettes = {r.image_id: r.palettes for r in done.palettes.select("image_id", F.transform("palettes", lambda p: F.transform(p, lambda c: normalize(c, m))).alias("palettes")).collect()}
     tileset = {(r.image_id, r.tile): np.array(r.data).reshape(8, 8) for r in done.tileset.collect()}
     entries = done.entries.collect()

@@ -14,11 +14,12 @@ def color_set(rgba: Column, m: Mode) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.array_distinct(rgba), lambda c: reduce(c, m))))
 
 
-def color_sets(tiles: DataFrame, m: Mode, col0: Column | None = None) -> DataFrame:
-    """(image_id, seq, colors) from (image_id, seq, rgba), with a shared first colour put in each set if given."""
+def color_sets(tiles: DataFrame, m: Mode, firsts: DataFrame | None = None) -> DataFrame:
+    """(image_id, seq, colors) from (image_id, seq, rgba), with the shared first colour of (image_id, col0) in each set if given."""
     colors = color_set(F.col("rgba"), m)
-    if col0 is not None:
-        colors = F.sort_array(F.array_union(colors, F.array(reduce(col0, m))))
+    if firsts is not None:
+        tiles = tiles.join(firsts, "image_id")
+        colors = F.sort_array(F.array_union(colors, F.array(reduce(F.col("col0"), m))))
     return tiles.select("image_id", "seq", colors.alias("colors"))
 
 
@@ -35,13 +36,14 @@ def maximal_sets(sets: DataFrame) -> DataFrame:
     return own.join(larger, (own["image_id"] == larger["image_id"]) & (own["first"] == larger["first"]) & inside, "left_anti").drop("first")
 
 
-def packed(sets: DataFrame, m: Mode, max_colors: int | None = None, col0: Column | None = None) -> DataFrame:
+def packed(sets: DataFrame, m: Mode, max_colors: int | None = None, firsts: DataFrame | None = None) -> DataFrame:
     """(image_id, palettes): an image's sets in as few subpalettes as a greedy pass gives.
 
     Larger sets come first, of equal ones the later. Each goes to the last subpalette that
     then has ``max_colors`` at most, or opens a new one. Subpalettes come out by falling size,
     each with its colours rising but the shared first colour in front, and the others by
-    hue, brightness and value. One image's distinct maximal sets are one row.
+    hue, brightness and value. ``firsts`` (image_id, col0) are the shared first colours. One
+    image's distinct maximal sets are one row.
     """
     most = max_colors or m.colors
     by_size = F.struct((-F.size("colors")).alias("size"), (-F.col("seq")).alias("seq"), "colors")
@@ -56,10 +58,11 @@ def packed(sets: DataFrame, m: Mode, max_colors: int | None = None, col0: Column
     none = F.array().cast("array<array<long>>")
     rows = rows.withColumn("bins", F.aggregate("sets", none, put))
     ordered = F.transform(F.sort_array(F.transform("bins", lambda b, i: F.struct((-F.size(b)).alias("size"), i.alias("i"), F.sort_array(b).alias("colors")))), lambda b: b["colors"])
-    if col0 is not None:
-        first = reduce(col0, m)
-        ordered = F.transform(ordered, lambda b: _moved_to_front(b, first))
-    return rows.select("image_id", F.transform(ordered, sorted_after_first).alias("palettes"))
+    rows = rows.select("image_id", ordered.alias("ordered"))
+    if firsts is not None:
+        rows = rows.join(firsts.select("image_id", reduce(F.col("col0"), m).alias("first")), "image_id")
+        rows = rows.select("image_id", F.transform("ordered", lambda b: _moved_to_front(b, F.col("first"))).alias("ordered"))
+    return rows.select("image_id", F.transform("ordered", sorted_after_first).alias("palettes"))
 
 
 def _moved_to_front(colors: Column, first: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import maps, outputs, palettes, tiles
-from .modes import Mode, checked, mode
+from .modes import TRANSPARENT, Mode, checked, mode
 
 
 @dataclass(frozen=True)
@@ -46,14 +46,26 @@ class Conversion:
     diagnostics: DataFrame
 
 
+def first_colors(image_tiles: DataFrame, options: Options) -> DataFrame | None:
+    """(image_id, col0): the colour that all subpalettes of an image start with: a given one, transparent for sprites, or else
+    that of the picture's first pixel; none where the mode doesn't share its first colour and none is given."""
+    m, *_ = options.resolved()
+    if options.col0 is None and not m.col0_shared:
+        return None
+    given = TRANSPARENT if m.name == "pce_sprite" else options.col0
+    corner = F.min_by(F.get("rgba", F.lit(0)), "seq")
+    return image_tiles.groupBy("image_id").agg((corner if given is None else F.lit(given).cast("long")).alias("col0"))
+
+
 def build_palettes(image_tiles: DataFrame, options: Options) -> DataFrame:
-    """(image_id, palettes) for tiles (image_id, seq, rgba); an image that needs too many subpalettes is an error."""
+    """(image_id, palettes) for tiles (image_id, seq, rgba); an image that needs more colours or subpalettes than there is room for is an error."""
     m, bpp, *_ = options.resolved()
-    col0 = F.lit(options.col0).cast("long") if options.col0 is not None else None
-    sets = palettes.maximal_sets(palettes.distinct_sets(palettes.color_sets(image_tiles, m, col0)))
-    found = palettes.packed(sets, m, 1 << bpp, col0)
+    firsts = first_colors(image_tiles, options)
+    sets = palettes.maximal_sets(palettes.distinct_sets(palettes.color_sets(image_tiles, m, firsts)))
+    found = palettes.packed(sets, m, 1 << bpp, firsts)
     most = m.palettes if options.max_palettes is None else options.max_palettes
-    return found.withColumn("palettes", _unless(F.size("palettes") > most, F.col("palettes"), "colors do not fit in the available palettes"))
+    fits = _unless(F.exists("palettes", lambda p: F.size(p) > (1 << bpp)), F.col("palettes"), "colors do not fit in a palette")
+    return found.withColumn("palettes", _unless(F.size("palettes") > most, fits, "colors do not fit in the available palettes"))
 
 
 def _unless(bad: Column, value: Column, message: str) -> Column:
