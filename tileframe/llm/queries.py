@@ -109,7 +109,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
-        F.crc32(F.array_join("ids", ",")).alias("ids_crc32"),
+        F.xxhash64("ids").alias("ids_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )

@@ -9,16 +9,34 @@ final. Characters that no piece has are spelled in bytes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE_MARK = "▁"
-#: Words kept with their ids; longer words and runs aren't kept.
-KEPT_WORDS, KEPT_LENGTH = 200_000, 40
+#: Words whose ids are kept from one portion of texts to the next, and bytes of texts in a portion.
+KEPT_WORDS, PORTION = 200_000, 1 << 21
+
+
+def _bytes(ids: Iterable[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+#: Multiplier of the polynomial hash of parts of words.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(text: str) -> int:
+    h = 0
+    for c in text:
+        h = (h * int(BASE) + ord(c) + 1) % (1 << 64)
+    return h
 
 
 class Pieces:
@@ -43,7 +61,24 @@ class Pieces:
         self.unknown_score = min((s for s, _ in self.ids.values()), default=0.0) - 10
         #: Whether every path has a boundary before a space mark that follows another character.
         self.words_part = all(SPACE_MARK not in p.lstrip(SPACE_MARK) for p in self.ids)
-        self.kept: dict[str, list[int]] = {}
+        #: What pieces end with: pieces with score and id, mere endings of pieces with None.
+        self.endings: dict[str, tuple[float, int] | None] = {p[i:]: None for p in self.ids for i in range(1, len(p))}
+        self.endings |= self.ids
+        texts = list(self.ids)
+        keys = np.fromiter(map(_hash, texts), np.uint64, len(texts))
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces have the same hash")
+        by_hash = np.argsort(keys)
+        self.hashes, self.scores = keys[by_hash], np.array([self.ids[t][0] for t in texts])[by_hash]
+        self.hash_ids = np.array([self.ids[t][1] for t in texts], np.int32)[by_hash]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
+        # characters that no longer piece has stand alone: every path has boundaries around them
+        longer = {c for p in self.ids if len(p) > 1 for c in p}
+        alone = "".join(f"\\x{c:02x}" for c in range(128) if chr(c) not in longer)
+        self.alone, self.parts = f"[{alone}]", re.compile(f"[^{alone}]+|[{alone}]")
+        self.kept: dict[str, bytes] = {}
+        self.octets = [bytes([self.bytes_of[i]]) if i in self.bytes_of else t.replace(SPACE_MARK, " ").encode() for i, t in enumerate(self.texts)]
 
     def spelled(self, char: str) -> list[int]:
         return [self.byte_ids.get(b, self.unknown_id) for b in char.encode("utf-8", "replace")]
@@ -53,79 +88,192 @@ class Pieces:
 
         ``retained``, if given, gets the number of backpointers held at each step.
         """
-        pieces, longest, unknown = self.ids, self.longest, self.unknown_score
+        endings, longest, unknown = self.endings, self.longest, self.unknown_score
         scores = [0.0]  # of the places from `low` on
-        back: list[tuple[int, int]] = []  # of places done + 1 on: length and id (-1: spelled)
+        lengths: list[int] = []  # of the last pieces of places done + 1 on
+        found: list[int] = []  # their ids (-1: spelled)
         low = done = 0
         for end in range(1, len(text) + 1):
-            best, length, found = float("-inf"), 1, -1
-            for start in range(max(low, end - longest), end):
-                own = pieces.get(text[start:end])
-                if own is not None and scores[start - low] + own[0] > best:
-                    best, length, found = scores[start - low] + own[0], end - start, own[1]
-            if found < 0 or text[end - 1] not in pieces:
-                spelled = scores[end - 1 - low] + unknown
-                if spelled > best:
-                    best, length, found = spelled, 1, -1
+            best, length, piece = scores[-1] + unknown, 1, -1
+            for start in range(end - 1, low - 1, -1):
+                own = endings.get(text[start:end], 0)
+                if own is None:
+                    continue
+                if own == 0:  # no piece ends like this
+                    break
+                if (score := scores[start - low] + own[0]) >= best:
+                    best, length, piece = score, end - start, own[1]
             scores.append(best)
-            back.append((length, found))
+            lengths.append(length)
+            found.append(piece)
             if len(scores) > longest:
                 del scores[0]
                 low += 1
             if retained is not None:
-                retained.append(len(back))
-            if len(back) >= 2 * longest and end < len(text):
-                common = self._converged(back, done, low, end)
+                retained.append(len(found))
+            if len(found) >= 2 * longest and end < len(text):
+                common = self._converged(lengths, done, low, end)
                 if common > done:
-                    yield from self._ids(text, back[: common - done], done)
-                    del back[: common - done]
+                    yield from self._ids(text, lengths, found, common - done, done)
+                    del lengths[: common - done], found[: common - done]
                     done = common
-        yield from self._ids(text, back, done)
+        yield from self._ids(text, lengths, found, len(found), done)
 
     @staticmethod
-    def _converged(back: list[tuple[int, int]], done: int, low: int, end: int) -> int:
+    def _converged(lengths: list[int], done: int, low: int, end: int) -> int:
         """The last boundary that the paths from all places between low and end pass."""
         alive = set(range(max(low, done), end + 1))
         while len(alive) > 1:
             last = max(alive)
             alive.discard(last)
-            alive.add(last - back[last - done - 1][0])
+            alive.add(last - lengths[last - done - 1])
         return alive.pop()
 
-    def _ids(self, text: str, back: list[tuple[int, int]], start: int) -> list[int]:
-        out, at = [], len(back)
-        while at > 0:
-            length, found = back[at - 1]
-            out.append([found] if found >= 0 else self.spelled(text[start + at - 1]))
-            at -= length
-        return [i for ids in reversed(out) for i in ids]
+    def _ids(self, text: str, lengths: list[int], found: list[int], at: int, start: int) -> list[int]:
+        """Ids of the best path to place ``at`` behind ``start``."""
+        out = []
+        while at:
+            piece = found[at - 1]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += reversed(self.spelled(text[start + at - 1]))
+            at -= lengths[at - 1]
+        out.reverse()
+        return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a text, spaces as marks and with one more in front; none for an empty text."""
-        if not text:
-            return []
-        marked = SPACE_MARK + text.replace(" ", SPACE_MARK)
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null is empty. Where no piece goes past a space, each distinct word is searched once for a portion of texts."""
         if not self.words_part:
-            return list(self.stream(marked))
-        out: list[int] = []
-        for word in re.findall(rf"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+", marked):
-            ids = self.kept.get(word)
-            if ids is None:
-                ids = list(self.stream(word))
-                if len(word) <= KEPT_LENGTH:
-                    if len(self.kept) >= KEPT_WORDS:
-                        self.kept.clear()
-                    self.kept[word] = ids
-            out += ids
+            return [np.fromiter(self.stream(self._marked(t)), np.int32) for t in texts.to_pylist()]
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+        cuts = np.flatnonzero(np.diff(ends // PORTION)) + 1 if len(ends) else []
+        out: list[np.ndarray] = []
+        for at, stop in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+            out += self._portion(texts.slice(int(at), int(stop - at)))
+        return out
+
+    @staticmethod
+    def _marked(text: str | None) -> str:
+        return SPACE_MARK + text.replace(" ", SPACE_MARK) if text else ""
+
+    def _portion(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        runs = np.asarray(pc.match_substring_regex(texts, f"^ |  | $|{SPACE_MARK}"))
+        plain = iter(self._words_of(texts.filter(pa.array(~runs))))
+        return [self._runs_of(texts[k].as_py()) if run else next(plain) for k, run in enumerate(runs.tolist())]
+
+    def _runs_of(self, text: str) -> np.ndarray:
+        """Ids of a text with marks in a row, which may be one piece."""
+        words = re.findall(rf"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+", self._marked(text))
+        at = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        found = self._searched(list(at))
+        return np.frombuffer(b"".join(found[at[w]] for w in words), np.int32)
+
+    def _words_of(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts whose words have one space between them."""
+        lists = pc.split_pattern(texts, " ")
+        sizes = np.asarray(pc.list_value_length(lists), np.int64)
+        flat = sizes.copy()
+        sizes[np.asarray(pc.binary_length(texts)) == 0] = 0
+        coded = lists.flatten().dictionary_encode()
+        words = pc.binary_join_element_wise(SPACE_MARK, coded.dictionary, "").to_numpy(zero_copy_only=False).tolist()
+        # words with characters that stand alone are put together from their parts
+        odd = np.flatnonzero(np.asarray(pc.match_substring_regex(coded.dictionary, self.alone))).tolist()
+        parts = {k: self.parts.findall(words[k]) for k in odd}
+        more = list({p for own in parts.values() for p in own})
+        for k in odd:
+            words[k] = SPACE_MARK
+        found = self._searched(words + more)
+        ids_of = dict(zip(more, found[len(words) :], strict=True))
+        del found[len(words) :]
+        for k, own in parts.items():
+            found[k] = b"".join([ids_of[p] for p in own])
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), np.int32)
+        starts = np.cumsum(lengths) - lengths
+        own = np.asarray(coded.indices)
+        own = own[np.repeat(sizes > 0, flat)]
+        each = lengths[own]
+        ends = np.cumsum(each)
+        place = np.repeat((starts[own] - (ends - each)).astype(np.int32), each)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = pool[place]
+        doc_ends = np.concatenate([[0], ends])[np.cumsum(sizes)]
+        return np.split(ids, doc_ends[:-1]) if len(doc_ends) else []
+
+    def _searched(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words as bytes of 32-bit numbers, those that were kept and new ones."""
+        fresh = list({w: None for w in words if w not in self.kept})
+        short = [w for w in fresh if len(w) <= self.longest]
+        known = self.kept
+        known.update(zip(short, self._side_by_side(short), strict=True))
+        # characters without a piece are rare; words with them, and long ones, are searched one by one
+        known.update((w, _bytes(self.stream(w))) for w in fresh if known.get(w) is None)
+        out = [known[w] for w in words]
+        if len(known) > KEPT_WORDS:
+            self.kept = dict(zip(words, out, strict=True))
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def _side_by_side(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words no longer than a piece, place by place for all of them at once; None where a character has no piece.
+
+        A part of a word is known by its polynomial hash, which is 64 bits of all its characters.
+        """
+        if not words:
+            return []
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable")
+        width, sizes = int(sizes.max()), sizes[order]
+        chars = np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width)[order].T.astype(np.uint64)
+        count = np.searchsorted(-sizes, -np.arange(width + 1), side="right")  # words of so many characters at least
+        hashes = [np.zeros(len(words), np.uint64)]
+        for c in chars:
+            hashes.append(hashes[-1] * BASE + c + np.uint64(1))
+        sums = [np.zeros(len(words))]
+        lengths, found = np.zeros((width, len(words)), np.int64), np.full((width, len(words)), -1, np.int32)
+        power = [np.uint64(pow(int(BASE), n, 1 << 64)) for n in range(width + 1)]
+        for end in range(1, width + 1):
+            n = count[end]
+            best, length, piece = np.full(n, -np.inf), lengths[end - 1, :n], found[end - 1, :n]
+            for size in range(1, end + 1):
+                own = hashes[end][:n] - hashes[end - size][:n] * power[size]
+                at = np.flatnonzero(self.maybe[(own >> np.uint64(44)).astype(np.int64)])
+                own = own[at]
+                place = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+                known = self.hashes[place] == own
+                at, place = at[known], place[known]
+                score = sums[end - size][at] + self.scores[place]
+                better = score >= best[at]
+                at, place = at[better], place[better]
+                best[at], length[at], piece[at] = score[better], size, self.hash_ids[place]
+            sums.append(best)
+        rest, steps = sizes.copy(), []
+        rows = np.arange(len(words))
+        while (alive := rest > 0).any():
+            ids = np.full(len(words), -2, np.int32)
+            ids[alive] = found[rest[alive] - 1, rows[alive]]
+            steps.append(ids)
+            rest[alive] -= np.maximum(lengths[rest[alive] - 1, rows[alive]], 1)
+        table = np.stack(steps[::-1], axis=1)
+        failed = (table == -1).any(axis=1)
+        used = table >= 0
+        ends = np.cumsum(used.sum(axis=1)) * 4
+        told = table[used].tobytes()
+        out: list[bytes | None] = [None] * len(words)
+        start = 0
+        for k, end, bad in zip(order.tolist(), ends.tolist(), failed.tolist(), strict=True):
+            out[k] = None if bad else told[start:end]
+            start = end
+        return out
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: marks are spaces, the first of which goes; runs of bytes are UTF-8."""
-        out = bytearray()
-        for i in ids:
-            b = self.bytes_of.get(i)
-            out += bytes([b]) if b is not None else self.texts[i].encode()
-        text = out.decode("utf-8", "replace").replace(SPACE_MARK, " ")
+        text = b"".join(map(self.octets.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -142,10 +290,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
     ``out_col`` is replaced.
     """
 
-    @F.pandas_udf("array<int>")
-    def encoded(texts: pd.Series) -> pd.Series:
-        pieces = load(path)
-        return texts.map(lambda t: pieces.encode(t or ""), na_action=None)
+    @F.arrow_udf("array<int>")
+    def encoded(texts: pa.Array) -> pa.Array:
+        ids = load(path).encode_all(texts)
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))
 
     return docs.withColumn(out_col, encoded(F.col(text_col).cast("string")))
 
@@ -157,9 +306,11 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     back as spaces.
     """
 
-    @F.pandas_udf("string")
-    def decoded(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def decoded(ids: pa.Array) -> pa.Array:
         pieces = load(path)
-        return ids.map(lambda x: pieces.decode([] if x is None else list(x)), na_action=None)
+        ids = pc.fill_null(ids, pa.scalar([], ids.type))
+        values, sizes = ids.flatten().to_numpy(), np.asarray(pc.list_value_length(ids), np.int64)
+        return pa.array([pieces.decode(x.tolist()) for x in np.split(values, np.cumsum(sizes)[:-1])] if len(ids) else [], pa.string())
 
     return docs.withColumn(out_col, decoded(F.col(ids_col)))
