@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sites have."""
-    return _counted(line_dedup.drop_boilerplate(docs), docs.columns)
+    """All documents, without the lines that many sites have in texts of their own; texts copied to many sites keep theirs."""
+    return _counted(line_dedup.drop_boilerplate(docs, spare_copies=True), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+import corpus_pipeline
 from tileframe.llm import line_dedup
 
 
@@ -44,3 +45,17 @@ def test_many_sites_near_the_threshold(spark):
 def test_other_columns_stay(odd_docs):
     assert sorted(line_dedup.drop_boilerplate(odd_docs).columns) == sorted([*odd_docs.columns, "n_removed"])
     assert line_dedup.drop_boilerplate(odd_docs.limit(0)).count() == 0
+
+
+def test_copied_texts_keep_their_lines(spark, sf):
+    """One text on 20 sites, near copies of another on 20, and a footer on 20 sites below texts of their own: only the footer goes."""
+    own = lambda k: "\n".join(f"own line {n} of text {k}" for n in range(9))
+    near = lambda k: "\n".join(f"changed by site {k}" if n == k % 9 else f"line {n} of many near copies" for n in range(9))
+    texts = [t for k in range(20) for t in (own("copied"), near(k), f"{own(k)}\nthe footer", f"{own('copied')}\nthe footer")]
+    docs = spark.createDataFrame([(i, t, "en", f"site{i // 4}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf).collect()}
+    assert kept == {i: t.removesuffix("\nthe footer") for i, t in enumerate(texts)}
+
+
+def test_spared_copies_of_odd_rows(odd_docs):
+    assert line_dedup.drop_boilerplate(odd_docs, 2, spare_copies=True).count() == odd_docs.count()
