@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tileframe.llm import importance, line_dedup, packing, secrets, simhash
 from tileframe.llm.common import checkpoint_dir, table
-from tileframe.llm.queries import good_ids
+from tileframe.llm.queries import good_ids, toxic_ids
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -18,8 +18,8 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling towards the labelled good ones chooses."""
-    return importance.resample(docs, good_ids(spark, sf_dir)).where("chosen").select(docs.columns)
+    """Documents that importance resampling towards the labelled good ones chooses, without those like the labelled toxic ones."""
+    return importance.resample(docs, good_ids(spark, sf_dir), shun_ids=toxic_ids(spark, sf_dir)).where("kept").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

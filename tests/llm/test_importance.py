@@ -36,6 +36,23 @@ def test_good_stays_and_junk_goes(spark):
     assert share[1] > 0.97 and share[0] < 0.06
 
 
+def test_toxic_goes_however_well_written(spark):
+    """Of held-out documents of quality 1 toxic ones go and others stay, short or long."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    target, toxic = labels.where("quality = 1 and toxic = 0 and doc_id % 2 = 0").select("doc_id"), labels.where("toxic = 1 and doc_id % 2 = 0").select("doc_id")
+    found = importance.resample(docs, target, keep_text=False, shun_ids=toxic).join(labels.where("doc_id % 2 = 1 and quality = 1"), "doc_id")
+    share = {r.toxic: r.share for r in found.groupBy("toxic").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[0] > 0.96 and share[1] < 0.03
+
+
+def test_nothing_to_shun(odd_docs):
+    ids = odd_docs.select("doc_id").limit(4)
+    for shun in (ids, ids.limit(0)):
+        got = importance.resample(odd_docs, ids, shun_ids=shun)
+        assert got.count() == odd_docs.count() and got.where("kept != chosen").count() == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(float(k), int(t)) for k, t in zip(rng.integers(-40, 40, 500) * 17.25, rng.integers(-(1 << 62), 1 << 62, 500), strict=True)]

@@ -9,6 +9,7 @@ tokens and pairs of neighbours, hashed to BUCKETS.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,16 +24,18 @@ from .common import checkpoint
 BUCKETS = 1 << 16
 #: Labelled target documents that the target model is fitted on, about: those whose hash falls below the share that gives so many.
 TARGET_SAMPLE = 50_000
+#: The same for labelled documents that markers of what to shun are looked for in, of either kind.
+MARKED_SAMPLE = 10_000
 #: Counts added to both sides of a ratio.
 SHRINK = 20.0
 #: Log odds, before its text is looked at, that a document is target text. Weights of target text scatter around 0 by some nats.
 LOG_ODDS = 10.0
-_TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
+TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
 def features(text: str | None) -> np.ndarray:
     """Buckets of the tokens and token pairs of a text."""
-    tokens = _TOKEN.findall((text or "").lower())
+    tokens = TOKEN.findall((text or "").lower())
     if not tokens:
         return np.zeros(0, np.int64)
     single = np.fromiter((xxh32_intdigest(t, 1) for t in tokens), np.uint64, len(tokens))
@@ -65,6 +68,31 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + SHRINK) / (expected + SHRINK))
 
 
+def _among(docs: DataFrame, ids: DataFrame, id_col: str, sample: int, n: int) -> DataFrame:
+    """The rows of ``docs`` with one of about ``sample`` of the ``n`` ids in column _target."""
+    picked = F.pmod(F.xxhash64("_target"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))
+    return docs.join(F.broadcast(ids.where(picked)), docs[id_col] == F.col("_target"), "left_semi")
+
+
+def shunned(rows: DataFrame, docs: DataFrame, target_ids: DataFrame, shun_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``rows`` with shun_log_odds: log odds that a text is like those of ``shun_ids`` rather than like those of ``target_ids``."""
+    from .markers import Markers
+
+    kinds = [ids.toDF("_target").where("_target is not null").distinct() for ids in (shun_ids, target_ids)]
+    ns = [ids.count() for ids in kinds]
+    if not all(ns):
+        return rows.withColumn("shun_log_odds", F.lit(float("-inf")))
+    texts = [checkpoint(_among(docs, ids, id_col, MARKED_SAMPLE, n).select(F.col(text_col).alias("text"))) for ids, n in zip(kinds, ns, strict=True)]
+    sent = docs.sparkSession.sparkContext.broadcast(Markers(*texts, math.log(ns[0] / ns[1])))
+
+    @F.pandas_udf("double")
+    def odds(batch):
+        cache: dict[str, float] = {}
+        return batch.map(lambda t: sent.value.log_odds(t, cache), na_action=None)
+
+    return rows.withColumn("shun_log_odds", odds(F.col(text_col).cast("string")))
+
+
 def weighed(docs: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataFrame:
     """``docs`` with log_weight: the sum of the log ratios of each whole text's features; 0 for a text without any."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
@@ -115,7 +143,7 @@ def top_k(keys: DataFrame, key: Column, tie: Column, k: int) -> Column:
 
 
 def resample(
-    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None, sample: int = TARGET_SAMPLE, keep_text: bool = True
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = None, sample: int = TARGET_SAMPLE, keep_text: bool = True, shun_ids: DataFrame | None = None
 ) -> DataFrame:
     """Sample ``docs`` to look like the documents of ``target_ids`` (one column, ids).
 
@@ -125,16 +153,19 @@ def resample(
     texts; the target model those of about ``sample`` target documents. Noise goes by id and
     text, so equal rows are chosen alike. Null texts weigh 0. Without target documents all
     weights are 0. Columns named like a result are replaced, others pass through; without
-    ``keep_text`` the texts don't, and are weighed once less.
+    ``keep_text`` the texts don't, and are weighed once less. With ``shun_ids`` there are also
+    shun_log_odds, by marker words of the texts with these ids, and kept: chosen and more
+    likely target text than one to shun.
     """
     ids = target_ids.toDF("_target").where("_target is not null").distinct()
     n = ids.count()
-    picked = F.pmod(F.xxhash64("_target"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))
     text = F.col(text_col).alias("text")
     # the sample bounds what is broadcast: about ``sample`` ids
-    target = docs.join(F.broadcast(ids.where(picked)), docs[id_col] == F.col("_target"), "left_semi").select(text)
+    target = _among(docs, ids, id_col, sample, n).select(text)
     ratios = log_ratios(feature_counts(target), feature_counts(docs.select(text))) if n else np.zeros(BUCKETS)
     rows = weighed(docs, ratios, text_col)
+    if shun_ids is not None:
+        rows = shunned(rows, docs, target_ids, shun_ids, id_col, text_col)
     own = (F.col(id_col), F.col(text_col).cast("string"))
     rows = rows.withColumn("gumbel_key", F.col("log_weight") + gumbel(*own)).withColumn("_tie", F.xxhash64(*own))
     if keep_text:
@@ -144,4 +175,5 @@ def resample(
     if size is None:
         odds = F.greatest(F.least(F.col("log_weight") + LOG_ODDS, F.lit(500.0)), F.lit(-500.0))
         size = round(keys.agg(F.coalesce(F.sum(1 / (1 + F.exp(-odds))), F.lit(0.0))).first()[0])
-    return rows.withColumn("chosen", top_k(keys, F.col("gumbel_key"), F.col("_tie"), size)).drop("_tie")
+    rows = rows.withColumn("chosen", top_k(keys, F.col("gumbel_key"), F.col("_tie"), size)).drop("_tie")
+    return rows if shun_ids is None else rows.withColumn("kept", F.col("chosen") & (F.col("shun_log_odds") <= 0))

@@ -87,10 +87,15 @@ def good_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
 
 
+def toxic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled toxic, however well they are written."""
+    return table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+
+
 @query
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return importance.resample(docs, good_ids(spark, sf_dir), keep_text=False)
+    return importance.resample(docs, good_ids(spark, sf_dir), keep_text=False, shun_ids=toxic_ids(spark, sf_dir))
 
 
 @query
