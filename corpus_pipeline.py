@@ -7,8 +7,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileframe.llm import importance, line_dedup, packing, secrets, simhash
-from tileframe.llm.common import checkpoint_dir, table
+from tileframe.llm import importance, jaccard, line_dedup, packing, secrets, simhash
+from tileframe.llm.common import checkpoint, checkpoint_dir, table
 from tileframe.llm.queries import good_ids, toxic_ids
 
 
@@ -28,12 +28,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that SimHash over five words links; rows count, so ids may be null or repeated.
+    """One row of each group of texts that SimHash or a Jaccard similarity of 0.8 links, both over five words; rows count, so ids may be null or repeated.
 
     ``docs`` is a written table, which numbers its rows alike each time it is read.
     """
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    first = simhash.near_duplicates(rows, id_col="_row", shingle=5, bits=3).where("id = component").select(F.col("id").alias("_row"))
+    found = checkpoint(simhash.near_duplicates(rows, id_col="_row", shingle=5, bits=3).select("id", F.col("component").alias("root")))
+    joined = jaccard.joined(rows, found, id_col="_row", shingle=5, least=0.8)
+    first = found.where("id = root").join(joined, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("_row"))
     return rows.join(first, "_row", "left_semi").select(docs.columns)
 
 
