@@ -82,7 +82,7 @@ def shunned(rows: DataFrame, docs: DataFrame, target_ids: DataFrame, shun_ids: D
     ns = [ids.count() for ids in kinds]
     if not all(ns):
         return rows.withColumn("shun_log_odds", F.lit(float("-inf")))
-    texts = [checkpoint(_among(docs, ids, id_col, MARKED_SAMPLE, n).select(F.col(text_col).alias("text"))) for ids, n in zip(kinds, ns, strict=True)]
+    texts = [checkpoint(_among(docs, ids, id_col, MARKED_SAMPLE, n).select(F.col(text_col).alias("text")).distinct()) for ids, n in zip(kinds, ns, strict=True)]
     sent = docs.sparkSession.sparkContext.broadcast(Markers(*texts, math.log(ns[0] / ns[1])))
 
     @F.pandas_udf("double")
