@@ -4,8 +4,9 @@ Texts that agree in all ROWS minima of one of BANDS bands share a bucket: 99.9 %
 at similarity 0.8 do, and more above. Pairs of a bucket are compared exactly, in rounds: first
 with a few hubs of each bucket, then, where a bucket still holds more than one component, with
 four times as many, until all its texts are hubs. So pairs that need not be compared, of
-texts already joined, are the only ones left out, and a large group of copies takes a
-number of pairs in proportion to its size.
+texts already joined, are the only ones left out. Copies that hubs join take a number of pairs
+in proportion to their group's size; texts of a bucket that stay apart are all compared, so
+many of them in one bucket cost the square of their number.
 """
 
 from __future__ import annotations
