@@ -117,6 +117,28 @@ def test_mirrors_and_flips(spark):
         assert (value(spark, got[0]), value(spark, got[1])) == (h, v)
 
 
+def test_large_tiles_and_screens(spark):
+    cells = spark.createDataFrame([(1, k, [k] * 64) for k in range(40)], "image_id long, tile int, data array<int>")
+    got = {r.tile: r.data for r in tiles.metatiles(cells, 16, 16).collect()}
+    assert sorted(got) == list(range(23)) and [got[3][p] for p in (0, 8, 128, 136)] == [3, 4, 19, 20]
+    numbers = [value(spark, maps.cell_number(F.lit(t), 16, 16)) for t in (0, 7, 8, 9)]
+    assert numbers == [0, 14, 32, 34] and value(spark, maps.cell_number(F.lit(9), 8, 16)) == 33
+    entries = spark.createDataFrame([(1, x, 0, 9) for x in range(4)], "image_id long, x int, y int, tile int")
+    assert [r.tile for r in maps.stored(entries, 4, 1, 2, 1, tile_width=16, tile_height=16).collect()] == [34] * 4
+    assert [r.tile for r in maps.stored(entries, 4, 1, tile_width=16, tile_height=16).collect()] == [9] * 4
+    with pytest.raises(ValueError, match="multiple of 32"):
+        maps.check_banks(32, 20)
+    assert value(spark, outputs.grey_ramp(2)) == [0xFF000000, 0xFF404040, 0xFF808080, 0xFFC0C0C0]
+
+
+def test_palettes_that_look_like_json(spark, tmp_path):
+    """Bytes that start like JSON are native; JSON behind blanks or a byte-order mark is JSON; JSON that doesn't fit isn't taken."""
+    (tmp_path / "a.bin").write_bytes(b"{\x0c")
+    (tmp_path / "b.bin").write_bytes('\ufeff \n{"palettes": [["#ffffff"]]}'.encode())
+    got = {r.path[-5:]: r.palettes for r in native.read_palettes(spark, str(tmp_path / "*.bin"), mode("snes"), 2).collect()}
+    assert got["b.bin"] == [[0xFF1F1F1F]] and got["a.bin"] == [[0xFF000000 + 27 + 3 * 256 + 3 * 65536]]
+
+
 def test_files(spark, tmp_path):
     m = mode("snes")
     (tmp_path / "p.json").write_text('{"palettes": [["#0810f8", "#000000"], ["#ffffff"]]}')

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tileframe.functions.color import normalize, reduce
-from tileframe.plans.convert import Options, convert, native
+from tileframe.operators import tiles
+from tileframe.plans.convert import Options, build_map, build_tileset, convert, diagnose, native, sliced
 from tileframe.plans.modes import mode
 from tileframe.sources import png
+from tileframe.sources.sinks import write_files
 from tileframe.streaming.folder import convert_folder
 
 
@@ -133,12 +135,74 @@ def test_large_tiles_and_limits(spark):
     source = pixels(spark, {1: image(4)})
     done = convert(source, Options(tile_width=16, tile_height=16))
     assert done.entries.count() == 6 and done.tileset.first().data is not None
-    with pytest.raises(Exception, match="do not fit"):
-        convert(source, Options(bpp=2, max_palettes=1)).palettes.collect()
+    few = convert(source, Options(max_palettes=0))
+    assert [(r.palettes, r.problem) for r in few.palettes.collect()] == [(None, "colors do not fit in the available palettes")]
+    assert [(r.image_id, r.seq, r.problem) for r in few.diagnostics.collect()] == [(1, None, "colors do not fit in the available palettes")]
+    assert few.tileset.count() == 0 and few.entries.where("matched").count() == 0
     with pytest.raises(ValueError, match="tile width"):
         convert(source, Options(mode="md", tile_width=16))
 
 
+def test_sprites_keep_repeated_tiles(spark):
+    sheet = np.full((16, 48), 0xFF0000F8)
+    sheet[3, 5] = 0
+    done = convert(pixels(spark, {1: sheet, 2: sheet[:, :20]}), Options(mode="pce", sprite_mode=True))
+    assert [r.tile for r in done.tileset.orderBy("tile").collect()] == [0, 1, 2]
+    assert all(p[0] == 0 for r in done.palettes.collect() for p in r.palettes)
+    assert [(r.image_id, r.problem) for r in done.diagnostics.collect()] == [(2, "sides are not multiples of 16")]
+    assert native(done, Options(mode="pce_sprite"), 3, 1).first().map_hex is None
+
+
+def test_repeated_tiles_can_be_kept(spark):
+    done = convert(pixels(spark, {1: image(1)}), Options(no_discard=True))
+    assert done.tileset.count() == 15 and all(e.matched for e in done.entries.collect())
+
+
+def test_indexed_images_as_they_are(spark, tmp_path):
+    palette = np.array([0xFF000000 + k * 0x081018 for k in range(8)])
+    idx = np.arange(128).reshape(8, 16) % 8
+    (tmp_path / "a.png").write_bytes(png.encode(16, 8, idx=idx, palette=palette))
+    images = png.read_images(spark, str(tmp_path))
+    done = convert(png.pixels(images), Options(no_remap=True), png.whole(images))
+    assert [r.data for r in done.tileset.collect()] == [idx[:, :8].reshape(-1).tolist()]
+    assert [len(p) for r in done.palettes.collect() for p in r.palettes] == [8]
+    assert [(e.tile, e.matched) for e in done.entries.collect()] == [(0, True)] * 2
+
+
+def test_whole_images_are_sliced_alike(spark):
+    own = {1: image(1), 2: image(2)[:21, :37]}
+    rows = [(i, im.shape[1], im.shape[0], im.reshape(-1).tolist()) for i, im in own.items()]
+    cut = tiles.slice_images(spark.createDataFrame(rows, "image_id long, width int, height int, rgba array<long>"))
+    gathered = tiles.slice_tiles(pixels(spark, own))
+    told = lambda df: sorted((r.image_id, r.tx, r.ty, tuple(r.rgba)) for r in df.collect())
+    assert told(cut) == told(gathered) and cut.count() == 30
+
+
+def test_given_palettes_and_tilesets(spark):
+    """One image's palettes and tileset serve another; tiles that they lack are told, and a larger map is filled up."""
+    first, second = pixels(spark, {1: image(1)}), image(1).copy()
+    second[0, 0], second[8, 0:3] = 0xFF123456, [0xFF0000F8, 0xFF202020, 0xFF808080]
+    options, rows = Options(), sliced(pixels(spark, {1: second}), Options())
+    done = convert(first, options)
+    entries = {(e.x, e.y): e for e in build_map(rows, done.palettes, done.tileset, options, 6, 4).collect()}
+    assert len(entries) == 24 and not entries[0, 0].matched and not entries[5, 3].matched
+    assert entries[1, 0].matched and entries[4, 2].matched
+    problems = diagnose(rows, done.palettes, build_tileset(rows, done.palettes, options), options).collect()
+    assert sorted((p.seq, p.problem) for p in problems)[0] == (0, "no matching palette")
+    with pytest.raises(ValueError, match="have no maps"):
+        build_map(rows, done.palettes, done.tileset, Options(mode="pce_sprite"))
+    small = diagnose(rows, done.palettes, done.tileset, Options(max_tiles=1)).where("problem = 'too many tiles'")
+    assert small.count() == 1
+
+
+def test_files_are_written(spark, tmp_path):
+    own = pixels(spark, {1: image(1), 2: image(2)})
+    write_files(png.as_files(own), f"file://{tmp_path}/out", F.concat(F.col("image_id").cast("string"), F.lit(".png")), F.col("content"))
+    got = {p.name: p for p in (tmp_path / "out").iterdir()}
+    assert sorted(got) == ["1.png", "2.png"]
+    assert (png.decode(got["2.png"].read_bytes())["rgba"].reshape(24, 40) == image(2)).all()
+
+
 def test_folder_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.png").write_bytes(png.encode(40, 24, image(5).reshape(-1)))

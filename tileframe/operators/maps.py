@@ -9,27 +9,30 @@ from pyspark.sql import functions as F
 from ..functions.codec import pack_entry
 from ..plans.modes import Mode
 from .palettes import _holds, color_set, reduced, remap
-from .tiles import canonical, mirrored
+from .tiles import canonical, mirrored, shapes, spread
 
 
 def build(tiles: DataFrame, palettes: DataFrame, tileset: DataFrame, m: Mode, flip: bool = True, width: int = 8, height: int = 8) -> DataFrame:
     """(image_id, seq, tile, palette, flip_h, flip_v, matched) for tiles (image_id, seq, rgba).
 
     The first subpalette whose indices give a tile of the tileset decides, then the first such
-    tile. Tiles that aren't found, and indices that the mode has no room for, become entry 0.
+    tile. Equal tiles of an image are looked up once. Tiles that aren't found, and indices that the mode has no room for, become entry 0.
     """
-    rows = tiles.join(palettes, "image_id").withColumn("colors", color_set(F.col("rgba"), m))
+    own = shapes(tiles)
+    rows = own.join(palettes, "image_id").withColumn("colors", color_set(F.col("rgba"), m))
     rows = rows.select("image_id", "seq", reduced(F.col("rgba"), m).alias("reduced"), "colors", F.posexplode_outer("palettes").alias("palette", "p"))
     probes = rows.where(_holds(F.col("p"), F.col("colors"))).withColumn("probe", remap(F.col("reduced"), F.col("p")))
     probes = probes.select("image_id", "seq", "palette", "probe", canonical(F.col("probe"), width, height, flip).alias("canon"))
     hits = probes.join(tileset.select("image_id", "canon", "tile", "data"), ["image_id", "canon"])
     best = hits.groupBy("image_id", "seq").agg(F.min(F.struct("palette", "tile", "probe", "data")).alias("b")).select("image_id", "seq", "b.*")
-    found = tiles.select("image_id", "seq").join(best, ["image_id", "seq"], "left")
+    found = own.select("image_id", "seq", "seqs").join(best, ["image_id", "seq"], "left")
     ok = F.col("tile").isNotNull() & ((F.col("tile") < m.max_tiles) if m.max_tiles else F.lit(True))
     h, v = flips(F.col("probe"), F.col("data"), width, height)
     pick = lambda value, other: F.when(ok, value).otherwise(F.lit(other))
-    return found.select(
-        "image_id", "seq", pick(F.col("tile"), 0).alias("tile"), pick(F.col("palette"), 0).alias("palette"), pick(h, False).alias("flip_h"), pick(v, False).alias("flip_v"), F.col("tile").isNotNull().alias("matched")
+    return spread(
+        found.select(
+            "image_id", "seq", "seqs", pick(F.col("tile"), 0).alias("tile"), pick(F.col("palette"), 0).alias("palette"), pick(h, False).alias("flip_h"), pick(v, False).alias("flip_v"), F.col("tile").isNotNull().alias("matched")
+        )
     )
 
 
@@ -44,12 +47,18 @@ def offset(entries: DataFrame, tile: int = 0, palette: int = 0) -> DataFrame:
     return entries.withColumns({"tile": F.greatest(F.lit(0), F.col("tile") + tile), "palette": F.greatest(F.lit(0), F.col("palette") + palette)})
 
 
-def stored(entries: DataFrame, width: int, height: int, split_w: int = 0, split_h: int = 0, column_order: bool = False) -> DataFrame:
+def cell_number(tile: Column, width: int, height: int) -> Column:
+    """The number of the first 8 by 8 cell of a larger tile, eight of which are a row of sixteen cells."""
+    return tile % 8 * (1 if width == 8 else 2) + F.floor(tile / 8).cast("int") * (16 if height == 8 else 32)
+
+
+def stored(entries: DataFrame, width: int, height: int, split_w: int = 0, split_h: int = 0, column_order: bool = False, tile_width: int = 8, tile_height: int = 8) -> DataFrame:
     """(image_id, screen, pos, ...) from (image_id, x, y, ...): the screen of each entry and its place in it.
 
     Screens go column by column; within one, entries go row by row or, in column order, column
     by column. Entries outside of width and height are left out, and sizes that don't divide
-    the map, for which reading would run past its rows, are an error.
+    the map, for which reading would run past its rows, are an error. In maps of several
+    screens, tiles larger than 8 by 8 have the numbers of their first cells.
     """
     w, h = (split_w if 0 < split_w <= width else width), (split_h if 0 < split_h <= height else height)
     if width % w or height % h:
@@ -57,6 +66,8 @@ def stored(entries: DataFrame, width: int, height: int, split_w: int = 0, split_
     x, y = F.col("x"), F.col("y")
     screen = F.floor(x / w) * (height // h) + F.floor(y / h)
     pos = (x % w) * h + y % h if column_order else (y % h) * w + x % w
+    if (w, h) != (width, height) and (tile_width, tile_height) != (8, 8):
+        entries = entries.withColumn("tile", cell_number(F.col("tile"), tile_width, tile_height))
     rows = entries.where((x < width) & (y < height) & (x >= 0) & (y >= 0))
     return rows.withColumns({"screen": screen.cast("int"), "pos": pos.cast("int")})
 
@@ -80,8 +91,13 @@ def palette_map(entries: DataFrame) -> DataFrame:
     return joined(entries.withColumn("hex", F.concat(byte(p), byte(F.shiftright(p, 8)))))
 
 
+def check_banks(width: int, height: int) -> None:
+    if width % 32 or height % 32:
+        raise ValueError("banked maps have sides of a multiple of 32")
+
+
 def banked(hexes: Column) -> Column:
-    """Bytes of two-byte entries with all first bytes in front of all second ones."""
+    """Bytes of two-byte entries with all first bytes in front of all second ones; for maps that ``check_banks`` allows."""
     at = F.sequence(F.lit(0), (F.length(hexes) / 4 - 1).cast("int"))
     half = lambda k: F.array_join(F.transform(at, lambda i: F.substring(hexes, i * 4 + 2 * k + 1, F.lit(2))), "")
     return F.when(F.length(hexes) < 4, hexes).otherwise(F.concat(half(0), half(1)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import byte_hex, pack_palette, pack_tile
-from ..functions.color import channel, hex_of, normalize
+from ..functions.color import OPAQUE, channel, hex_of, normalize
 from ..plans.modes import Mode
 from .maps import joined
 from .palettes import padded
@@ -55,6 +55,21 @@ def tileset_native(tileset: DataFrame, m: Mode, bpp: int | None = None, width: i
     return joined(filled.select("image_id", F.lit(0).alias("screen"), F.col("place").alias("pos"), F.coalesce("hex", F.lit("00" * 8 * bpp)).alias("hex")))
 
 
+def grey_ramp(bpp: int) -> Column:
+    """Colours for tiles that come without a palette: greys from black up, one an index."""
+    step = 256 >> bpp
+    return F.transform(F.sequence(F.lit(0), F.lit((1 << bpp) - 1)), lambda i: i.cast("long") * (step * 0x010101) + OPAQUE)
+
+
+def tileset_colors(tileset: DataFrame, palettes: DataFrame, m: Mode, width: int = 8, height: int = 8, image_width: int = 128) -> DataFrame:
+    """(image_id, x, y, rgba): the picture of ``tileset_pixels`` in colours: tiles (with palette) in subpalettes of (image_id, palettes)."""
+    own = tileset.join(palettes.select("image_id", "palettes"), "image_id")
+    full = F.transform(F.get("palettes", F.col("palette")), lambda c: normalize(c, m))
+    own = own.select("image_id", "tile", F.col("data").alias("idx"), full.alias("full"))
+    colored = own.select("image_id", "tile", F.transform("idx", lambda i: F.get("full", i)).alias("data"))
+    return tileset_pixels(colored, width, height, image_width).withColumnRenamed("idx", "rgba")
+
+
 def tileset_pixels(tileset: DataFrame, width: int = 8, height: int = 8, image_width: int = 128) -> DataFrame:
     """(image_id, x, y, idx): a picture of tilesets, tiles from left to right in rows of ``image_width`` pixels."""
     if image_width % width:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.color import reduce, sort_key
@@ -14,13 +15,18 @@ def color_set(rgba: Column, m: Mode) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.array_distinct(rgba), lambda c: reduce(c, m))))
 
 
+def _places(rows: DataFrame) -> list[str]:
+    """The columns that tell tiles, or shapes of equal ones, apart."""
+    return ["image_id", "seq", *(["seqs"] if "seqs" in rows.columns else [])]
+
+
 def color_sets(tiles: DataFrame, m: Mode, firsts: DataFrame | None = None) -> DataFrame:
-    """(image_id, seq, colors) from (image_id, seq, rgba), with the shared first colour of (image_id, col0) in each set if given."""
+    """(image_id, seq, colors) from (image_id, seq, rgba) or shapes, which keep seqs, with the shared first colour of (image_id, col0) in each set if given."""
     colors = color_set(F.col("rgba"), m)
     if firsts is not None:
         tiles = tiles.join(firsts, "image_id")
         colors = F.sort_array(F.array_union(colors, F.array(reduce(F.col("col0"), m))))
-    return tiles.select("image_id", "seq", colors.alias("colors"))
+    return tiles.select(*_places(tiles), colors.alias("colors"))
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
@@ -29,11 +35,17 @@ def distinct_sets(sets: DataFrame) -> DataFrame:
 
 
 def maximal_sets(sets: DataFrame) -> DataFrame:
-    """Distinct sets that no other set of their image holds. A set and what holds it share its first colour, which they are joined on."""
-    larger = sets.select("image_id", F.explode("colors").alias("first"), F.col("colors").alias("larger"))
-    own = sets.withColumn("first", F.get("colors", F.lit(0)))
+    """Distinct sets that no other set of their image holds.
+
+    A set and what holds it share all its colours, so they are joined on the one that the
+    fewest sets of the image have: a colour that most of them share brings no pairs together.
+    """
+    colors = sets.select("image_id", "seq", "colors", F.explode("colors").alias("color"))
+    colors = colors.withColumn("n", F.count("*").over(W.partitionBy("image_id", "color")))
+    own = colors.groupBy("image_id", "seq", "colors").agg(F.min(F.struct("n", "color"))["color"].alias("rarest"))
+    larger = colors.where("n > 1").select("image_id", F.col("color").alias("rarest"), F.col("colors").alias("larger"))
     inside = (F.size(larger["larger"]) > F.size(own["colors"])) & (F.size(F.array_except(own["colors"], larger["larger"])) == 0)
-    return own.join(larger, (own["image_id"] == larger["image_id"]) & (own["first"] == larger["first"]) & inside, "left_anti").drop("first")
+    return own.join(larger, (own["image_id"] == larger["image_id"]) & (own["rarest"] == larger["rarest"]) & inside, "left_anti").drop("rarest")
 
 
 def packed(sets: DataFrame, m: Mode, max_colors: int | None = None, firsts: DataFrame | None = None) -> DataFrame:
@@ -108,14 +120,14 @@ def first_match(sets: DataFrame, palettes: DataFrame) -> DataFrame:
     """(image_id, seq, palette): the first subpalette with all of a tile's colours but the transparent one; null if none has."""
     rows = sets.join(palettes, "image_id").withColumn("own", F.array_remove("colors", F.lit(TRANSPARENT)))
     at = F.array_position(F.transform("palettes", lambda p: _holds(p, F.col("own"))), F.lit(True))
-    return rows.select("image_id", "seq", F.when(at > 0, at - 1).cast("int").alias("palette"))
+    return rows.select(*_places(sets), F.when(at > 0, at - 1).cast("int").alias("palette"))
 
 
 def all_matches(sets: DataFrame, palettes: DataFrame) -> DataFrame:
     """(image_id, seq, palette): every subpalette with all of a tile's colours, the transparent one too."""
     rows = sets.join(palettes, "image_id")
-    rows = rows.select("image_id", "seq", "colors", F.posexplode("palettes").alias("palette", "p"))
-    return rows.where(_holds(F.col("p"), F.col("colors"))).select("image_id", "seq", "palette")
+    rows = rows.select(*_places(sets), "colors", F.posexplode("palettes").alias("palette", "p"))
+    return rows.where(_holds(F.col("p"), F.col("colors"))).select(*_places(sets), "palette")
 
 
 def reduced(rgba: Column, m: Mode) -> Column:

@@ -10,17 +10,64 @@ from ..plans.modes import Mode
 
 
 def slice_tiles(pixels: DataFrame, width: int = 8, height: int = 8, fill: int = 0) -> DataFrame:
-    """(image_id, tx, ty, rgba): pixels gathered by tile, row by row; pixels that an edge tile lacks are ``fill``."""
+    """(image_id, tx, ty, rgba): pixels gathered by tile, row by row; pixels that an edge tile lacks are ``fill``. Indices (idx) come along."""
     x, y = F.col("x"), F.col("y")
+    own = ["rgba", *(["idx"] if "idx" in pixels.columns else [])]
     rows = pixels.select(
-        "image_id", F.floor(x / width).cast("int").alias("tx"), F.floor(y / height).cast("int").alias("ty"), ((y % height) * width + x % width).cast("int").alias("p"), "rgba"
+        "image_id", F.floor(x / width).cast("int").alias("tx"), F.floor(y / height).cast("int").alias("ty"), ((y % height) * width + x % width).cast("int").alias("p"), *own
     )
-    found = rows.groupBy("image_id", "tx", "ty").agg(F.sort_array(F.collect_list(F.struct("p", "rgba"))).alias("found"))
+    found = rows.groupBy("image_id", "tx", "ty").agg(F.sort_array(F.collect_list(F.struct("p", *own))).alias("found"))
     size = width * height
     place = F.sequence(F.lit(0), F.lit(size - 1))
-    at = lambda i: F.get(F.filter("found", lambda f: f["p"] == i), F.lit(0))["rgba"]
-    whole = F.when(F.size("found") == size, F.transform("found", lambda f: f["rgba"])).otherwise(F.transform(place, lambda i: F.coalesce(at(i), F.lit(fill).cast("long"))))
-    return found.select("image_id", "tx", "ty", whole.alias("rgba"))
+    at = lambda i: F.get(F.filter("found", lambda f: f["p"] == i), F.lit(0))
+
+    def whole(name: str, other: Column) -> Column:
+        return F.when(F.size("found") == size, F.col("found")[name]).otherwise(F.transform(place, lambda i: F.coalesce(at(i)[name], other))).alias(name)
+
+    others = {"rgba": F.lit(fill).cast("long"), "idx": F.lit(0)}
+    return found.select("image_id", "tx", "ty", *[whole(c, others[c]) for c in own])
+
+
+def slice_images(images: DataFrame, width: int = 8, height: int = 8, fill: int = 0) -> DataFrame:
+    """(image_id, tx, ty, rgba) from whole images (image_id, width, height, rgba): tiles are cut where the image is, nothing is shuffled."""
+    across, down = F.ceil(F.col("width") / width).cast("int"), F.ceil(F.col("height") / height).cast("int")
+    inside = lambda x, y: F.when((x < F.col("width")) & (y < F.col("height")), F.get("rgba", y * F.col("width") + x))
+
+    def tile(n: Column) -> Column:
+        left, top = n % F.col("across") * width, F.floor(n / F.col("across")).cast("int") * height
+        pixel = lambda p: F.coalesce(inside(left + p % width, top + F.floor(p / width).cast("int")), F.lit(fill).cast("long"))
+        return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), pixel)
+
+    rows = images.where("width > 0 and height > 0").select("image_id", "width", "height", "rgba", across.alias("across"), down.alias("down"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("across") * F.col("down") - 1), tile)
+    rows = rows.select("image_id", "across", F.posexplode(cut).alias("n", "rgba"))
+    return rows.select("image_id", (F.col("n") % F.col("across")).alias("tx"), F.floor(F.col("n") / F.col("across")).cast("int").alias("ty"), "rgba")
+
+
+def shapes(tiles: DataFrame) -> DataFrame:
+    """Equal tiles of an image as one row: their columns, ``seq``, the first place, ``seqs``, all places in order, and ``uses``.
+
+    All that follows from a tile's pixels is then worked out once for each kind of tile.
+    Other columns but image_id and seq must follow from the pixels too.
+    """
+    if "seqs" in tiles.columns:
+        return tiles
+    own = [c for c in ("image_id", "rgba", "idx") if c in tiles.columns]
+    places = F.sort_array(F.collect_list("seq"))
+    return tiles.groupBy(*own).agg(F.min("seq").alias("seq"), places.alias("seqs"), F.count("*").alias("uses"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of ``shapes`` again as a row for each place."""
+    return rows.withColumn("seq", F.explode("seqs")).drop("seqs")
+
+
+def grid(tiles: DataFrame, width: int, height: int, size: int = 64, fill: int = 0) -> DataFrame:
+    """(image_id, seq, tx, ty, rgba): tiles (image_id, tx, ty, rgba) cut or filled up to ``width`` by ``height`` of them, numbered row by row."""
+    places = tiles.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("seq"))
+    places = places.withColumns({"tx": F.col("seq") % width, "ty": F.floor(F.col("seq") / width).cast("int")})
+    rows = places.join(tiles.select("image_id", "tx", "ty", "rgba"), ["image_id", "tx", "ty"], "left")
+    return rows.select("image_id", "seq", "tx", "ty", F.coalesce("rgba", F.array_repeat(F.lit(fill).cast("long"), size)).alias("rgba"))
 
 
 def mirrored(data: Column, width: int, height: int, h: bool, v: bool) -> Column:
@@ -41,11 +88,25 @@ def canonical(data: Column, width: int = 8, height: int = 8, flip: bool = True)
 
 
 def dedupe(tiles: DataFrame, width: int = 8, height: int = 8, flip: bool = True) -> DataFrame:
-    """(image_id, tile, data, canon, uses) from (image_id, seq, data): tiles as first seen, numbered in that order."""
-    rows = tiles.withColumn("canon", canonical(F.col("data"), width, height, flip))
-    kept = rows.groupBy("image_id", "canon").agg(F.min(F.struct("seq", "data")).alias("first"), F.count("*").alias("uses"))
+    """(image_id, tile, data, canon, uses) from (image_id, seq, data): tiles as first seen, numbered in that order.
+
+    Equal tiles are put together before their mirrors are looked at. A column ``palette`` of
+    the tiles is kept, and ``uses``, if they have it, is what a tile counts as.
+    """
+    more = [c for c in ("palette",) if c in tiles.columns]
+    uses = F.sum("uses") if "uses" in tiles.columns else F.count("*")
+    first = tiles.groupBy("image_id", "data").agg(F.min(F.struct("seq", *more)).alias("s"), uses.alias("uses"))
+    rows = first.select("image_id", "s.*", "data", "uses").withColumn("canon", canonical(F.col("data"), width, height, flip))
+    kept = rows.groupBy("image_id", "canon").agg(F.min(F.struct("seq", *more, "data")).alias("first"), F.sum("uses").alias("uses"))
     order = W.partitionBy("image_id").orderBy("first.seq")
-    return kept.select("image_id", (F.row_number().over(order) - 1).alias("tile"), F.col("first.data").alias("data"), "canon", "uses")
+    return kept.select("image_id", (F.row_number().over(order) - 1).alias("tile"), F.col("first.data").alias("data"), "canon", "uses", *[F.col(f"first.{c}").alias(c) for c in more])
+
+
+def numbered(tiles: DataFrame, width: int = 8, height: int = 8, flip: bool = True) -> DataFrame:
+    """(image_id, tile, data, canon, uses) from (image_id, seq, data): every tile, repeated or not, numbered in order of seq."""
+    order = W.partitionBy("image_id").orderBy("seq")
+    more = [c for c in ("palette",) if c in tiles.columns]
+    return tiles.select("image_id", (F.row_number().over(order) - 1).alias("tile"), "data", canonical(F.col("data"), width, height, flip).alias("canon"), F.lit(1).cast("long").alias("uses"), *more)
 
 
 def check_capacity(tileset: DataFrame, m: Mode) -> DataFrame:

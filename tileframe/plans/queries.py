@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, color
 from ..operators import maps, outputs, palettes, tiles
+from ..sources import png
 from ..sources.events import COLUMNS, GREY, event_pixels, event_tiles
-from .modes import MODES, mode
+from .convert import Options, build_tileset, convert, first_colors, native
+from .modes import MODES, Mode, mode
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -271,13 +274,17 @@ def crops_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.slice_tiles(event_pixels(spark, sf_dir), 12, 12).select("image_id", "tx", "ty", _list("rgba").alias("pixels"))
 
 
+def event_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.shapes(event_tiles(spark, sf_dir))
+
+
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return palettes.color_sets(event_tiles(spark, sf_dir), SNES)
+    return palettes.color_sets(event_shapes(spark, sf_dir), SNES)
 
 
 @query("color_sets", f"WITH {PIXELS_SQL} SELECT image_id, CAST(seq AS INT) AS seq, array_to_string(colors, ',') AS colors FROM cs")
 def color_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sets(spark, sf_dir).select("image_id", "seq", _list("colors").alias("colors"))
+    return tiles.spread(_sets(spark, sf_dir)).select("image_id", "seq", _list("colors").alias("colors"))
 
 
 @query("distinct_color_sets", f"WITH {PIXELS_SQL} SELECT image_id, CAST(seq AS INT) AS seq, array_to_string(colors, ',') AS colors FROM ds")
@@ -287,7 +294,7 @@ def distinct_color_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour sets, every third of them without its last colour."""
-    sets = _sets(spark, sf_dir)
+    sets = tiles.spread(_sets(spark, sf_dir))
     return sets.withColumn("colors", F.when(F.col("seq") % 3 == 0, F.slice("colors", 1, F.size("colors") - 1)).otherwise(F.col("colors")))
 
 
@@ -338,7 +345,7 @@ pal AS (SELECT image_id, generate_subscripts(by_size, 1) - 1 AS palette, bins[un
     FROM cs JOIN pal ON pal.image_id = cs.image_id AND len(list_filter(cs.colors, lambda x: x != 0 AND NOT list_contains(pal.colors, x))) = 0 GROUP BY cs.image_id, cs.seq""",
 )
 def subpalette_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return palettes.first_match(_sets(spark, sf_dir), _packed(spark, sf_dir, 8))
+    return tiles.spread(palettes.first_match(_sets(spark, sf_dir), _packed(spark, sf_dir, 8))).select("image_id", "seq", "palette")
 
 
 @query(
@@ -347,12 +354,12 @@ def subpalette_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM cs JOIN pal ON pal.image_id = cs.image_id AND len(list_filter(cs.colors, lambda x: NOT list_contains(pal.colors, x))) = 0""",
 )
 def subpalette_all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return palettes.all_matches(_sets(spark, sf_dir), _packed(spark, sf_dir, 8))
+    return tiles.spread(palettes.all_matches(_sets(spark, sf_dir), _packed(spark, sf_dir, 8))).select("image_id", "seq", "palette")
 
 
 def _sorted_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each image's colours as one subpalette, in rising order, which SQL can give as well."""
-    colors = event_tiles(spark, sf_dir).select("image_id", F.explode(palettes.color_set(F.col("rgba"), SNES)).alias("c"))
+    colors = event_shapes(spark, sf_dir).select("image_id", F.explode(palettes.color_set(F.col("rgba"), SNES)).alias("c"))
     return colors.groupBy("image_id").agg(F.array(F.sort_array(F.collect_set("c"))).alias("palettes"))
 
 
@@ -365,14 +372,15 @@ ts AS (SELECT image_id, canon, min(seq) AS seq, arg_min(data, seq) AS first, cou
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_tiles(spark, sf_dir).join(_sorted_palette(spark, sf_dir), "image_id")
-    rows = rows.select("image_id", "seq", palettes.reduced(F.col("rgba"), SNES).alias("reduced"), F.get("palettes", F.lit(0)).alias("palette"))
-    return rows.select("image_id", "seq", palettes.remap(F.col("reduced"), F.col("palette")).alias("data"))
+    """Shapes of tiles as indices into their image's sorted palette."""
+    rows = event_shapes(spark, sf_dir).join(_sorted_palette(spark, sf_dir), "image_id")
+    rows = rows.select("image_id", "seq", "seqs", "uses", palettes.reduced(F.col("rgba"), SNES).alias("reduced"), F.get("palettes", F.lit(0)).alias("p"))
+    return rows.select("image_id", "seq", "seqs", "uses", palettes.remap(F.col("reduced"), F.col("p")).alias("data"))
 
 
 @query("remap_indices", f"WITH {PIXELS_SQL}, {_INDEX_SQL} SELECT image_id, CAST(seq AS INT) AS seq, array_to_string(data, ',') AS indices FROM di")
 def remap_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _indexed(spark, sf_dir).select("image_id", "seq", _list("data").alias("indices"))
+    return tiles.spread(_indexed(spark, sf_dir)).select("image_id", "seq", _list("data").alias("indices"))
 
 
 @query(
@@ -401,7 +409,7 @@ en AS (SELECT ca.image_id, ca.seq, ca.seq % 32 AS x, ca.seq // 32 AS y, tile, 0
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = maps.build(event_tiles(spark, sf_dir), _sorted_palette(spark, sf_dir), tiles.dedupe(_indexed(spark, sf_dir)), SNES)
+    entries = maps.build(event_shapes(spark, sf_dir), _sorted_palette(spark, sf_dir), tiles.dedupe(_indexed(spark, sf_dir)), SNES)
     return entries.withColumns({"x": F.col("seq") % COLUMNS, "y": F.expr(f"seq div {COLUMNS}").cast("int")})
 
 
@@ -538,6 +546,153 @@ def metatile_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.cell_positions(large, 16, 16).select("image_id", "place", _list("data").alias("data"))
 
 
+# ---- several subpalettes, whole conversions and files ----
+
+
+def _key_sql(c: str) -> str:
+    """What colours are sorted by, as a list: hue, brightness and value in eighths, then the colour."""
+    r, g, b = (f"(({c} >> {8 * k}) & 255)::FLOAT" for k in range(3))
+    top, span = f"greatest({r}, {g}, {b})", f"(greatest({r}, {g}, {b}) - least({r}, {g}, {b}))::FLOAT"
+    turn = lambda x, y, off: f"60::FLOAT * ((({x} - {y}) / {span})::FLOAT + {off}::FLOAT)"
+    hue = f"CASE WHEN {span} = 0 THEN 0::FLOAT WHEN {top} = {r} THEN {turn(g, b, 0)} WHEN {top} = {g} THEN {turn(b, r, 2)} ELSE {turn(r, g, 4)} END"
+    light = f"floor(8 * sqrt(0.241::DOUBLE * {r} + 0.691::DOUBLE * {g} + 0.068::DOUBLE * {b}))"
+    return f"[CAST(floor((CASE WHEN {hue} < 0 THEN {hue} + 360::FLOAT ELSE {hue} END) * 8) AS BIGINT), CAST({light} AS BIGINT), CAST({top} * 8 AS BIGINT), {c}]"
+
+
+def _in_order_sql(colors: int) -> str:
+    """Subpalettes of up to ``colors`` in the order they are used in: the picture's first colour, which all tiles have here, and the others sorted."""
+    return f"""{_pack_sql(colors)},
+    ob AS (SELECT image_id, bins, list_sort(list_transform(range(1, len(bins) + 1), lambda i: [-len(bins[i]), i])) AS by_size FROM bins),
+    pu AS (SELECT image_id, generate_subscripts(by_size, 1) - 1 AS palette, bins[unnest(by_size)[2]] AS colors FROM ob),
+    co AS (SELECT image_id, c AS col0 FROM rx WHERE seq = 0 AND p = 0),
+    pk AS (SELECT image_id, palette, c, c = col0 AS front, {_key_sql("c")} AS key FROM (SELECT image_id, palette, unnest(colors) AS c FROM pu) JOIN co USING (image_id)),
+    po AS (SELECT image_id, palette, list(c ORDER BY front DESC, key) AS colors FROM pk GROUP BY image_id, palette)"""
+
+
+_PACKED_MAP_SQL = """tt AS (SELECT rx.image_id, rx.seq, po.palette, list(list_position(po.colors, c) - 1 ORDER BY p) AS data
+    FROM rx JOIN cs USING (image_id, seq) JOIN po ON po.image_id = rx.image_id AND len(list_filter(cs.colors, lambda x: NOT list_contains(po.colors, x))) = 0 GROUP BY rx.image_id, rx.seq, po.palette),
+di AS (SELECT image_id, seq, arg_min(data, palette) AS data FROM tt GROUP BY image_id, seq)"""
+
+
+def _packed_map_sql(cut: int = 1 << 20, most: int = 1 << 20) -> str:
+    """Entries over all subpalettes that hold a tile, for a tileset of which the first ``cut`` tiles are left and a map that counts up to ``most``."""
+    flip = lambda by: f"list_transform(range(64), lambda p: data[{by} + 1])"
+    return f"""WITH {PIXELS_SQL}, {_in_order_sql(8)}, {_PACKED_MAP_SQL}, {_FLIP_SQL},
+    pf AS (SELECT *, {flip("p // 8 * 8 + 7 - p % 8")} AS fh, {flip("(7 - p // 8) * 8 + p % 8")} AS fv, list_reverse(data) AS fhv FROM tt),
+    pc AS (SELECT *, least(data, fh, fv, fhv) AS canon FROM pf),
+    hit AS (SELECT pc.image_id, pc.seq, palette, tile, CASE WHEN data = first THEN 0 WHEN fh = first THEN 1 WHEN fv = first THEN 2 ELSE 3 END AS how
+        FROM pc JOIN ts ON ts.image_id = pc.image_id AND ts.canon = pc.canon AND ts.tile < {cut}),
+    be AS (SELECT image_id, seq, min([palette, tile, how]) AS b FROM hit GROUP BY image_id, seq),
+    en AS (SELECT cs.image_id, cs.seq, b IS NOT NULL AS matched, coalesce(b[2] < {most}, false) AS ok, b FROM cs LEFT JOIN be USING (image_id, seq)),
+    me AS (SELECT image_id, CAST(seq AS INT) AS seq, CAST(CASE WHEN ok THEN b[2] ELSE 0 END AS INT) AS tile, CAST(CASE WHEN ok THEN b[1] ELSE 0 END AS INT) AS palette,
+        ok AND b[3] IN (1, 3) AS flip_h, ok AND b[3] IN (2, 3) AS flip_v, matched FROM en)"""
+
+
+PACKED = Options(mode="snes", bpp=4)
+
+
+def _packed_in_order(spark: SparkSession, sf_dir: str, colors: int) -> DataFrame:
+    own = event_shapes(spark, sf_dir)
+    firsts = first_colors(own, PACKED)
+    sets = palettes.maximal_sets(palettes.distinct_sets(palettes.color_sets(own, SNES, firsts)))
+    return palettes.packed(sets, SNES, colors, firsts)
+
+
+@query("packed_palettes_in_order", f"WITH {PIXELS_SQL}, {_in_order_sql(8)} SELECT image_id, CAST(palette AS INT) AS palette, array_to_string(colors, ',') AS colors FROM po")
+def packed_palettes_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _packed_in_order(spark, sf_dir, 8)
+    return found.select("image_id", F.posexplode("palettes").alias("palette", "p")).select("image_id", "palette", _list("p").alias("colors"))
+
+
+def _packed_entries(spark: SparkSession, sf_dir: str, cut: int | None = None, m: Mode = SNES) -> DataFrame:
+    own, found = event_shapes(spark, sf_dir), _packed_in_order(spark, sf_dir, 8)
+    tileset = build_tileset(own, found, PACKED)
+    return maps.build(own, found, tileset if cut is None else tileset.where(F.col("tile") < cut), m)
+
+
+@query("map_entries_packed", f"{_packed_map_sql()} SELECT * FROM me")
+def map_entries_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps over several subpalettes."""
+    return _packed_entries(spark, sf_dir)
+
+
+@query("map_entries_missing", f"{_packed_map_sql(4, 3)} SELECT * FROM me")
+def map_entries_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a tileset of only four tiles and a mode that counts up to three, so that tiles are missing or out of reach."""
+    return _packed_entries(spark, sf_dir, 4, replace(SNES, max_tiles=3))
+
+
+@query("palette_map_packed", f"{_packed_map_sql()} SELECT image_id, string_agg(printf('%02x%02x', palette & 255, palette >> 8), '' ORDER BY seq) AS hex FROM me GROUP BY image_id")
+def palette_map_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = _packed_entries(spark, sf_dir).withColumns({"x": F.col("seq") % COLUMNS, "y": F.expr(f"seq div {COLUMNS}").cast("int")})
+    return maps.palette_map(maps.stored(entries, 32, 32))
+
+
+@query("tileset_overflow", f"WITH {PIXELS_SQL}, {_INDEX_SQL}, {_FLIP_SQL} SELECT image_id, count(*) AS tiles, CAST(sum(uses) - count(*) AS BIGINT) AS discarded, count(*) > 4 AS overflow FROM ts GROUP BY image_id")
+def tileset_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.check_capacity(tiles.dedupe(_indexed(spark, sf_dir)), replace(SNES, max_tiles=4))
+
+
+@query("tileset_all", f"WITH {PIXELS_SQL}, {_INDEX_SQL} SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY seq) - 1 AS INT) AS tile, array_to_string(data, ',') AS data FROM di")
+def tileset_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tilesets that keep repeated tiles."""
+    return tiles.numbered(tiles.spread(_indexed(spark, sf_dir))).select("image_id", "tile", _list("data").alias("data"))
+
+
+@query("tileset_colors", f"WITH {PIXELS_SQL}, {_INDEX_SQL}, {_FLIP_SQL} SELECT image_id, CAST(tile % 16 * 8 + p % 8 AS INT) AS x, CAST(tile // 16 * 8 + p // 8 AS INT) AS y, {_normalize_sql('snes', 'pal.colors[first[p + 1] + 1]')} AS rgba FROM ts JOIN pal USING (image_id), range(64) r(p)")
+def tileset_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of tilesets in their colours."""
+    found = tiles.dedupe(_indexed(spark, sf_dir).withColumn("palette", F.lit(0)))
+    return outputs.tileset_colors(found, _sorted_palette(spark, sf_dir), SNES).select("image_id", "x", "y", F.col("rgba").cast("decimal(38,0)").cast("long").alias("rgba"))
+
+
+@query(
+    "map_filled",
+    f"""WITH {PIXELS_SQL}, im AS (SELECT DISTINCT image_id FROM ev), tl AS (SELECT image_id, seq % 32 AS tx, seq // 32 AS ty, string_agg(rgba, ',' ORDER BY p) AS pixels FROM px GROUP BY image_id, seq)
+    SELECT im.image_id, CAST(n AS INT) AS seq, coalesce(pixels, array_to_string(list_transform(range(64), lambda i: 0), ',')) AS pixels
+    FROM im CROSS JOIN range(1400) r(n) LEFT JOIN tl ON tl.image_id = im.image_id AND tx = n % 40 AND ty = n // 40""",
+)
+def map_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images cut and filled up to maps of 40 by 35 tiles."""
+    return tiles.grid(event_tiles(spark, sf_dir), 40, 35).select("image_id", "seq", _list("rgba").alias("pixels"))
+
+
+@query(
+    "png_scaled",
+    f"""WITH {PIXELS_SQL}, w AS (SELECT image_id, 256 AS width, CAST(max(seq // 32 * 8 + p // 8) + 1 AS INT) AS height FROM px GROUP BY image_id),
+    q AS (SELECT image_id, seq % 32 * 8 + p % 8 AS x, seq // 32 * 8 + p // 8 AS y, {_normalize_sql('snes', 'c')} AS rgba FROM rx)
+    SELECT w.image_id, width, height, md5(string_agg(coalesce(rgba, 0)::BIGINT, ',' ORDER BY n)) AS pixels FROM w CROSS JOIN range(65536) r(n)
+    LEFT JOIN q ON q.image_id = w.image_id AND q.x = n % 256 AND q.y = n // 256 WHERE n < width * height GROUP BY w.image_id, width, height""",
+)
+def png_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images at the mode's depth as PNG files, which are read again."""
+    own = event_pixels(spark, sf_dir).withColumn("rgba", color.normalize(color.reduce(F.col("rgba"), SNES), SNES))
+    read = png.as_files(own).select("image_id", png.decoded("content").alias("image"))
+    return read.select("image_id", "image.width", "image.height", F.md5(_list("image.rgba").cast("binary")).alias("pixels"))
+
+
+@query(
+    "convert_native",
+    f"""WITH {PIXELS_SQL}, {_in_order_sql(4)}, {_PACKED_MAP_SQL}, {_FLIP_SQL},
+    pn AS (SELECT image_id, string_agg(rpad(hex, 16, '0'), '' ORDER BY palette) AS palette_hex FROM (
+        SELECT image_id, palette, string_agg(printf('%02x%02x', w & 255, w >> 8), '' ORDER BY i) AS hex FROM (
+            SELECT image_id, palette, i, {_WORD_SQL['snes'].format(*_CH)} AS w FROM (SELECT image_id, palette, unnest(colors) AS c, generate_subscripts(colors, 1) AS i FROM po)) GROUP BY ALL) GROUP BY image_id),
+    pl AS (SELECT image_id, tile, p // 8 * 2 + pl AS b, CAST(sum(((first[p + 1] >> pl) & 1) << (7 - p % 8)) AS BIGINT) AS v FROM ts, range(64) r(p), range(2) s(pl) GROUP BY ALL),
+    tn AS (SELECT image_id, string_agg(printf('%02x', v), '' ORDER BY tile, b) AS tiles_hex FROM pl GROUP BY image_id),
+    pf AS (SELECT tt.*, first, tile FROM (SELECT *, list_transform(range(64), lambda p: data[p // 8 * 8 + 7 - p % 8 + 1]) AS fh, list_transform(range(64), lambda p: data[(7 - p // 8) * 8 + p % 8 + 1]) AS fv,
+        list_reverse(data) AS fhv FROM tt) tt JOIN ts ON ts.image_id = tt.image_id AND ts.canon = least(data, fh, fv, fhv)),
+    be AS (SELECT image_id, seq, min([palette, tile, CASE WHEN data = first THEN 0 WHEN fh = first THEN 1 WHEN fv = first THEN 2 ELSE 3 END]) AS b FROM pf GROUP BY image_id, seq),
+    mn AS (SELECT image_id, string_agg(printf('%02x%02x', b[2] & 255, (b[2] // 256 & 3) + (b[1] & 7) * 4 + (b[3] % 2) * 64 + (b[3] // 2) * 128), '' ORDER BY seq) AS map_hex FROM be GROUP BY image_id)
+    SELECT image_id, CAST(NULL AS VARCHAR) AS problem, palette_hex, tiles_hex, map_hex FROM pn JOIN tn USING (image_id) JOIN mn USING (image_id)
+    UNION ALL SELECT -1, 'colors do not fit in a palette', NULL, NULL, NULL""",
+)
+def convert_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversions; one image more has tiles of too many colours, which holds up none of the others."""
+    noise = event_colors(spark, sf_dir).select(F.lit(-1).cast("long").alias("image_id"), (F.col("event_id") % 8).alias("x"), F.expr("event_id div 8").alias("y"), F.col("rgba").bitwiseOR(F.lit(0xFF000000)).alias("rgba"))
+    options = Options(bpp=2)
+    return native(convert(event_pixels(spark, sf_dir).unionByName(noise), options), options, 32, 32)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tilesets without repeats, their tiles in native form."""
     found = tiles.dedupe(_indexed(spark, sf_dir))

@@ -36,12 +36,16 @@ def _pixel(m: Column) -> Column:
 
 
 def event_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, seq, tx, ty, rgba): tiles with their 64 colours, row by row."""
-    rows = _events(spark, sf_dir)
+    """(image_id, seq, tx, ty, rgba): tiles with their 64 colours, row by row.
+
+    Pixels follow from four small fields, so the hundred tiles that there can be are drawn once.
+    """
+    part = lambda by, of: (F.expr(f"id div {by}") % of).cast("int")
+    drawn = spark.range(100).select(part(20, 5).alias("k"), part(4, 5).alias("g"), part(2, 2).alias("fh"), part(1, 2).alias("fv"))
+    drawn = drawn.withColumn("rgba", F.transform(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), _index), _pixel))
     # one file is one task; tiles are dealt out before the work on their pixels
-    rows = rows.repartition("image_id", "seq")
-    rgba = F.transform(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), _index), _pixel)
-    return rows.select("image_id", "seq", (F.col("seq") % COLUMNS).alias("tx"), F.expr(f"seq div {COLUMNS}").cast("int").alias("ty"), rgba.alias("rgba"))
+    rows = _events(spark, sf_dir).repartition("image_id", "seq").join(F.broadcast(drawn), ["k", "g", "fh", "fv"])
+    return rows.select("image_id", "seq", (F.col("seq") % COLUMNS).alias("tx"), F.expr(f"seq div {COLUMNS}").cast("int").alias("ty"), "rgba")
 
 
 def event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

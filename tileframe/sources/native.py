@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.codec import layout, unpack_palette, unpack_tile
 from ..functions.color import from_hex, reduce
 from ..operators.palettes import from_colors, without_col0_duplicate
+from ..operators.tiles import metatiles
 from ..plans.modes import Mode
 
 
@@ -29,15 +30,18 @@ def palettes_from_native(hexes: Column, m: Mode, max_colors: int | None = None)
 
 
 def read_palettes(spark: SparkSession, path: str, m: Mode, max_colors: int | None = None) -> DataFrame:
-    """(path, palettes): palette files, read as JSON if they are that and as native bytes otherwise."""
-    text = F.decode("content", "UTF-8")
-    is_json = F.col("content").startswith(F.lit(b"{"))
-    rows = files(spark, path)
-    return rows.select("path", F.when(is_json, palettes_from_json(text, m)).otherwise(palettes_from_native(F.lower(F.hex("content")), m, max_colors)).alias("palettes"))
+    """(path, palettes): palette files, read as JSON with subpalettes that fit if they are that, and as native bytes otherwise."""
+    told = palettes_from_json(F.regexp_replace(F.col("content").cast("string"), "^\\x{FEFF}", ""), m)
+    fits = ~F.exists(told, lambda p: F.size(p) > (max_colors or m.colors))
+    rows = files(spark, path).select("path", "content", F.when(F.coalesce(fits, F.lit(False)), told).alias("told"))
+    return rows.select("path", F.when(F.col("told").isNotNull(), F.col("told")).otherwise(palettes_from_native(F.lower(F.hex("content")), m, max_colors)).alias("palettes"))
 
 
-def read_tiles(spark: SparkSession, path: str, m: Mode, bpp: int | None = None) -> DataFrame:
-    """(image_id, tile, data): the 8 by 8 tiles of native files, in order; a size that isn't whole tiles is an error."""
+def read_tiles(spark: SparkSession, path: str, m: Mode, bpp: int | None = None, width: int = 8, height: int = 8) -> DataFrame:
+    """(image_id, tile, data): the tiles of native files, in order; a size that isn't whole tiles is an error.
+
+    Larger tiles are put together from 8 by 8 cells: one starts at every cell that has its others.
+    """
     bpp = bpp or m.bpp
     layout(m, bpp)
     size = 8 * bpp
@@ -45,4 +49,5 @@ def read_tiles(spark: SparkSession, path: str, m: Mode, bpp: int | None = None)
     rows = files(spark, path).withColumn("n", whole).where("n > 0")
     rows = rows.select("path", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tile"))
     part = F.lower(F.hex(F.substring(F.col("content"), F.col("tile") * size + 1, F.lit(size))))
-    return rows.select(F.col("path").alias("image_id"), "tile", part.alias("native")).select("image_id", "tile", unpack_tile(F.col("native"), m, bpp).alias("data"))
+    cells = rows.select(F.col("path").alias("image_id"), "tile", part.alias("native")).select("image_id", "tile", unpack_tile(F.col("native"), m, bpp).alias("data"))
+    return cells if (width, height) == (8, 8) else metatiles(cells, width, height, per_row=16 if m.name == "snes" else 1)

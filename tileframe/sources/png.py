@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,15 +55,17 @@ def _unfiltered(raw: memoryview, rows: int, stride: int, step: int) -> np.ndarra
             own[step:] = np.cumsum(pad.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)[:stride]
         elif kind == 2:
             own[step:] = line + above[step:]
-        elif kind in (3, 4):
-            for i in range(step, step + stride):
-                a, b, c = int(own[i - step]), int(above[i]), int(above[i - step])
+        elif kind in (3, 4):  # each byte needs the one before it; plain lists are several times as fast here as arrays
+            up, new = above.tolist(), [0] * step
+            for i, v in enumerate(line.tolist()):
+                a, b, c = new[i], up[i + step], up[i]
                 if kind == 3:
-                    guess = (a + b) // 2
+                    guess = (a + b) >> 1
                 else:
                     pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
                     guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                own[i] = (int(line[i - step]) + guess) & 0xFF
+                new.append((v + guess) & 0xFF)
+            own[:] = new
         else:
             raise ValueError(f"unknown PNG filter {kind}")
     return out[1:, step:]
@@ -183,13 +185,42 @@ def encoded_indexed(width: pd.Series, height: pd.Series, idx: pd.Series, palette
     return pd.Series([encode(w, h, idx=np.asarray(i), palette=None if p is None else np.asarray(p)) for w, h, i, p in rows])
 
 
+def as_files(rows: DataFrame, palette: Column | None = None) -> DataFrame:
+    """(image_id, content): PNG files of pixels (image_id, x, y, rgba), or with a ``palette`` of (image_id, x, y, idx); places without a pixel are 0.
+
+    One image is one row from here on, as it is one file.
+    """
+    value = F.col("rgba") if palette is None else F.col("idx")
+    found = rows.groupBy("image_id").agg(
+        (F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), F.collect_list(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), value.cast("long").alias("v"))).alias("at")
+    )
+    return found.select("image_id", placed("width", "height", "at.x", "at.y", "at.v", F.lit(None).cast("array<long>") if palette is None else palette).alias("content"))
+
+
+@F.pandas_udf(T.BinaryType())
+def placed(width: pd.Series, height: pd.Series, x: pd.Series, y: pd.Series, value: pd.Series, palette: pd.Series) -> pd.Series:
+    """PNG files of values at places: colours, or indices where there is a palette."""
+
+    def one(w: int, h: int, xs, ys, values, colors) -> bytes:
+        grid = np.zeros(w * h, np.int64)
+        grid[np.asarray(ys) * w + np.asarray(xs)] = values
+        return encode(w, h, grid) if colors is None else encode(w, h, idx=grid, palette=np.asarray(colors))
+
+    return pd.Series([one(*row) for row in zip(width, height, x, y, value, palette, strict=True)])
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, image): every PNG file under a path, decoded where it is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true").load(path)
     return files.select("path", decoded("content").alias("image"))
 
 
+def whole(images: DataFrame, id_col: str = "path") -> DataFrame:
+    """(image_id, width, height, rgba, palette): images that could be read; palette is null where they have none."""
+    return images.where("image.error is null").select(F.col(id_col).alias("image_id"), "image.width", "image.height", "image.rgba", "image.palette")
+
+
 def pixels(images: DataFrame, id_col: str = "path") -> DataFrame:
     """(image_id, x, y, rgba, idx): images as pixels; those with errors have none."""
-    rows = images.select(F.col(id_col).alias("image_id"), "image.width", F.posexplode(F.arrays_zip("image.rgba", F.coalesce("image.idx", F.array().cast("array<int>")).alias("idx"))).alias("p", "v"))
+    rows = images.where("image.error is null").select(F.col(id_col).alias("image_id"), "image.width", F.posexplode(F.arrays_zip("image.rgba", F.coalesce("image.idx", F.array().cast("array<int>")).alias("idx"))).alias("p", "v"))
     return rows.select("image_id", (F.col("p") % F.col("width")).alias("x"), F.expr("p div width").cast("int").alias("y"), F.col("v.rgba"), F.col("v.idx"))

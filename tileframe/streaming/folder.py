@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.convert import Options, convert, native
-from ..sources.png import decoded, pixels
+from ..plans.convert import Options, convert, convert_tiles, native, sliced_images
+from ..sources.png import decoded, pixels, whole
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -21,7 +21,11 @@ def convert_folder(spark: SparkSession, path: str, out: str, checkpoint: str, op
 
     def batch(rows: DataFrame, number: int) -> None:
         images = rows.select("path", decoded("content").alias("image"))
-        found = native(convert(pixels(images), options), options, map_width, map_height)
+        if options.no_remap:
+            done = convert(pixels(images), options, whole(images))
+        else:
+            done = convert_tiles(sliced_images(whole(images), options), options)
+        found = native(done, options, map_width, map_height)
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
