@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,6 +70,27 @@ def test_window_stays_small():
     text = "thereisnospaceinthisverylongword" * 300
     ids = list(p.stream(text, held))
     assert max(held) <= 4 * p.longest and "".join(p.texts[i] for i in ids) == text
+    held.clear()
+    assert np.frombuffer(p.streams([text, "short", text[7:], ""], held)[0], np.int32).tolist() == ids and max(held) <= 4 * p.longest
+
+
+WORDS = st.lists(st.text(st.sampled_from("abehnost▁rein\n\té😀中ß_"), max_size=70), max_size=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(WORDS)
+def test_streams_side_by_side_are_those_one_by_one(words):
+    p = pieces()
+    assert [np.frombuffer(x, np.int32).tolist() for x in p.streams(words)] == [list(p.stream(w)) for w in words]
+
+
+def test_equal_hashes_are_told_apart_by_characters(monkeypatch):
+    """Even if all parts of words had the hash of one piece, only that piece would be found there."""
+    p = spm.Pieces(PATH)
+    monkeypatch.setattr(p, "power", [np.uint64(0)] * len(p.power))
+    for word, ids in zip(words := ["there", "▁the", "zzz"], p.streams(words), strict=True):
+        ids = np.frombuffer(ids, np.int32).tolist()
+        assert b"".join(p.octets[i] for i in ids).decode() == word.replace("▁", " ")
 
 
 def test_whole_tables(documents, odd_docs):

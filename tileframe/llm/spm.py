@@ -3,7 +3,9 @@
 The segmentation of a text with the largest sum of piece scores is found in one pass: only
 the scores of the last places that a piece can reach back to are kept, and backpointers are
 kept until the paths from all of these places pass one boundary; the ids up to it are then
-final. Characters that no piece has are spelled in bytes.
+final. Characters that no piece has are spelled in bytes. Where no piece goes past a space,
+the streams are the distinct words of some texts, else the texts; all of them go forward
+together, a place at a time.
 """
 
 from __future__ import annotations
@@ -71,6 +73,9 @@ class Pieces:
         by_hash = np.argsort(keys)
         self.hashes, self.scores = keys[by_hash], np.array([self.ids[t][0] for t in texts])[by_hash]
         self.hash_ids = np.array([self.ids[t][1] for t in texts], np.int32)[by_hash]
+        self.sizes = np.array([len(t) for t in texts], np.int64)[by_hash]
+        self.chars = np.array([*texts, ""], f"<U{self.longest}").view(np.uint32).reshape(-1, self.longest)[:-1][by_hash]
+        self.power = [np.uint64(pow(int(BASE), n, 1 << 64)) for n in range(self.longest + 1)]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
         # characters that no longer piece has stand alone: every path has boundaries around them
@@ -84,7 +89,9 @@ class Pieces:
         return [self.byte_ids.get(b, self.unknown_id) for b in char.encode("utf-8", "replace")]
 
     def stream(self, text: str, retained: list[int] | None = None) -> Iterator[int]:
-        """Ids of the best segmentation; of equal sums the one whose last piece is longest, from the end on.
+        """Ids of the best segmentation of one text; of equal sums the one whose last piece is longest, from the end on.
+
+        ``streams`` does the same for many.
 
         ``retained``, if given, gets the number of backpointers held at each step.
         """
@@ -149,7 +156,7 @@ class Pieces:
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; null is empty. Where no piece goes past a space, each distinct word is searched once for a portion of texts."""
         if not self.words_part:
-            return [np.fromiter(self.stream(self._marked(t)), np.int32) for t in texts.to_pylist()]
+            return [np.frombuffer(x, np.int32) for x in self.streams([self._marked(t) for t in texts.to_pylist()])]
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
         cuts = np.flatnonzero(np.diff(ends // PORTION)) + 1 if len(ends) else []
         out: list[np.ndarray] = []
@@ -208,69 +215,114 @@ class Pieces:
 
     def _searched(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words as bytes of 32-bit numbers, those that were kept and new ones."""
-        fresh = list({w: None for w in words if w not in self.kept})
-        short = [w for w in fresh if len(w) <= self.longest]
         known = self.kept
-        known.update(zip(short, self._side_by_side(short), strict=True))
-        # characters without a piece are rare; words with them, and long ones, are searched one by one
-        known.update((w, _bytes(self.stream(w))) for w in fresh if known.get(w) is None)
+        fresh = list({w: None for w in words if w not in known})
+        known.update(zip(fresh, self.streams(fresh), strict=True))
         out = [known[w] for w in words]
         if len(known) > KEPT_WORDS:
             self.kept = dict(zip(words, out, strict=True))
         return out
 
-    def _side_by_side(self, words: list[str]) -> list[bytes | None]:
-        """Ids of words no longer than a piece, place by place for all of them at once; None where a character has no piece.
+    def streams(self, words: list[str], retained: list[int] | None = None) -> list[bytes]:
+        """What ``stream`` gives for each word, as bytes of 32-bit numbers: the same search for all words at once, place by place.
 
-        A part of a word is known by its polynomial hash, which is 64 bits of all its characters.
+        Of each word the scores and hashes of the last ``longest`` places are kept in rings.
+        Every ``longest`` places the ids up to the boundary that all surviving paths of a word
+        share are committed and backpointers that no word needs any more go. Pieces are found
+        by hash and then compared by their characters. ``retained`` gets the number of places
+        whose backpointers are held after each step.
         """
-        if not words:
-            return []
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        n, longest = len(words), self.longest
+        sizes = np.fromiter(map(len, words), np.int64, n)
         order = np.argsort(-sizes, kind="stable")
-        width, sizes = int(sizes.max()), sizes[order]
-        chars = np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width)[order].T.astype(np.uint64)
-        count = np.searchsorted(-sizes, -np.arange(width + 1), side="right")  # words of so many characters at least
-        hashes = [np.zeros(len(words), np.uint64)]
-        for c in chars:
-            hashes.append(hashes[-1] * BASE + c + np.uint64(1))
-        sums = [np.zeros(len(words))]
-        lengths, found = np.zeros((width, len(words)), np.int64), np.full((width, len(words)), -1, np.int32)
-        power = [np.uint64(pow(int(BASE), n, 1 << 64)) for n in range(width + 1)]
-        for end in range(1, width + 1):
-            n = count[end]
-            best, length, piece = np.full(n, -np.inf), lengths[end - 1, :n], found[end - 1, :n]
-            for size in range(1, end + 1):
-                own = hashes[end][:n] - hashes[end - size][:n] * power[size]
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        scores, hashes = np.zeros((longest + 1, n)), np.zeros((longest + 1, n), np.uint64)
+        done, base = np.zeros(n, np.int64), 0
+        lengths: list[np.ndarray] = []  # of the last pieces of places base + 1 on
+        found: list[np.ndarray] = []  # their ids (-1: spelled)
+        told: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def tell(lanes: np.ndarray, ends: np.ndarray) -> None:
+            """Commit the ids of the best paths of some words up to a place of each."""
+            steps, at = [], ends.copy()
+            while (left := at > done[lanes]).any():
+                lanes, at = lanes[left], at[left]
+                back = np.empty((2, len(lanes)), np.int64)
+                for place in np.unique(at):
+                    own = at == place
+                    back[0, own], back[1, own] = lengths[place - base - 1][lanes[own]], found[place - base - 1][lanes[own]]
+                spelled = back[1] < 0
+                back[1, spelled] = -2 - text[starts[lanes[spelled]] + at[spelled] - 1].astype(np.int64)
+                steps.append((lanes, back[1]))
+                at = at - back[0]
+            told.extend(reversed(steps))
+
+        m, end = int((sizes > 0).sum()), 0
+        while m:
+            end += 1
+            hashes[end % (longest + 1), :m] = hashes[(end - 1) % (longest + 1), :m] * BASE + text[starts[:m] + end - 1] + np.uint64(1)
+            best = scores[(end - 1) % (longest + 1), :m] + self.unknown_score
+            length, piece = np.ones(m, np.int64), np.full(m, -1, np.int32)
+            for size in range(1, min(end, longest) + 1):
+                own = hashes[end % (longest + 1), :m] - hashes[(end - size) % (longest + 1), :m] * self.power[size]
                 at = np.flatnonzero(self.maybe[(own >> np.uint64(44)).astype(np.int64)])
                 own = own[at]
                 place = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
                 known = self.hashes[place] == own
                 at, place = at[known], place[known]
-                score = sums[end - size][at] + self.scores[place]
+                score = scores[(end - size) % (longest + 1), at] + self.scores[place]
                 better = score >= best[at]
-                at, place = at[better], place[better]
-                best[at], length[at], piece[at] = score[better], size, self.hash_ids[place]
-            sums.append(best)
-        rest, steps = sizes.copy(), []
-        rows = np.arange(len(words))
-        while (alive := rest > 0).any():
-            ids = np.full(len(words), -2, np.int32)
-            ids[alive] = found[rest[alive] - 1, rows[alive]]
-            steps.append(ids)
-            rest[alive] -= np.maximum(lengths[rest[alive] - 1, rows[alive]], 1)
-        table = np.stack(steps[::-1], axis=1)
-        failed = (table == -1).any(axis=1)
-        used = table >= 0
-        ends = np.cumsum(used.sum(axis=1)) * 4
-        told = table[used].tobytes()
-        out: list[bytes | None] = [None] * len(words)
-        start = 0
-        for k, end, bad in zip(order.tolist(), ends.tolist(), failed.tolist(), strict=True):
-            out[k] = None if bad else told[start:end]
-            start = end
+                at, place, score = at[better], place[better], score[better]
+                same = (text[(starts[at] + end - size)[:, None] + np.arange(size)] == self.chars[place, :size]).all(axis=1) & (self.sizes[place] == size)
+                at, place = at[same], place[same]
+                best[at], length[at], piece[at] = score[same], size, self.hash_ids[place]
+            scores[end % (longest + 1), :m] = best
+            lengths.append(length)
+            found.append(piece)
+            if retained is not None:
+                retained.append(len(found))
+            left = int(np.searchsorted(-sizes, -end, side="left"))  # words that go on
+            if left < m:
+                tell(np.arange(left, m), np.full(m - left, end))
+            m = left
+            if m and end % longest == 0:
+                lanes = np.arange(m)
+                common = self._common(lengths, done[:m], base, end)
+                tell(lanes[common > done[:m]], common[common > done[:m]])
+                done[:m] = np.maximum(done[:m], common)
+                gone = int(done[:m].min()) - base
+                del lengths[:gone], found[:gone]
+                base += gone
+        lanes = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in told)])
+        ids = np.concatenate([np.zeros(0, np.int64), *(x for _, x in told)])
+        by_word = np.argsort(order[lanes], kind="stable")
+        lanes, ids = order[lanes][by_word], ids[by_word]
+        ends = np.searchsorted(lanes, np.arange(n + 1))
+        octets = ids.astype(np.int32).tobytes()
+        out = [octets[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for k in np.unique(lanes[ids < 0]).tolist():
+            own = ids[ends[k] : ends[k + 1]].tolist()
+            out[k] = _bytes(x for i in own for x in ([i] if i >= 0 else self.spelled(chr(-2 - i))))
         return out
 
+    def _common(self, lengths: list[np.ndarray], done: np.ndarray, base: int, end: int) -> np.ndarray:
+        """``_converged`` for many words: the last boundary of each that the paths from all places that pieces can still start at pass."""
+        m = len(done)
+        alive = np.zeros((end - base + 1, m), bool)
+        places = np.arange(base, end + 1)[:, None]
+        alive[(places >= np.maximum(end + 1 - self.longest, done)) & (places <= end)] = True
+        count = alive.sum(axis=0)
+        for place in range(end, base, -1):
+            own = np.flatnonzero(alive[place - base] & (count > 1))
+            if not len(own):
+                continue
+            to = place - lengths[place - base - 1][own] - base
+            alive[place - base, own] = False
+            count[own] -= alive[to, own]
+            alive[to, own] = True
+        return base + alive.argmax(axis=0)
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: marks are spaces, the first of which goes; runs of bytes are UTF-8."""
         text = b"".join(map(self.octets.__getitem__, ids)).decode("utf-8", "replace")
