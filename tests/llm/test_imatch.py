@@ -81,6 +81,20 @@ def test_few_rows(documents):
     assert got(one, imatch.IDF_BAND, 4) == plain([(r.doc_id, r.text)], imatch.IDF_BAND)
 
 
+def test_half_replaced_texts_stay_alike(spark):
+    """Of the texts whose last half is another's, at least nine in ten beat the likeness that only one in fifty unlike texts has."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = imatch.fingerprints_with_edits(docs).where("n_chars > 1").collect()
+    assert sum(r.near_edited > imatch.ALIKE for r in rows) >= 0.9 * len(rows)
+    assert sum(r.near_next > imatch.ALIKE for r in rows) <= 0.02 * len(rows)
+
+
+def test_very_long_texts(spark):
+    rows = [(i, " ".join(f"w{(i + 1) * j % 50_000}" for j in range(60_000))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs, (0.1, 7.0), 3) == plain(rows, (0.1, 7.0))
+
+
 def test_close_copies_stay_alike(spark):
     words = [f"w{i * i % 997}" for i in range(400)]
     rows = [(i, " ".join(f"x{(i * 31 + j * 7) % 4000}" for j in range(200))) for i in range(60)]

@@ -19,10 +19,15 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, words_of
 
-#: Random subsets of the lexicon, each of one term in so many: (place of the hash bits that are compared, one in, number of the subset).
-SUBSETS = [(0, 4, s) for s in range(4)] + [(8, 64, s) for s in range(10)] + [(16, 256, s) for s in range(10)]
+#: Kinds of random subsets of the lexicon: place of the hash bits that are compared, one term in how many, and subsets of the kind.
+#: A half replaced text keeps most hashes of subsets that have about one of its terms, so there are kinds for short and for long texts.
+KINDS = [(0, 4, 4), (8, 16, 8), (16, 64, 18), (24, 256, 18), (36, 1024, 12)]
+#: All subsets: place of the bits, one in, and the value that the bits must have.
+SUBSETS = [(place, of, s) for place, of, n in KINDS for s in range(n)]
+#: Likeness that more than nine of ten half replaced texts have with what they were, and one of fifty unlike texts.
+ALIKE = 0.02
 #: Band of idf = ln(documents / documents with the term).
-IDF_BAND = (3.0, 7.0)
+IDF_BAND = (4.0, 7.0)
 #: Lexicons of more terms are joined by a shuffle instead of being sent along.
 SENT_TERMS, SENT_SLOTS = 100_000, 1 << 14
 
@@ -83,11 +88,14 @@ def with_next(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str
 def _subset_hashes(terms: Column) -> Column:
     """The hash of each subset's share of sorted terms; 0 where it has none."""
 
-    def one(place: int, of: int, s: int) -> Column:
-        kept = F.filter(terms, lambda t: F.shiftrightunsigned(t, place).bitwiseAND(F.lit(of - 1)) == s)
-        return F.when(F.size(kept) > 0, F.xxhash64(kept)).otherwise(F.lit(0).cast("long"))
+    def kind(place: int, of: int, n: int) -> Column:
+        """An array of the hashes of the subsets of one kind, in an array. Terms in none of them are left out first."""
+        bits = lambda t: F.shiftrightunsigned(t, place).bitwiseAND(F.lit(of - 1))
+        hashed = lambda kept: F.when(F.size(kept) > 0, F.xxhash64(kept)).otherwise(F.lit(0).cast("long"))
+        some = F.filter(terms, lambda t: bits(t) < n) if n < of else terms
+        return F.transform(F.array(some), lambda own: F.transform(F.array(*[F.lit(s) for s in range(n)]), lambda s: hashed(F.filter(own, lambda t: bits(t) == s))))
 
-    return F.array(*[one(*subset) for subset in SUBSETS])
+    return F.flatten(F.concat(*[kind(*k) for k in KINDS]))
 
 
 def _filled(hashes: Column, terms: Column) -> Column:
