@@ -20,7 +20,7 @@ def odd_docs(spark):
     rows += [rows[5], rows[5], (None, "a b c", None, None, None), (7, None, "en", "s1", 0)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     df = spark.createDataFrame(rows, schema)
-    for name in ("fp", "id", "anchor", "u", "row", "words", "n", "word", "key", "lines", "line", "terms", "term"):
+    for name in ("fp", "id", "anchor", "u", "row", "words", "n", "word", "key", "lines", "line", "terms", "term", "_gone", "_key", "_row", "_target", "_tie", "_told", "_words", "_at", "tie", "target", "told", "row_key", "gone_places", "own_words", "own_at", "site", "place", "band", "text_"):
         df = df.selectExpr("*", f"'clash' as {name}")
     return df
 

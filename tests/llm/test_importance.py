@@ -60,6 +60,9 @@ def test_top_k(spark):
     for size in (0, 1, 17, 250, 500, 900):
         got = [tuple(r)[:2] for r in df.withColumn("c", importance.top_k(df, F.col("k"), F.col("t"), size)).where("c").collect()]
         assert sorted(got) == sorted(sorted(rows, reverse=True)[:size])
+    far = spark.createDataFrame([(-2e6, 1), (-3e6, 2), (5e11, 3), (5e11 + 1e-3, 4), (-1e300, 5)], "k double, t long")
+    for size, want in ((1, {4}), (2, {3, 4}), (3, {1, 3, 4}), (4, {1, 2, 3, 4}), (5, {1, 2, 3, 4, 5})):
+        assert {r.t for r in far.where(importance.top_k(far, F.col("k"), F.col("t"), size)).collect()} == want
     same = spark.createDataFrame([(1.0, 5)] * 4, "k double, t long")
     assert same.where(importance.top_k(same, F.col("k"), F.col("t"), 2)).count() == 4
 
@@ -73,7 +76,8 @@ def test_odd_rows(spark, odd_docs):
     ids = odd_docs.select("doc_id").limit(4)
     got = importance.resample(odd_docs, ids)
     assert got.count() == odd_docs.count() and got.where("log_weight is null or chosen is null").count() == 0
-    assert set(odd_docs.columns) <= set(got.columns)
+    assert set(odd_docs.columns) <= set(got.columns) and got.where("_tie != 'clash' or tie != 'clash' or _target != 'clash'").count() == 0
+    assert importance.resample(odd_docs, ids, shun_ids=ids).count() == odd_docs.count()
     assert importance.resample(odd_docs, ids.limit(0)).where("log_weight != 0").count() == 0
     assert importance.resample(odd_docs.limit(0), ids).count() == 0
     assert importance.resample(odd_docs, ids, size=3).where("chosen").count() >= 3

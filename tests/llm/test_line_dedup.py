@@ -42,8 +42,15 @@ def test_many_sites_near_the_threshold(spark):
     assert got(docs, 100) == plain(rows, 100)
 
 
+def test_very_long_texts(spark):
+    rows = [(k, f"site{k % 12}", "\n".join(f"line {i} of {k if i % 2 else 'all'}" for i in range(20_000))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert got(docs, 10) == plain(rows, 10)
+
+
 def test_other_columns_stay(odd_docs):
     assert sorted(line_dedup.drop_boilerplate(odd_docs).columns) == sorted([*odd_docs.columns, "n_removed"])
+    assert line_dedup.drop_boilerplate(odd_docs, 2).where("_gone != 'clash' or _key != 'clash' or row_key != 'clash' or gone_places != 'clash'").count() == 0
     assert line_dedup.drop_boilerplate(odd_docs.limit(0)).count() == 0
 
 

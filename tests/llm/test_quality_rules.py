@@ -69,5 +69,5 @@ def test_verdicts_follow_labels(spark):
 
 
 def test_odd_rows(odd_docs):
-    assert q.judged(odd_docs).count() == odd_docs.count()
+    assert q.judged(odd_docs).where("_words = 'clash' and own_words = 'clash' and _at = 'clash' and own_at = 'clash'").count() == odd_docs.count()
     assert q.judged(odd_docs.limit(0)).count() == 0

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .common import checkpoint
+from .common import checkpoint, free
 
 BUCKETS = 1 << 16
 #: Labelled target documents that the target model is fitted on, about: those whose hash falls below the share that gives so many.
@@ -68,21 +68,22 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + SHRINK) / (expected + SHRINK))
 
 
-def _among(docs: DataFrame, ids: DataFrame, id_col: str, sample: int, n: int) -> DataFrame:
-    """The rows of ``docs`` with one of about ``sample`` of the ``n`` ids in column _target."""
-    picked = F.pmod(F.xxhash64("_target"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))
-    return docs.join(F.broadcast(ids.where(picked)), docs[id_col] == F.col("_target"), "left_semi")
+def _among(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, sample: int, n: int) -> DataFrame:
+    """(text) of the rows of ``docs`` with one of about ``sample`` of the ``n`` ids in column target."""
+    picked = F.pmod(F.xxhash64("target"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))
+    rows = docs.select(F.col(id_col).alias("target"), F.col(text_col).alias("text"))
+    return rows.join(F.broadcast(ids.where(picked)), "target", "left_semi").select("text")
 
 
 def shunned(rows: DataFrame, docs: DataFrame, target_ids: DataFrame, shun_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``rows`` with shun_log_odds: log odds that a text is like those of ``shun_ids`` rather than like those of ``target_ids``."""
     from .markers import Markers
 
-    kinds = [ids.toDF("_target").where("_target is not null").distinct() for ids in (shun_ids, target_ids)]
+    kinds = [ids.toDF("target").where("target is not null").distinct() for ids in (shun_ids, target_ids)]
     ns = [ids.count() for ids in kinds]
     if not all(ns):
         return rows.withColumn("shun_log_odds", F.lit(float("-inf")))
-    texts = [checkpoint(_among(docs, ids, id_col, MARKED_SAMPLE, n).select(F.col(text_col).alias("text")).distinct()) for ids, n in zip(kinds, ns, strict=True)]
+    texts = [checkpoint(_among(docs, ids, id_col, text_col, MARKED_SAMPLE, n).distinct()) for ids, n in zip(kinds, ns, strict=True)]
     sent = docs.sparkSession.sparkContext.broadcast(Markers(*texts, math.log(ns[0] / ns[1])))
 
     @F.pandas_udf("double")
@@ -110,36 +111,44 @@ def gumbel(*key: Column) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def _ordinal(key: Column) -> Column:
-    """Keys between -10^6 and 10^6 (others count as these) as longs of the same order."""
-    return F.floor((F.greatest(F.least(key, F.lit(1e6)), F.lit(-1e6)) + 1e6) * F.lit(float(1 << 41))).cast("long")
-
-
 def top_k(keys: DataFrame, key: Column, tie: Column, k: int) -> Column:
-    """Whether a row is among the ``k`` with the largest keys of ``keys``; equal keys go by ``tie``, a long.
+    """Whether a row is among the ``k`` with the largest keys (finite doubles) of ``keys``; equal keys go by ``tie``, a long.
 
-    Rows equal in both are alike. The k-th row is found digit by digit from counts of 2^16
-    values at most, so no sort of all rows and no group of rows is needed.
+    Rows equal in both are alike. The k-th row is found from counts of 2^16 values at most:
+    the range of the keys is parted evenly, then the part that has the k-th row, until all
+    keys of a part are equal; ties go digit by digit. So no sort of all rows and no group of
+    rows is needed.
     """
-    fields = {"_rank": _ordinal(key), "_tie": tie}
-    left, least = keys.select(*[v.alias(n) for n, v in fields.items()]), {}
     if k <= 0:
         return F.lit(False)
-    for name in fields:
-        value = 0
-        for shift in (48, 32, 16, 0):
-            digit = F.shiftright(name, 48) if shift == 48 else F.shiftrightunsigned(name, shift).bitwiseAND(F.lit(0xFFFF))
-            counts = {r.d: r.n for r in left.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect()}
-            for d in sorted(counts, reverse=True):
-                if k <= counts[d]:
-                    break
-                k -= counts[d]
-            else:
-                return F.lit(True)
-            left, value = left.where(digit == d), (value << 16) + d
-        least[name] = value
-    rank = _ordinal(key)
-    return (rank > least["_rank"]) | ((rank == least["_rank"]) & (tie >= least["_tie"]))
+    left = keys.select(key.alias("key"), tie.alias("tie"))
+    low, high = left.agg(F.min("key"), F.max("key")).first()
+    if low is None:
+        return F.lit(True)
+    while low < high:
+        part = F.least(F.floor((F.col("key") / 2 - low / 2) / (high / 2 - low / 2) * 65536), F.lit(65535)).cast("int")
+        found = {r.d: r for r in left.groupBy(part.alias("d")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()}
+        k, d = _part_of(k, {d: r.n for d, r in found.items()})
+        if d is None:
+            return F.lit(True)
+        left, low, high = left.where(part == d), found[d].low, found[d].high
+    least = 0
+    for shift in (48, 32, 16, 0):
+        digit = F.shiftright("tie", 48) if shift == 48 else F.shiftrightunsigned("tie", shift).bitwiseAND(F.lit(0xFFFF))
+        k, d = _part_of(k, {r.d: r.n for r in left.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect()})
+        if d is None:
+            return F.lit(True)
+        left, least = left.where(digit == d), (least << 16) + d
+    return (key > low) | ((key == low) & (tie >= least))
+
+
+def _part_of(k: int, counts: dict[int, int]) -> tuple[int, int | None]:
+    """The part that has the k-th row from above, and how many rows into it; none if there are fewer rows."""
+    for d in sorted(counts, reverse=True):
+        if k <= counts[d]:
+            return k, d
+        k -= counts[d]
+    return k, None
 
 
 def resample(
@@ -153,27 +162,25 @@ def resample(
     texts; the target model those of about ``sample`` target documents. Noise goes by id and
     text, so equal rows are chosen alike. Null texts weigh 0. Without target documents all
     weights are 0. Columns named like a result are replaced, others pass through; without
-    ``keep_text`` the texts don't, and are weighed once less. With ``shun_ids`` there are also
+    ``keep_text`` the texts don't. With ``shun_ids`` there are also
     shun_log_odds, by marker words of the texts with these ids, and kept: chosen and more
     likely target text than one to shun.
     """
-    ids = target_ids.toDF("_target").where("_target is not null").distinct()
+    ids, tie = target_ids.toDF("target").where("target is not null").distinct(), free(docs, "tie")
     n = ids.count()
     text = F.col(text_col).alias("text")
     # the sample bounds what is broadcast: about ``sample`` ids
-    target = _among(docs, ids, id_col, sample, n).select(text)
+    target = _among(docs, ids, id_col, text_col, sample, n)
     ratios = log_ratios(feature_counts(target), feature_counts(docs.select(text))) if n else np.zeros(BUCKETS)
     rows = weighed(docs, ratios, text_col)
     if shun_ids is not None:
         rows = shunned(rows, docs, target_ids, shun_ids, id_col, text_col)
     own = (F.col(id_col), F.col(text_col).cast("string"))
-    rows = rows.withColumn("gumbel_key", F.col("log_weight") + gumbel(*own)).withColumn("_tie", F.xxhash64(*own))
-    if keep_text:
-        keys = checkpoint(rows.select("log_weight", "gumbel_key", "_tie"))
-    else:
-        rows = keys = checkpoint(rows.drop(text_col))
+    rows = rows.withColumn("gumbel_key", F.col("log_weight") + gumbel(*own)).withColumn(tie, F.xxhash64(*own))
+    # weights are worked out once, so they are written with all that is returned
+    rows = keys = checkpoint(rows if keep_text else rows.drop(text_col))
     if size is None:
         odds = F.greatest(F.least(F.col("log_weight") + LOG_ODDS, F.lit(500.0)), F.lit(-500.0))
         size = round(keys.agg(F.coalesce(F.sum(1 / (1 + F.exp(-odds))), F.lit(0.0))).first()[0])
-    rows = rows.withColumn("chosen", top_k(keys, F.col("gumbel_key"), F.col("_tie"), size)).drop("_tie")
+    rows = rows.withColumn("chosen", top_k(keys, F.col("gumbel_key"), F.col(tie), size)).drop(tie)
     return rows if shun_ids is None else rows.withColumn("kept", F.col("chosen") & (F.col("shun_log_odds") <= 0))

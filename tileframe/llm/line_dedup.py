@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, free
 
 #: Sites that make a line boilerplate; log2 of a sketch's buckets; relative error within which counts are made exact.
 MIN_SITES, LG_K, NEAR = 10, 12, 0.1
@@ -77,11 +77,12 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
     found = checkpoint(boilerplate(docs, min_sites, site_col, text_col))
     if spare_copies:
         found = checkpoint(_on_own_texts(docs, found, min_sites, site_col, text_col, id_col))
-    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("_key")
-    places = _matched(_hashed_lines(docs, text_col, key), found).groupBy("_key").agg(F.collect_set("place").alias("_gone"))
-    rows = docs.withColumn("_key", key).join(places, "_key", "left").drop("_key")
-    kept = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda line, i: ~F.array_contains("_gone", i))
+    key, gone = free(docs, "row_key"), free(docs, "gone_places")
+    own = F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias(key)
+    places = _matched(_hashed_lines(docs, text_col, own), found).groupBy(key).agg(F.collect_set("place").alias(gone))
+    rows = docs.withColumn(key, own).join(places, key, "left").drop(key)
+    kept = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda line, i: ~F.array_contains(gone, i))
     rows = rows.withColumns(
-        {text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+        {text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
     )
-    return rows.drop("_gone")
+    return rows.drop(gone)

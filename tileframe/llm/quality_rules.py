@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint
+from .common import SPACE, checkpoint, free
 
 # Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = [
@@ -68,25 +68,27 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns of MEASURES, over whole texts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.withColumns({"_words": F.array_remove(F.split(text, SPACE), ""), "_lines": lines, "_marks": _kinds(text, r"#*$%&|<>!?\p{Lu}")})
-    rows = rows.withColumn("_windows", _windows(F.col("_words")))
-    rows = rows.withColumn("_placed", _placed(F.col("_windows"))).withColumn("_at", _repeated(F.col("_placed")))
-    ended = F.filter("_lines", lambda x: F.right(F.rtrim(x), F.lit(1)).isin(*".!?\"'…"))
+    own = {name: free(docs, f"own_{name}") for name in ("words", "lines", "marks", "windows", "placed", "at")}
+    c = {name: F.col(own[name]) for name in own}
+    rows = docs.withColumns({own["words"]: F.array_remove(F.split(text, SPACE), ""), own["lines"]: lines, own["marks"]: _kinds(text, r"#*$%&|<>!?\p{Lu}")})
+    rows = rows.withColumn(own["windows"], _windows(c["words"]))
+    rows = rows.withColumn(own["placed"], _placed(c["windows"])).withColumn(own["at"], _repeated(c["placed"]))
+    ended = F.filter(c["lines"], lambda x: F.right(F.rtrim(x), F.lit(1)).isin(*".!?\"'…"))
     rows = rows.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": _count(F.col("_marks"), "#*$%&|<>"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _covered(F.col("_at")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
+            "n_words": F.size(c["words"]).cast("long"),
+            "word_chars": F.char_length(F.array_join(c["words"], "")).cast("long"),
+            "n_symbols": _count(c["marks"], "#*$%&|<>"),
+            "n_dup_lines": (F.size(c["lines"]) - F.size(F.array_distinct(c["lines"]))).cast("long"),
+            "n_repeat_words": _covered(c["at"]).cast("long"),
+            "n_lines": F.size(c["lines"]).cast("long"),
             "n_ended": F.size(ended).cast("long"),
-            "n_upper": _count(F.col("_marks"), r"\p{Lu}"),
-            "n_shouts": _count(F.col("_marks"), "!?"),
-            "n_function": F.size(F.array_intersect("_words", F.array(*[F.lit(w) for w in FUNCTION_WORDS]))).cast("long"),
+            "n_upper": _count(c["marks"], r"\p{Lu}"),
+            "n_shouts": _count(c["marks"], "!?"),
+            "n_function": F.size(F.array_intersect(c["words"], F.array(*[F.lit(w) for w in FUNCTION_WORDS]))).cast("long"),
         }
     )
-    return rows.drop("_words", "_lines", "_marks", "_windows", "_placed", "_at")
+    return rows.drop(*own.values())
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_upper", "n_shouts", "n_function"]
