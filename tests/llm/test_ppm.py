@@ -113,6 +113,15 @@ def test_scores(request, name, most):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-5 and abs(a[6] - b[6]) < 1e-5
 
 
+def test_large_models_are_neither_sent_nor_read_twice(documents, monkeypatch):
+    """Beyond the limit, and with portions of a few documents, scores are those of a model that is sent."""
+    key = lambda r: (r.id, round(r.score, 6))
+    want = sorted(map(key, lm_score.score(documents, held_out(7)).collect()))
+    monkeypatch.setattr(lm_score, "PORTION", 10_000)
+    got = sorted(map(key, lm_score.score(documents, held_out(7), max_grams=20_000).collect()))
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1] for x in got], [x[1] for x in want], atol=1e-5)
+
+
 def test_no_training_text(spark):
     one = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     r = lm_score.score(one, F.lit(True)).first()
@@ -132,7 +141,10 @@ def test_languages(spark):
 def test_languages_of_odd_rows(odd_docs, documents):
     got = lang_id.identify(documents.select(*documents.columns).unionByName(odd_docs.select(*documents.columns)), held_out(4)).collect()
     assert all((r.lang_pred == "und") == (not any(ch.isalpha() for ch in r.text or "")) for r in got)
+    assert all(r._told == r.told == "clash" for r in lang_id.identify(odd_docs, F.lit(False)).collect())
     few = lang_id.train(documents, sample=5)
+    small = lang_id.train(documents, max_grams=3000)
+    assert sum(len(m.levels[3][0]) for m in small.values()) <= 3000
     assert sorted(few) == ["de", "en", "es", "fr"]
     assert lang_id.identify(odd_docs.limit(0), F.lit(False)).count() == 0
 

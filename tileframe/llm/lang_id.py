@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ppm
+from .common import checkpoint, free
 
 UNDETERMINED = "und"
 #: Documents of a language that its model learns from, about: those whose hash falls below the share that gives so many.
 SAMPLE = 2000
-#: Longest paths of the models that one pass broadcasts.
+#: Longest paths of all models together, which are broadcast: where the sample has more, a smaller one is taken.
 MAX_GRAMS = 4_000_000
 
 
@@ -36,19 +37,29 @@ def path_counts(docs: DataFrame, order: int) -> DataFrame:
     return docs.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, order: int = 3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, ppm.Model]:
+def train(
+    docs: DataFrame, order: int = 3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS
+) -> dict[str, ppm.Model]:
     """A model of each language of ``docs`` from whole texts of about ``sample`` documents (all, if there are fewer).
 
-    Rows without language or text teach nothing.
+    Rows without language or text teach nothing. The paths of a sample are counted before
+    they are gathered: with more than ``max_grams`` of them, for very long texts or very many
+    languages, the sample is made smaller and counted again.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n))])
-    picked = (F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 20)) / (1 << 20)) < F.element_at(share, F.col("lang"))
-    counts = path_counts(rows.where(picked).select("lang", "text"), order).toArrow()
+    scale = 1.0
+    while True:
+        share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, scale * min(1.0, sample / n))])
+        picked = (F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 20)) / (1 << 20)) < F.element_at(share, F.col("lang"))
+        found = checkpoint(path_counts(rows.where(picked).select("lang", "text"), order))
+        if (total := found.count()) <= max_grams:
+            break
+        scale *= min(0.5, max_grams / total)
+    counts = found.toArrow()
     models = {}
     for lang in sorted(sizes):
         own = counts.filter(pc.equal(counts["lang"], lang))
@@ -83,7 +94,8 @@ def predict(docs: DataFrame, models: dict[str, ppm.Model], order: int = 3, text_
                 out.loc[blank, ["lang", "score"]] = UNDETERMINED, 0.0
             yield out
 
-    return docs.withColumn("_told", told(F.col(text_col).cast("string"))).withColumns({"lang_pred": F.col("_told.lang"), "score": F.col("_told.score")}).drop("_told")
+    both = free(docs, "told")
+    return docs.withColumn(both, told(F.col(text_col).cast("string"))).withColumns({"lang_pred": F.col(f"{both}.lang"), "score": F.col(f"{both}.score")}).drop(both)
 
 
 def identify(docs: DataFrame, held_out: Column, order: int = 3, sample: int = SAMPLE) -> DataFrame:

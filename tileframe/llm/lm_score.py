@@ -1,10 +1,12 @@
 """Language-model scoring: code lengths under a byte-wise PPM model, beside word counts.
 
 One pass over the training texts counts contexts (see ppm) and words; a second pass scores
-every text. The PPM model is broadcast in shards of a checked size: beyond MAX_GRAMS
-longest paths it is split by context and each shard scores its own places in a pass of its
-own. Of the word counts the most frequent MAX_WORDS at most are broadcast; rarer words of
-each document meet their counts in a join, where no key is frequent.
+every text. A PPM model of MAX_GRAMS longest paths at most is broadcast. A larger one stays
+on Spark: texts are taken in portions, the distinct paths of each portion meet their
+probabilities, worked out once a path in shards of the model, in a join, and come back to
+their portion. That takes one more pass over the texts whatever the size of the model, and no
+key is frequent, as a portion asks for a path once. Of the word counts the most frequent
+MAX_WORDS at most are broadcast; rarer words of each document meet their counts in a join too.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import ppm
-from .common import checkpoint
+from .common import checkpoint, written
 
 MAX_GRAMS, MAX_WORDS = 4_000_000, 500_000
+#: Bytes of the texts of a portion, about.
+PORTION = 1 << 25
 #: Words and the end of a text are counted by XXH64 (seed 42); the end is the empty word.
 END_KEY = xxh64_intdigest(b"", 42)
 WORD, GRAM = 0, 1
@@ -98,18 +102,10 @@ def score(
     sc = docs.sparkSession.sparkContext
     known = sc.broadcast(_arrays(frequent))
 
-    shards = max(1, -(-paths.count() // max_grams))
-    if shards > 1:
-        rows = checkpoint(rows)
-    cut = lambda mask: F.col("key").bitwiseAND(F.lit(mask)).alias("key")
-    threes = paths.select(cut(0xFFFFFF)).distinct()
-    low = _arrays(threes.groupBy(cut(0xFFFF)).agg(F.count("*").alias("n"))) if shards > 1 else None
-    two = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-
-    def model_of(s: int):
-        return sc.broadcast(ppm.Model(order, *_arrays(paths if shards == 1 else paths.where(two % shards == s)), low))
-
-    first = model_of(0)
+    large = paths.count() > max_grams
+    model = None if large else sc.broadcast(ppm.Model(order, *_arrays(paths)))
+    if large:
+        rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, seen = known.value
@@ -126,15 +122,17 @@ def score(
                 gained.append(float((c[hit] * np.log10(seen[at[hit]] + 1)).sum()))
                 rare.append(h[~hit].view(np.int64))
                 times.append(c[~hit])
-            scores = ppm.score_batch(b.column(2), order, [first.value], (0, shards))[0]
+            scores = np.zeros(b.num_rows) if large else ppm.score_batch(b.column(2), order, [model.value])[0]
             arrays = [b.column(0), b.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(gained, pa.float64())]
             arrays += [pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "held_out", "n_tokens", "known", "gained", "rare", "times", "score"])
-
-    schema = "id long, held_out boolean, n_tokens long, known long, gained double, rare array<long>, times array<long>, score double"
-    scored = checkpoint(rows.mapInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())
-    for s in range(1, shards):
-        scored = _add_shard(scored, rows, model_of(s), order, (s, shards))
+            yield pa.RecordBatch.from_arrays([*arrays, *b.columns[3:]], ["id", "held_out", "n_tokens", "known", "gained", "rare", "times", "score", "row"][: 8 + large])
+
+    schema = "id long, held_out boolean, n_tokens long, known long, gained double, rare array<long>, times array<long>, score double" + ", row long" * large
+    scored = checkpoint(rows.mapInArrow(run, schema))
+    if large:
+        scored = scored.drop("score").join(scores_by_portion(rows, paths, order, max_grams), "row")
+    else:
+        scored = scored.withColumn("row", F.monotonically_increasing_id())
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("key"), "p.times")
     rarely = words.where(F.col("n") < least).select("key", "n")
     found = pairs.join(rarely, "key").groupBy("row").agg(
@@ -151,12 +149,53 @@ def score(
     )
 
 
-def _add_shard(scored: DataFrame, rows: DataFrame, model, order: int, shard: tuple[int, int]) -> DataFrame:
-    """``scored`` with what a further shard's places add; both have the rows of one checkpoint, in its order."""
+def probabilities(paths: DataFrame, asked: DataFrame, order: int, max_grams: int) -> DataFrame:
+    """(key, value): log10 of the probability of the last symbol of each path of ``asked`` (key), for the counts of ``paths`` (key, n).
+
+    A shard has all paths with some of the contexts of three bytes (as many as the order, if
+    that is less), so it has all that these contexts and longer ones need; shorter contexts
+    are broadcast, which are 256^3 at most. One context of three bytes has 256^(order - 2)
+    paths at most.
+    """
+    depth = min(3, order)
+    cut = lambda size: F.col("key").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("key")
+    low = _arrays(paths.select(cut(depth + 1)).distinct().groupBy(cut(depth)).agg(F.count("*").alias("n")))
+    low = paths.sparkSession.sparkContext.broadcast(low)
+    every = paths.select("key", "n").union(asked.select("key", F.lit(0).cast("long"))).groupBy("key").agg(F.sum("n").alias("n"))
+    size = paths.select("key").union(asked.select("key")).agg(F.approx_count_distinct("key")).first()[0]
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * depth) - 1))
+    every = every.withColumn("shard", F.pmod(F.xxhash64(context), F.lit(max(2, 2 * size // max_grams))))
+
+    def run(own: pa.Table) -> pa.Table:
+        keys, n = own["key"].to_numpy().view(np.uint64), own["n"].to_numpy()
+        model = ppm.Model(order, *ppm.summed(keys[n > 0], n[n > 0]), low.value, depth - 1)
+        return pa.table({"key": own["key"], "value": model.log10(keys)})
+
+    return every.groupBy("shard").applyInArrow(run, "key long, value double")
+
+
+def scores_by_portion(rows: DataFrame, paths: DataFrame, order: int, max_grams: int) -> DataFrame:
+    """(row, score) for rows (row, text) of a checkpoint, whose numbers rise without gaps in each partition."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    step = max(1, n * PORTION // max(size, 1))
+    texts = rows.select("row", "text", (F.col("row") - F.col("row") % step).alias("portion"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(ppm.score_batch(b.column(0), order, [model.value], shard)[0])], ["part"])
-
-    parts = checkpoint(rows.select("text").mapInArrow(run, "part double")).withColumn("row", F.monotonically_increasing_id())
-    return scored.join(parts, "row").withColumn("score", F.col("score") + F.col("part")).drop("part")
+            portion = np.asarray(b.column(0))
+            for p in np.unique(portion):
+                keys = ppm.paths_of(b.column(1).filter(pa.array(portion == p)), order)
+                for at in range(0, len(keys), 100_000):
+                    k = keys[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), p)), pa.array(k.view(np.int64))], ["portion", "key"])
+
+    asked = written(texts.select("portion", "text").mapInArrow(run, "portion long, key long"))
+    found = asked.join(probabilities(paths, asked, order, max_grams), "key")
+
+    def add_up(own: pa.Table, told: pa.Table) -> pa.Table:
+        keys, first = np.unique(told["key"].to_numpy().view(np.uint64), return_index=True)
+        values = told["value"].to_numpy()[first]
+        parts = [ppm.added_up(chunk, order, keys, values) for chunk in own["text"].chunks]
+        return pa.table({"row": own["row"], "score": np.concatenate([np.zeros(0), *parts])})
+
+    return texts.groupBy("portion").cogroup(found.groupBy("portion")).applyInArrow(add_up, "row long, score double")

@@ -101,17 +101,17 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """The trie of contexts of ``order`` bytes at most, from the counts of its longest paths.
 
-    ``low`` are the (context byte, symbol) pairs of the whole corpus with their counts; given
-    these, ``keys`` may be only those with some of the contexts of two bytes (a shard).
+    ``low`` are the paths of ``low_depth`` context bytes of the whole corpus with their counts;
+    given these, ``keys`` may be only those with some of the contexts of one byte more (a shard).
     """
 
-    def __init__(self, order: int, keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, order: int, keys: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None, low_depth: int = 1):
         self.order = order
         levels: list[tuple] = [()] * (order + 1)
         for k in range(order, -1, -1):
             if k < order:
                 keys, counts = summed(keys & np.uint64((1 << 8 * (k + 1)) - 1), np.ones(len(keys), np.int64))
-            if k == 1 and low is not None:
+            if k == low_depth and low is not None:
                 keys, counts = summed(*low)
             levels[k] = keys, counts
         self.levels = []
@@ -157,19 +157,28 @@ def count_batch(texts: pa.Array, order: int, counter: Counter) -> None:
             counter.add(keys, counts.astype(np.int64))
 
 
-def score_batch(texts: pa.Array, order: int, models: list[Model], shard: tuple[int, int] = (0, 1)) -> np.ndarray:
-    """log10 probabilities of each text under each model; with a shard, only of places whose context of two bytes it holds."""
+def paths_of(texts: pa.Array, order: int) -> np.ndarray:
+    """The distinct longest paths of texts, sorted."""
+    found = [np.unique(g) for _, part in portions(texts) for g, _ in grams(*padded(part, order), order)]
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+
+
+def added_up(texts: pa.Array, order: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum over each text's places of the value that its path has; ``keys`` are sorted and have all of them."""
+    out = np.zeros(len(texts))
+    for at, part in portions(texts):
+        for g, of in grams(*padded(part, order), order):
+            out[at : at + len(part)] += np.bincount(of, values[np.searchsorted(keys, g)], len(part))
+    return out
+
+
+def score_batch(texts: pa.Array, order: int, models: list[Model]) -> np.ndarray:
+    """log10 probabilities of each text under each model."""
     out = np.zeros((len(models), len(texts)))
     for at, part in portions(texts):
         for g, of in grams(*padded(part, order), order):
-            if shard[1] > 1:
-                own = shard_of(g, shard[1]) == shard[0]
-                g, of = g[own], of[own]
             distinct, inverse = np.unique(g, return_inverse=True)
             for m, model in enumerate(models):
                 out[m, at : at + len(part)] += np.bincount(of, model.log10(distinct)[inverse], len(part))
     return out
 
-
-def shard_of(g: np.ndarray, shards: int) -> np.ndarray:
-    return ((g >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(shards)
