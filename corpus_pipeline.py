@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tileframe.llm import importance, jaccard, line_dedup, packing, secrets, simhash
-from tileframe.llm.common import checkpoint, checkpoint_dir, table
+from tileframe.llm.common import checkpoint, checkpoint_dir, free, table
 from tileframe.llm.queries import good_ids, toxic_ids
 
 
@@ -18,34 +18,44 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling towards the labelled good ones chooses, without those like the labelled toxic ones."""
+    """Documents that importance resampling towards the labelled good ones chooses, without those like the labelled toxic ones.
+
+    Null and empty texts weigh nothing and are judged like others; rows equal in id and text
+    stay or go together; without labels all weights are 0. An empty table stays empty.
+    """
     return importance.resample(docs, good_ids(spark, sf_dir), shun_ids=toxic_ids(spark, sf_dir)).where("kept").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sites have in texts of their own; texts copied to many sites keep theirs."""
+    """All documents, without the lines that many sites have in texts of their own; texts copied to many sites keep theirs.
+
+    Null texts stay null, null sites don't count, repeated rows are treated alike and an empty
+    table stays empty.
+    """
     return _counted(line_dedup.drop_boilerplate(docs, spare_copies=True), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that SimHash or a Jaccard similarity of 0.8 links, both over five words; rows count, so ids may be null or repeated.
 
-    ``docs`` is a written table, which numbers its rows alike each time it is read.
+    ``docs`` is a written table, which numbers its rows alike each time it is read. Null and
+    blank texts are one group, of which one row stays; an empty table stays empty.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = checkpoint(simhash.near_duplicates(rows, id_col="_row", shingle=5, bits=3).select("id", F.col("component").alias("root")))
-    joined = jaccard.joined(rows, found, id_col="_row", shingle=5, least=0.8)
-    first = found.where("id = root").join(joined, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(docs.columns)
+    row = free(docs, "row_number")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    found = checkpoint(simhash.near_duplicates(rows, id_col=row, shingle=5, bits=3).select("id", F.col("component").alias("root")))
+    joined = jaccard.joined(rows, found, id_col=row, shingle=5, least=0.8)
+    first = found.where("id = root").join(joined, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias(row))
+    return rows.join(first, row, "left_semi").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mask in place of each secret."""
+    """All documents, with a mask in place of each secret. Null texts stay null, other rows come one by one."""
     return _counted(secrets.redact(docs), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens. Null texts give their end alone, repeated rows are packed as often as given, an empty table gives no pieces."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
