@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tileframe.llm import jaccard
 
@@ -44,3 +46,31 @@ def test_odd_texts():
     assert jaccard.bands(None, 5) == jaccard.bands(" \n", 5) == []
     assert jaccard.similarity("a b", "A  b", 5) == 1 and jaccard.similarity(None, "a", 5) == 0
     assert jaccard.shingles("a b c d e f", 5) == {b"a b c d e", b"b c d e f"}
+
+
+def test_links_of_all_pairs(monkeypatch):
+    """Groups of texts far and near: block by block the same components come out as from all pairs."""
+    texts = planted()
+    sets = [jaccard.shingle_hashes(t, 5) for t in texts] + [jaccard.shingle_hashes(None, 5)]
+    links = jaccard.spanning_links(np.arange(len(sets)), sets, 0.8)
+    root = list(range(len(sets)))
+    for u, v in links:
+        old, new = max(root[u], root[v]), min(root[u], root[v])
+        root = [new if r == old else r for r in root]
+    assert root[:-1] == plain_roots(texts) and root[-1] == len(texts)
+
+
+def test_wide_spread_copies_are_compared_in_blocks(spark, sf, monkeypatch):
+    """Copies of one text with up to a tenth of their words changed: no hub is near all of them."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(150)]
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for i in rng.sample(range(150), k % 12):
+            copy[i] = f"changed{k}x{i}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.coalesce(1), sf).collect()}
+    assert kept == set(plain_roots(texts))

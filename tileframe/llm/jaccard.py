@@ -1,12 +1,12 @@
 """Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, whole texts settle them.
 
 Texts that agree in all ROWS minima of one of BANDS bands share a bucket: 99.9 % of the pairs
-at similarity 0.8 do, and more above. Pairs of a bucket are compared exactly, in rounds: first
-with a few hubs of each bucket, then, where a bucket still holds more than one component, with
-four times as many, until all its texts are hubs. So pairs that need not be compared, of
-texts already joined, are the only ones left out. Copies that hubs join take a number of pairs
-in proportion to their group's size; texts of a bucket that stay apart are all compared, so
-many of them in one bucket cost the square of their number.
+at similarity 0.8 do, and more above. Texts of a bucket are compared by all their shingles: first
+with a few hubs of each bucket, which joins most copies with pairs in proportion to their
+number. Where a bucket then still holds more than one component, all its texts are compared,
+block by block inside the tasks (by 64-bit hashes of shingles), and only links that join
+components come out. Pairs of texts already joined are the only ones left out. Many texts that
+stay apart in one bucket cost the square of their number in comparisons, over many tasks.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .components import connected_components
 BANDS, ROWS = 24, 6
 #: Shingles whose minima are taken at once.
 CHUNK = 2048
-#: Hubs of a bucket in the first round, and how many times more there are in each further one.
-HUBS, MORE = 4, 4
+#: Hubs of a bucket, and rows of a block of it.
+HUBS, BLOCK = 4, 128
 _rng = np.random.default_rng(17)
 _FACTORS = (_rng.integers(0, 1 << 31, (BANDS * ROWS, 1)) * 2 + 1).astype(np.uint32)
 _TERMS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1)).astype(np.uint32)
@@ -81,34 +81,89 @@ def joined(docs: DataFrame, roots: DataFrame, id_col: str = "doc_id", text_col:
     Ids are distinct longs. Only components that become part of another are told, with the least one they reach.
     """
 
-    @F.pandas_udf("boolean")
-    def alike(a, b):
-        return a.combine(b, lambda x, y: similarity(x, y, shingle) >= least).astype(bool)
-
     one = banded(docs, id_col, text_col, shingle).groupBy("key").agg(F.min(F.struct("id", "bands")).alias("x"))
     at = checkpoint(one.select("x.id", F.explode("x.bands").alias("band")))
     at = checkpoint(at.join(at.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
     ids = checkpoint(at.select("id").distinct())
     texts = checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi"))
     first = checkpoint(roots.join(ids, "id", "left_semi").select("id", F.col("root").alias("node"), "root"))
-    now, hubs = first, HUBS
-    while True:
-        members = at.join(now.select("id", "root"), "id")
-        mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-        members = checkpoint(members.join(mixed, "band", "left_semi"))
-        most = members.agg(F.max("n")).first()[0]
-        if most is None:
-            break
-        chosen = members.where(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / hubs)) == 0)
-        pairs = members.join(chosen.select("band", F.col("id").alias("hub"), F.col("root").alias("hub_root")), "band").where("root != hub_root")
-        # the least and the greatest of both, with their roots
-        ends = [f(F.struct("id", "root"), F.struct(F.col("hub").alias("id"), F.col("hub_root").alias("root"))).alias(n) for n, f in (("a", F.least), ("b", F.greatest))]
-        pairs = pairs.select(*ends).distinct().select(F.col("a.id").alias("u"), F.col("a.root").alias("ru"), F.col("b.id").alias("v"), F.col("b.root").alias("rv"))
-        pairs = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("one")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("other")), "v")
-        links = pairs.where(alike("one", "other")).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-        moved = connected_components(links).toDF("old", "new")
-        now = checkpoint(now.join(moved, F.col("root") == F.col("old"), "left").select("id", "node", F.coalesce("new", "root").alias("root")))
-        if most <= hubs:
-            break
-        hubs *= MORE
+    now = _merged(first, _hub_links(at, first, texts, shingle, least))
+    members = at.where(F.col("n") > HUBS).join(now.select("id", "root"), "id")
+    mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    members = checkpoint(members.join(mixed, "band", "left_semi"))
+    now = _merged(now, _block_links(members, texts, shingle, least))
     return now.where("node != root").select("node", "root").distinct()
+
+
+def _merged(now: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, node, root) with roots that ``links`` (u, v) join made one."""
+    moved = connected_components(links).toDF("old", "new")
+    return checkpoint(now.join(moved, F.col("root") == F.col("old"), "left").select("id", "node", F.coalesce("new", "root").alias("root")))
+
+
+def _hub_links(at: DataFrame, now: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(u, v): roots of texts that are alike, one of them among the about HUBS hubs of a bucket that both are in."""
+
+    @F.pandas_udf("boolean")
+    def alike(a, b):
+        return a.combine(b, lambda x, y: similarity(x, y, shingle) >= least).astype(bool)
+
+    members = at.join(now.select("id", "root"), "id")
+    chosen = members.where(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / HUBS)) == 0)
+    pairs = members.join(chosen.select("band", F.col("id").alias("hub"), F.col("root").alias("hub_root")), "band").where("root != hub_root")
+    # the least and the greatest of both, with their roots
+    ends = [f(F.struct("id", "root"), F.struct(F.col("hub").alias("id"), F.col("hub_root").alias("root"))).alias(n) for n, f in (("a", F.least), ("b", F.greatest))]
+    pairs = pairs.select(*ends).distinct().select(F.col("a.id").alias("u"), F.col("a.root").alias("ru"), F.col("b.id").alias("v"), F.col("b.root").alias("rv"))
+    pairs = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("one")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("other")), "v")
+    return pairs.where(alike("one", "other")).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    own = shingles(text, size)
+    return np.fromiter(map(xxh64_intdigest, own, repeat(11)), np.uint64, len(own)).view(np.int64)
+
+
+def spanning_links(roots: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that join the roots that all pairs of sets of a similarity of ``least`` or more join. Sets of one root aren't compared."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    of = np.repeat(np.arange(len(sets)), sizes)
+    kinds, inverse = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    holders, starts = of[order], np.searchsorted(inverse[order], np.arange(len(kinds) + 1))
+    ends, label, found = np.cumsum(sizes), roots.copy(), []
+    for a in range(len(sets)):
+        if (label == label[a]).all():
+            break
+        own = inverse[ends[a] - sizes[a] : ends[a]]
+        both = np.bincount(np.concatenate([np.zeros(0, np.int64), *[holders[starts[k] : starts[k + 1]] for k in own]]), minlength=len(sets))
+        near = (both >= least * (sizes + sizes[a] - both)) & (both > 0)
+        for other in np.unique(label[near & (label != label[a])]):
+            found.append((int(label[a]), int(other)))
+            label[label == other] = label[a]
+    return found
+
+
+def _block_links(members: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(u, v): links between roots of all texts that are alike and in one bucket of ``members`` (band, id, root, n).
+
+    Rows of a bucket fall into blocks of about BLOCK and each pair of blocks is a group, so
+    no task has a whole bucket; pairs are compared inside a task and never become rows.
+    """
+
+    @F.pandas_udf("array<long>")
+    def hashed(own):
+        return own.map(lambda t: shingle_hashes(t, shingle), na_action=None)
+
+    sets = checkpoint(texts.join(members.select("id").distinct(), "id", "left_semi").select("id", hashed("text").alias("own")))
+    rows = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root").join(sets, "id")
+
+    def run(own: pa.Table) -> pa.Table:
+        table = own.combine_chunks()
+        hashes = [np.asarray(x.values) for x in table["own"]]
+        found = spanning_links(table["root"].to_numpy(), hashes, least)
+        return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
+
+    return rows.groupBy("band", "i", "j").applyInArrow(run, "u long, v long")
