@@ -11,6 +11,16 @@ from tileframe.llm import importance, jaccard, line_dedup, packing, secrets, sim
 from tileframe.llm.common import checkpoint, checkpoint_dir, free, table
 from tileframe.llm.queries import good_ids, toxic_ids
 
+#: Rows of whole texts that Python gets at once, where the session doesn't say: Spark's own 10,000 are too much memory for long texts.
+BATCH_ROWS = 1000
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Hand texts to Python BATCH_ROWS at a time from now on, unless the session has a setting of its own. Results don't depend on it."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with n_chars as its texts now have them."""
@@ -23,6 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts weigh nothing and are judged like others; rows equal in id and text
     stay or go together; without labels all weights are 0. An empty table stays empty.
     """
+    _bound_batches(spark)
     return importance.resample(docs, good_ids(spark, sf_dir), shun_ids=toxic_ids(spark, sf_dir)).where("kept").select(docs.columns)
 
 
@@ -41,6 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ``docs`` is a written table, which numbers its rows alike each time it is read. Null and
     blank texts are one group, of which one row stays; an empty table stays empty.
     """
+    _bound_batches(spark)
     row = free(docs, "row_number")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     found = checkpoint(simhash.near_duplicates(rows, id_col=row, shingle=5, bits=3).select("id", F.col("component").alias("root")))
@@ -51,6 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mask in place of each secret. Null texts stay null, other rows come one by one."""
+    _bound_batches(spark)
     return _counted(secrets.redact(docs), docs.columns)
 
 
@@ -58,6 +71,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens. Null texts give their end alone, repeated rows are packed as often as given, an empty table gives no pieces."""
     import public_tokenizers
 
+    _bound_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
