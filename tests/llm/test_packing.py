@@ -65,3 +65,43 @@ def test_differencing():
     sizes = rng.integers(1, 100, 300).tolist()
     place, windows = packing.deal(sizes, 2048)
     assert np.bincount(place, weights=sizes, minlength=windows).max() <= 2048 and windows == -(-sum(sizes) // 2048)
+
+
+@pytest.mark.parametrize("capacity", [2048, 16, 3])
+def test_many_full_batches(capacity):
+    rng = np.random.default_rng(2)
+    lengths = np.minimum(rng.lognormal(6, 1.5, 3000) if capacity == 2048 else rng.lognormal(3, 1, 3000), 50_000).astype(int) + 1
+    texts = [rng.integers(0, 50_000, n).astype(np.uint32) for n in lengths]
+    packer = packing.Packer(capacity, 7)
+    rows = [p for doc, ids in enumerate(texts) for p in packer.add(doc, ids)] + list(packer.flush())
+    assert lengths.sum() > 10 * packing.WINDOWS * capacity / (1 if capacity < 2048 else 10)
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for doc, start, length, crc, tokens, sequence, offset in rows:
+        assert length > 0 and tokens == lengths[doc] and zlib.crc32(texts[doc][start : start + length].astype("<u4").tobytes()) == crc
+        pieces[doc].append((start, length))
+        sequences[sequence].append((offset, length))
+    assert set(pieces) == set(range(len(texts)))
+    for of, end in [(sequences, None), (pieces, lengths)]:
+        for name, parts in of.items():
+            at = 0
+            for start, length in sorted(parts):
+                assert start == at
+                at += length
+            assert at <= capacity if end is None else at == end[name]
+    if capacity == 2048:
+        assert len(sequences) * capacity < 1.01 * lengths.sum() + capacity
+
+
+def test_ids_of_a_table_of_many_batches(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").coalesce(1)
+    got = packing.pack(docs, PATH).select("doc_id", "start", "length", "doc_tokens").collect()
+    parts = defaultdict(list)
+    for p in got:
+        parts[p.doc_id, p.doc_tokens].append((p.start, p.length))
+    for (_, tokens), own in parts.items():
+        at = 0
+        for start, length in sorted(own):
+            assert start == at
+            at += length
+        assert at == tokens
+    assert len(parts) == docs.count()

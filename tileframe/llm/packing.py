@@ -95,7 +95,7 @@ class Packer:
 
     def __init__(self, capacity: int, first_sequence: int):
         self.capacity, self.next, self.held, self.total = capacity, first_sequence, [], 0
-        self.target = WINDOWS * (capacity - SLACK)
+        self.target = WINDOWS * max(1, capacity - SLACK)  # ``total`` stays below it: a piece ends where the batch is full
         self.piece = min(PIECE, capacity)
 
     def _row(self, doc, start: int, ids: np.ndarray, tokens: int, sequence: int, offset: int) -> tuple:
@@ -106,18 +106,14 @@ class Packer:
         for start in range(0, whole, self.capacity):
             yield self._row(doc, start, ids[start : start + self.capacity], len(ids), self.next, 0)
             self.next += 1
-        for start in range(whole, len(ids), self.piece):
-            self.held.append((doc, start, ids[start : start + self.piece], len(ids)))
-            self.total += len(self.held[-1][2])
-        if self.total >= self.target:
-            doc, start, ids, tokens = self.held.pop()
-            self.total -= len(ids)
-            cut = self.target - self.total
-            if cut > 0:
-                self.held.append((doc, start, ids[:cut], tokens))
-            yield from self.flush()
-            if cut < len(ids):
-                self.held, self.total = [(doc, start + cut, ids[cut:], tokens)], len(ids) - cut
+        start = whole
+        while start < len(ids):
+            piece = ids[start : min(start + self.piece, start + self.target - self.total)]
+            self.held.append((doc, start, piece, len(ids)))
+            start += len(piece)
+            self.total += len(piece)
+            if self.total == self.target:
+                yield from self.flush()
 
     def flush(self) -> Iterator[tuple]:
         if not self.held:
