@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, importance, lang_id, line_dedup, lm_score, packing, quality_rules, secrets, simhash, spm
+from . import balltree, imatch, importance, lang_id, line_dedup, lm_score, mixing, packing, quality_rules, secrets, simhash, spm, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +161,76 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of all sources takes of each document.
+
+    Null and blank texts have size 0 and give nothing, a null source is the last source, null ids and repeated rows
+    are mixed like others, an empty table gives no rows.
+    """
+    found = mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op11_mixing"] = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS noise,
+        coalesce(greatest(0.05, 1 - CAST(length(regexp_replace(text, '[\p{L}\x20\x09-\x0D]+', '', 'g')) AS DOUBLE) / nullif(length(text), 0)), 1.0) AS quality
+    FROM documents
+), s AS (
+    SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)
+), r AS (  -- the share of a unit of weight if the sources that reach their limit first are left out
+    SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS unit, row_number() OVER (ORDER BY 3 * source_size / weight, source) AS place
+    FROM s WINDOW before AS (ORDER BY 3 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+    SELECT source, source_size, CAST(least(3 * source_size, coalesce((SELECT unit FROM r WHERE 3 * source_size >= unit * weight ORDER BY place LIMIT 1) * weight, 3 * source_size)) AS DOUBLE) AS target FROM s
+), k AS (
+    SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS epochs,
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY -ln((('0x' || substr(noise, 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656) / quality, noise ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken_before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+    CAST(epochs * size + greatest(0, least(size, CAST(floor(target - epochs * source_size + 0.5) AS BIGINT) - taken_before)) AS BIGINT) AS taken FROM k
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of each embedding.
+
+    Rows whose vector is null or has null or non-finite entries are left out, null ids and repeated rows are kept, components of no
+    variance have no rows, an empty table gives no rows.
+    """
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    rows = found.select(F.col("id").alias("vec_id"), "n", "deviation", "variances", "trace", "identity_error", F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.get("variances", F.col("place")) / F.col("trace")
+    return rows.select("vec_id", (F.col("place") + 1).cast("int").alias("component"), "n", "deviation", "whitened", explained.alias("explained"), "identity_error")
+
+
+@query
+def op13_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of each benchmark item.
+
+    Null texts have no terms, items without any have no rows, repeated documents are ranked one by one, null ids come after others of the
+    same score, empty tables give no rows.
+    """
+    found = balltree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    return found.select(F.col("query").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score")
+
+
+_TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op13_balltree"] = rf"""
+WITH q AS (SELECT item_id, unnest(list_distinct({_TERMS_SQL})) AS term FROM benchmark),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS_SQL} AS terms FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) SEMI JOIN q USING (term) GROUP BY row, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, docs),
+s AS (SELECT item_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(terms) * docs) // total)))) AS BIGINT) AS score
+    FROM q JOIN w USING (term) JOIN t USING (term) JOIN d USING (row), c GROUP BY item_id, row)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s JOIN d USING (row) WHERE score > 0) WHERE place <= 10
+"""
+
+
 # ---- what SQL can tell of operators that it can't express as a whole ----
 
 #: Whether the remainder of the CRC32 of the id's digits by a number is 2.
@@ -215,3 +285,13 @@ SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '({_A
     CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access,
     CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex FROM documents
 """
+
+base(op12_whitening, "vec_id", "component", "n", "deviation")
+ORACLE_SQL["op12_base"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+f AS (SELECT DISTINCT x FROM e), n AS (SELECT count(*) AS n FROM f),
+s AS (SELECT list(s ORDER BY i) AS sums FROM (SELECT i, CAST(sum(v) AS BIGINT) AS s FROM (SELECT unnest(x) AS v, generate_subscripts(x, 1) AS i FROM f) GROUP BY i))
+SELECT vec_id, CAST(component AS INTEGER) AS component, n, CAST(list_sum(list_transform(list_zip(x, sums), lambda p: (n * p[1] - p[2]) * (n * p[1] - p[2]))) AS BIGINT) AS deviation
+FROM e, n, s, range(1, 5) c(component)
+"""
