@@ -66,3 +66,25 @@ def test_copied_texts_keep_their_lines(spark, sf):
 
 def test_spared_copies_of_odd_rows(odd_docs):
     assert line_dedup.drop_boilerplate(odd_docs, 2, spare_copies=True).count() == odd_docs.count()
+
+
+def menus(share, sites=60, own=8):
+    """Pages of ``sites`` sites with ``own`` lines each and so many shared menu lines that these are the given share of a page."""
+    n = round(own * share / (1 - share))
+    return [(k, "\n".join([f"menu entry {i:03d} of all sites" for i in range(n)] + [f"own words {k:03d} of line {i:02d}" for i in range(own)])) for k in range(sites)], n
+
+
+@pytest.mark.parametrize("share", [0.2, 0.4, 0.6, 0.75])
+def test_menus_of_pages_that_are_mostly_menu_go(spark, sf, share):
+    pages, n = menus(share)
+    docs = spark.createDataFrame([(k, t, "en", f"site{k}", len(t)) for k, t in pages], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf).collect()}
+    assert kept == {k: "\n".join(t.split("\n")[n:]) for k, t in pages}
+
+
+def test_a_text_of_very_many_lines_that_go(spark):
+    """100,000 lines in the text, half of them boilerplate: no line is looked for among all that go."""
+    rows = [(k, f"site{k}", "\n".join(f"line {i} of {k if i % 2 else 'all'}" for i in range(100_000 if k == 0 else 20))) for k in range(11)]
+    rows += [(100 + k, f"site{k}", "\n".join(f"line {i} of all" for i in range(0, 100_000, 2))) for k in range(1, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert got(docs, 10) == plain(rows, 10)

@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tileframe.llm import secrets
 
@@ -48,3 +50,14 @@ def test_odd_rows(spark, sf, odd_docs, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, sf), tmp_path, f"{name}{n}")
         assert (docs.count() > 0) == (n > 0)
+
+
+def test_columns_with_clashing_names_come_through(spark, sf, documents, tmp_path):
+    names = ["kept", "chosen", "log_weight", "gumbel_key", "shun_log_odds", "n_removed", "row_number", "rest", "id", "fp", "root", "secret_spans"]
+    docs = written(documents.where("doc_id < 120").select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names]), tmp_path, "clashing")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = written(stage(spark, docs, sf), tmp_path, f"clashing_{name}")
+        assert docs.columns == columns
+        assert docs.count() > 20 and docs.where(" or ".join(f"{n} != concat('{n} ', doc_id)" for n in names)).count() == 0
+    assert stage is corpus_pipeline.secret_scan and corpus_pipeline.packed(spark, docs, sf).count() > 20

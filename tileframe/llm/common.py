@@ -27,11 +27,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables that ``written`` made in this session and that are still there.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a table of their own in the shared folder: like a checkpoint, but compressed and by column."""
+    """The rows as a table of their own in the shared folder: like a checkpoint, but compressed and by column. ``drop_written`` deletes it."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _TABLES.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` made so far; for callers that have stored all results that come from them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def free(docs: DataFrame, name: str) -> str:

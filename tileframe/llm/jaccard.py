@@ -1,12 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, whole texts settle them.
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find candidates, all their shingles settle them.
 
 Texts that agree in all ROWS minima of one of BANDS bands share a bucket: 99.9 % of the pairs
-at similarity 0.8 do, and more above. Texts of a bucket are compared by all their shingles: first
-with a few hubs of each bucket, which joins most copies with pairs in proportion to their
-number. Where a bucket then still holds more than one component, all its texts are compared,
-block by block inside the tasks (by 64-bit hashes of shingles), and only links that join
-components come out. Pairs of texts already joined are the only ones left out. Many texts that
-stay apart in one bucket cost the square of their number in comparisons, over many tasks.
+at similarity 0.8 do, and more above. Each text's shingles are hashed once to 64 bits and kept with
+its id; these sets, not texts, are compared. First every text is compared with the hub of its largest bucket: the text
+of a bucket whose buckets are the largest in all, which a text that was copied with changes comes out as. Then, ROUNDS times, the texts
+of each bucket that holds more than one component with its heaviest text in a component not asked yet. So far
+pairs are in proportion to the texts in buckets. What is still mixed is compared in full: small buckets inside
+a task, large ones block by block by sketches of a byte for each minimum, which tell pairs far below the limit from
+the others; only those others become rows and get their sets compared. Many texts that stay apart in one bucket cost the square of
+their number in comparisons of sketches, over many tasks.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpoint
+from .common import written
 from .components import connected_components
 
 BANDS, ROWS = 24, 6
 #: Shingles whose minima are taken at once.
 CHUNK = 2048
-#: Hubs of a bucket, and rows of a block of it.
-HUBS, BLOCK = 4, 128
+#: Rounds of hubs after the first, rows of a bucket that a task compares by itself, and rows of a block of a larger one.
+ROUNDS, BLOCK, LARGE_BLOCK = 2, 128, 1024
+#: How much less than the limit a sketch may tell of a pair that is looked at: six standard errors of BANDS * ROWS minima.
+UNSURE = 0.2
 _rng = np.random.default_rng(17)
 _FACTORS = (_rng.integers(0, 1 << 31, (BANDS * ROWS, 1)) * 2 + 1).astype(np.uint32)
 _TERMS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1)).astype(np.uint32)
@@ -49,30 +53,61 @@ def similarity(a: str | None, b: str | None, size: int) -> float:
     return both / max(1, len(one) + len(other) - both)
 
 
-def bands(text: str | None, size: int) -> list[int]:
-    """A hash of each band of minima as a signed long; none for a text without words."""
+def minima(text: str | None, size: int) -> np.ndarray | None:
+    """The least of each hash function over the shingles of a text; None for a text without words."""
     own = shingles(text, size)
     if not own:
-        return []
+        return None
     hashes = np.fromiter(map(xxh64_intdigest, own, repeat(7)), np.uint64, len(own)).astype(np.uint32)
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(hashes), CHUNK):
         least = np.minimum(least, (hashes[None, i : i + CHUNK] * _FACTORS + _TERMS).min(axis=1))
+    return least
+
+
+def _bands_of(least: np.ndarray | None) -> list[int]:
+    if least is None:
+        return []
     found = [xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, ROWS))]
     return np.array(found, np.uint64).view(np.int64).tolist()
 
 
+def bands(text: str | None, size: int) -> list[int]:
+    """A hash of each band of minima as a signed long; none for a text without words."""
+    return _bands_of(minima(text, size))
+
+
 def banded(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, key, bands) of each text; texts of the same words have the same key."""
+    """(id, key, bands, sketch) of each text; texts of the same words have the same key. A sketch is a byte of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            keys = np.fromiter((xxh64_intdigest(b" ".join(_words(t))) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array([bands(t, size) for t in texts], pa.list_(pa.int64()))], ["id", "key", "bands"])
+            keys, found, sketches = [], [], []
+            for x in b.column(1):
+                t = x.as_py()
+                least = minima(t, size)
+                keys.append(xxh64_intdigest(b" ".join(_words(t))))
+                found.append(_bands_of(least))
+                sketches.append(b"" if least is None else least.astype(np.uint8).tobytes())
+            told = [b.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(told, ["id", "key", "bands", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, key long, bands array<long>")
+    return rows.mapInArrow(run, "id long, key long, bands array<long>, sketch binary")
+
+
+def hashed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, own): the hashes of each text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t.as_py(), size) for t in b.column(1)]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            own = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([b.column(0), own], ["id", "own"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, own array<long>")
 
 
 def joined(docs: DataFrame, roots: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -80,42 +115,55 @@ def joined(docs: DataFrame, roots: DataFrame, id_col: str = "doc_id", text_col:
 
     Ids are distinct longs. Only components that become part of another are told, with the least one they reach.
     """
-
-    one = banded(docs, id_col, text_col, shingle).groupBy("key").agg(F.min(F.struct("id", "bands")).alias("x"))
-    at = checkpoint(one.select("x.id", F.explode("x.bands").alias("band")))
-    at = checkpoint(at.join(at.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
-    ids = checkpoint(at.select("id").distinct())
-    texts = checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi"))
-    first = checkpoint(roots.join(ids, "id", "left_semi").select("id", F.col("root").alias("node"), "root"))
-    now = _merged(first, _hub_links(at, first, texts, shingle, least))
-    members = at.where(F.col("n") > HUBS).join(now.select("id", "root"), "id")
+    found = written(banded(docs, id_col, text_col, shingle))
+    one = found.join(found.groupBy("key").agg(F.min("id").alias("id")).select("id"), "id", "left_semi")
+    at = written(one.select("id", F.explode("bands").alias("band")))
+    at = written(at.join(at.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
+    # what a text weighs as a hub, and its largest bucket
+    ids = written(at.groupBy("id").agg(F.sum("n").alias("weight"), F.max(F.struct("n", "band"))["band"].alias("top")))
+    sets = written(hashed(docs.join(ids.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col, shingle))
+    now = written(roots.join(ids, "id").select("id", "weight", "top", F.col("root").alias("node"), "root"))
+    asked = None
+    for _ in range(1 + ROUNDS):
+        members = at.join(now.select("id", "root", "weight", "top"), "id")
+        mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+        members = written(members.join(mixed, "band", "left_semi"))
+        at = members.select("id", "band", "n")
+        if members.isEmpty():
+            break
+        free, ask = members, members
+        if asked is None:
+            ask = members.where("band = top")
+        else:  # hubs of components that were asked in a bucket have been compared with all of it
+            gone = asked.join(now.select("id", "root"), "id").select("band", "root").distinct()
+            free = members.join(gone, ["band", "root"], "left_anti")
+        hubs = free.groupBy("band").agg(F.max(F.struct("weight", "id", "root")).alias("hub")).select("band", F.col("hub.id").alias("v"), F.col("hub.root").alias("rv"))
+        pairs = ask.join(hubs, "band").where("root != rv").select(F.col("id").alias("u"), F.col("root").alias("ru"), "v", "rv").distinct()
+        now = _merged(now, _alike(pairs, sets, least))
+        hubs = hubs.select("band", F.col("v").alias("id"))
+        asked = members.limit(0).select("band", "id") if asked is None else written(asked.union(hubs))
+    members = at.join(now.select("id", "root"), "id")
     mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    members = checkpoint(members.join(mixed, "band", "left_semi"))
-    now = _merged(now, _block_links(members, texts, shingle, least))
+    members = written(members.join(mixed, "band", "left_semi").select("band", "id", "root", "n"))
+    now = _merged(now, _small_links(members, sets, least))
+    members = members.where(F.col("n") > BLOCK).drop("root").join(now.select("id", "root"), "id")
+    now = _merged(now, _alike(_candidates(members, found.select("id", "sketch"), least), sets, least))
     return now.where("node != root").select("node", "root").distinct()
 
 
 def _merged(now: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, node, root) with roots that ``links`` (u, v) join made one."""
+    """(..., root) with roots that ``links`` (u, v) join made one."""
     moved = connected_components(links).toDF("old", "new")
-    return checkpoint(now.join(moved, F.col("root") == F.col("old"), "left").select("id", "node", F.coalesce("new", "root").alias("root")))
-
+    return written(now.join(moved, F.col("root") == F.col("old"), "left").withColumn("root", F.coalesce("new", "root")).drop("old", "new"))
 
-def _hub_links(at: DataFrame, now: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(u, v): roots of texts that are alike, one of them among the about HUBS hubs of a bucket that both are in."""
 
-    @F.pandas_udf("boolean")
-    def alike(a, b):
-        return a.combine(b, lambda x, y: similarity(x, y, shingle) >= least).astype(bool)
-
-    members = at.join(now.select("id", "root"), "id")
-    chosen = members.where(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / HUBS)) == 0)
-    pairs = members.join(chosen.select("band", F.col("id").alias("hub"), F.col("root").alias("hub_root")), "band").where("root != hub_root")
-    # the least and the greatest of both, with their roots
-    ends = [f(F.struct("id", "root"), F.struct(F.col("hub").alias("id"), F.col("hub_root").alias("root"))).alias(n) for n, f in (("a", F.least), ("b", F.greatest))]
-    pairs = pairs.select(*ends).distinct().select(F.col("a.id").alias("u"), F.col("a.root").alias("ru"), F.col("b.id").alias("v"), F.col("b.root").alias("rv"))
-    pairs = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("one")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("other")), "v")
-    return pairs.where(alike("one", "other")).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): roots of those of ``pairs`` (u, ru, v, rv) whose ``sets`` are of a similarity of ``least`` or more."""
+    rows = pairs.join(sets.toDF("u", "one"), "u").join(sets.toDF("v", "other"), "v")
+    both, total = F.size(F.array_intersect("one", "other")), F.size("one") + F.size("other")
+    # as many shared ones as the smaller set has don't do where the larger one is too large
+    near = (F.least(F.size("one"), F.size("other")) >= least * F.greatest(F.size("one"), F.size("other"))) & (both >= least * (total - both))
+    return rows.where(near).select(F.col("ru").alias("u"), F.col("rv").alias("v"))
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -143,27 +191,48 @@ def spanning_links(roots: np.ndarray, sets: list[np.ndarray], least: float) -> l
     return found
 
 
-def _block_links(members: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(u, v): links between roots of all texts that are alike and in one bucket of ``members`` (band, id, root, n).
+def _small_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): links between roots of all texts that are alike and in one bucket of BLOCK rows at most of ``members`` (band, id, root, n)."""
+
+    def run(own: pa.Table) -> pa.Table:
+        table = own.combine_chunks()
+        found = spanning_links(table["root"].to_numpy(), [np.asarray(x.values) for x in table["own"]], least)
+        return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
-    Rows of a bucket fall into blocks of about BLOCK and each pair of blocks is a group, so
-    no task has a whole bucket; pairs are compared inside a task and never become rows.
+    rows = members.where(F.col("n") <= BLOCK).select("band", "id", "root").join(sets, "id")
+    return rows.groupBy("band").applyInArrow(run, "u long, v long")
+
+
+def near_sketches(sketches: np.ndarray, roots: np.ndarray, block: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Places of pairs of rows with different roots whose sketches agree in the share ``least`` - UNSURE or more.
+
+    Rows of two blocks are compared across, rows of one with each other.
     """
+    found, two = [], block.min(initial=0) != block.max(initial=0)
+    for a in range(len(sketches)):
+        others = np.arange(a + 1, len(sketches))
+        others = others[(roots[others] != roots[a]) & ((block[others] != block[a]) | (not two))]
+        equal = (sketches[others] == sketches[a]).mean(axis=1)
+        found += [(a, int(b)) for b in others[equal >= least - UNSURE]]
+    return found
 
-    @F.pandas_udf("array<long>")
-    def hashed(own):
-        return own.map(lambda t: shingle_hashes(t, shingle), na_action=None)
 
-    sets = checkpoint(texts.join(members.select("id").distinct(), "id", "left_semi").select("id", hashed("text").alias("own")))
-    rows = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+def _candidates(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(u, ru, v, rv): pairs in one bucket of ``members`` (band, id, root, n) with different roots and near sketches.
+
+    Rows of a bucket fall into blocks of about LARGE_BLOCK and each pair of blocks is a group, so no task has a whole bucket.
+    """
+    rows = members.withColumn("blocks", F.ceil(F.col("n") / min(LARGE_BLOCK, BLOCK * 8)).cast("int"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root").join(sets, "id")
+    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root").join(sketches, "id")
+    names = ("u", "ru", "v", "rv")
 
     def run(own: pa.Table) -> pa.Table:
-        table = own.combine_chunks()
-        hashes = [np.asarray(x.values) for x in table["own"]]
-        found = spanning_links(table["root"].to_numpy(), hashes, least)
-        return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
+        ids, roots, block = (own[c].to_numpy() for c in ("id", "root", "block"))
+        told = np.frombuffer(b"".join(own["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        pairs = near_sketches(told, roots, block, least)
+        a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        return pa.table(dict(zip(names, (ids[a], roots[a], ids[b], roots[b]), strict=True)))
 
-    return rows.groupBy("band", "i", "j").applyInArrow(run, "u long, v long")
+    return rows.groupBy("band", "i", "j").applyInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()

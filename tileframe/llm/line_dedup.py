@@ -17,8 +17,8 @@ from .common import checkpoint, free
 
 #: Sites that make a line boilerplate; log2 of a sketch's buckets; relative error within which counts are made exact.
 MIN_SITES, LG_K, NEAR = 10, 12, 0.1
-#: Share of a text's characters in lines of many sites above which it is taken for a copy.
-COPIED = 0.5
+#: Share of a text's characters in lines of many sites above which it is taken for a copy: as near as near-duplicates are.
+COPIED = 0.8
 #: Boilerplate lines that are broadcast at most; more of them are joined with salt.
 BROADCAST_LINES, SALTS = 1_000_000, 16
 
@@ -45,7 +45,7 @@ def _on_own_texts(docs: DataFrame, found: DataFrame, min_sites: int, site_col: s
     """(h): those of ``found`` that at least ``min_sites`` sites have in texts of which no more than COPIED is lines of ``found``.
 
     Copies and near copies of one text on many sites have nearly all their lines in common,
-    so they say nothing of a line; boilerplate is also found among lines of other texts.
+    so they say nothing of a line; boilerplate is also found among lines of other texts, be these mostly boilerplate.
     """
     text = F.col(text_col).cast("string")
     site = F.col(site_col).cast("string").alias("site")
@@ -71,8 +71,8 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
     Blank lines stay. A text of nothing but boilerplate becomes empty. Null texts stay null
     and have 0 removed. Rows with equal id and text are treated alike, null ids too. Other
     columns pass through; a column named n_removed is replaced. With ``spare_copies`` a line
-    must be on ``min_sites`` sites in texts that are mostly their own, so that texts copied to
-    many sites keep theirs.
+    must be on ``min_sites`` sites in texts of which no more than COPIED is lines of many sites, so that texts copied to
+    many sites keep theirs. Pages that have less than that of their own are taken for copies of each other.
     """
     found = checkpoint(boilerplate(docs, min_sites, site_col, text_col))
     if spare_copies:
@@ -81,7 +81,9 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
     own = F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias(key)
     places = _matched(_hashed_lines(docs, text_col, own), found).groupBy(key).agg(F.collect_set("place").alias(gone))
     rows = docs.withColumn(key, own).join(places, key, "left").drop(key)
-    kept = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda line, i: ~F.array_contains(gone, i))
+    lines = F.split(F.col(text_col).cast("string"), "\n")
+    # places by hash: a text may have a million lines and as many that go
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
     rows = rows.withColumns(
         {text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
     )
