@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tileframe.llm import importance, jaccard, line_dedup, packing, secrets, simhash
-from tileframe.llm.common import checkpoint, checkpoint_dir, free, table
+from tileframe.llm.common import checkpoint, checkpoint_dir, drop_written, free, table
+from tileframe.llm.prefix import numbered
 from tileframe.llm.queries import good_ids, toxic_ids
 
 #: Rows of whole texts that Python gets at once, where the session doesn't say: Spark's own 10,000 are too much memory for long texts.
@@ -27,6 +28,13 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(columns)
 
 
+def _apart(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with all columns but ``own`` in one, so that operators add theirs beside them; and what gives the columns back."""
+    rest = free(docs, "rest")
+    back = [F.col(c) if c in own else F.col(rest)[c].alias(c) for c in docs.columns]
+    return docs.select(*own, F.struct(F.lit(0).alias(free(docs, "nothing")), *[F.col(c) for c in docs.columns if c not in own]).alias(rest)), back
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the labelled good ones chooses, without those like the labelled toxic ones.
 
@@ -34,7 +42,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay or go together; without labels all weights are 0. An empty table stays empty.
     """
     _bound_batches(spark)
-    return importance.resample(docs, good_ids(spark, sf_dir), shun_ids=toxic_ids(spark, sf_dir)).where("kept").select(docs.columns)
+    rows, back = _apart(docs, "doc_id", "text")
+    return importance.resample(rows, good_ids(spark, sf_dir), shun_ids=toxic_ids(spark, sf_dir)).where("kept").select(*back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,18 +52,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null, null sites don't count, repeated rows are treated alike and an empty
     table stays empty.
     """
-    return _counted(line_dedup.drop_boilerplate(docs, spare_copies=True), docs.columns)
+    rows, back = _apart(docs, "doc_id", "source", "text")
+    return _counted(line_dedup.drop_boilerplate(rows, spare_copies=True).select(*back), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that SimHash or a Jaccard similarity of 0.8 links, both over five words; rows count, so ids may be null or repeated.
 
-    ``docs`` is a written table, which numbers its rows alike each time it is read. Null and
+    Rows are written with their numbers, which so stay the same in all jobs. Null and
     blank texts are one group, of which one row stays; an empty table stays empty.
     """
     _bound_batches(spark)
     row = free(docs, "row_number")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered(docs, row)
     found = checkpoint(simhash.near_duplicates(rows, id_col=row, shingle=5, bits=3).select("id", F.col("component").alias("root")))
     joined = jaccard.joined(rows, found, id_col=row, shingle=5, least=0.8)
     first = found.where("id = root").join(joined, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias(row))
@@ -82,9 +92,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; each stage's rows are written to the shared folder and read again."""
+    """Apply STAGES to documents; each stage's rows are written to the shared folder and read again, and what it wrote by the way is deleted then."""
     docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid4()}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        drop_written(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
