@@ -25,8 +25,10 @@ BROADCAST_LINES, SALTS = 1_000_000, 16
 
 def _hashed_lines(docs: DataFrame, text_col: str, *columns: Column) -> DataFrame:
     """A row for each line with a character other than white space, with its XXH64."""
-    lines = F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("place", "line")
-    rows = docs.select(*columns, lines).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    # columns are worked out once for each text, below the rows of its lines
+    rows = docs.select(*columns, F.split(F.col(text_col).cast("string"), "\n").alias("own_lines"))
+    rows = rows.select(*[c for c in rows.columns if c != "own_lines"], F.posexplode("own_lines").alias("place", "line"))
+    rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return rows.select(*[c for c in rows.columns if c != "line"], F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
 
 
@@ -82,9 +84,10 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
     places = _matched(_hashed_lines(docs, text_col, own), found).groupBy(key).agg(F.collect_set("place").alias(gone))
     rows = docs.withColumn(key, own).join(places, key, "left").drop(key)
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    # places by hash: a text may have a million lines and as many that go
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
+    # places go by hash and the text is split once: it may have a million lines and as many that go
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.transform(F.array(lines), lambda own: F.array_join(F.transform(places, lambda i: F.get(own, i)), "\n"))
     rows = rows.withColumns(
-        {text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+        {text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.get(kept, F.lit(0))), "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long")}
     )
     return rows.drop(gone)
