@@ -25,18 +25,52 @@ def build(tiles: DataFrame, palettes: DataFrame, tileset: DataFrame, m: Mode, fl
     probes = probes.select("image_id", "seq", "palette", "probe", canonical(F.col("probe"), width, height, flip).alias("canon"))
     hits = probes.join(tileset.select("image_id", "canon", "tile", "data"), ["image_id", "canon"])
     best = hits.groupBy("image_id", "seq").agg(F.min(F.struct("palette", "tile", "probe", "data")).alias("b")).select("image_id", "seq", "b.*")
-    found = own.select("image_id", "seq", "seqs").join(best, ["image_id", "seq"], "left")
+    return spread(_told(own.select("image_id", "seq", "seqs").join(best, ["image_id", "seq"], "left"), m, width, height))
+
+
+def _told(found: DataFrame, m: Mode, width: int, height: int) -> DataFrame:
+    """(image_id, seq, seqs, tile, palette, flip_h, flip_v, matched) of shapes with the tile that was found for them, if any."""
     ok = F.col("tile").isNotNull() & ((F.col("tile") < m.max_tiles) if m.max_tiles else F.lit(True))
     h, v = flips(F.col("probe"), F.col("data"), width, height)
     pick = lambda value, other: F.when(ok, value).otherwise(F.lit(other))
-    return spread(
-        found.select(
-            "image_id", "seq", "seqs", pick(F.col("tile"), 0).alias("tile"), pick(F.col("palette"), 0).alias("palette"), pick(h, False).alias("flip_h"), pick(v, False).alias("flip_v"), F.col("tile").isNotNull().alias("matched")
-        )
+    return found.select(
+        "image_id", "seq", "seqs", pick(F.col("tile"), 0).alias("tile"), pick(F.col("palette"), 0).alias("palette"), pick(h, False).alias("flip_h"), pick(v, False).alias("flip_v"), F.col("tile").isNotNull().alias("matched")
     )
 
 
-def flips(probe: Column, data: Column, width: int = 8, height: int = 8) -> tuple[Column, Column]:
+#: Kinds of tiles that are sent to all tasks at most, and parts that more of them are dealt out over.
+FEW_KINDS, SALTS = 50_000, 16
+
+
+def build_shared(tiles: DataFrame, palettes: DataFrame, tileset: DataFrame, m: Mode, flip: bool = True, width: int = 8, height: int = 8, few: int = FEW_KINDS) -> DataFrame:
+    """``build`` for one tileset (tile, canon, data) and one list of subpalettes (palettes) that serve all images.
+
+    The subpalettes are one row, bounded by what a mode has, and become a constant. A kind of tile is looked up once
+    for all images, by its canonical form. What was found goes back to the images' tiles by their pixels: sent to
+    all tasks where there are ``few`` kinds or less, else in a join in which each kind is dealt out over
+    SALTS parts, as a kind like the blank tile is in every image.
+    """
+    given = palettes.select("palettes").limit(2).collect()
+    if len(given) != 1:
+        raise ValueError("tilesets that serve all images have one list of subpalettes")
+    lists = [F.array(*[F.lit(c).cast("long") for c in p]) if p else F.array().cast("array<long>") for p in given[0].palettes or []]
+    own = shapes(tiles)
+    kinds = own.select("rgba").distinct().withColumn("colors", color_set(F.col("rgba"), m)).withColumn("reduced", reduced(F.col("rgba"), m))
+    rows = kinds.select("rgba", "colors", "reduced", F.posexplode(F.array(*lists) if lists else F.array().cast("array<array<long>>")).alias("palette", "p"))
+    probes = rows.where(_holds(F.col("p"), F.col("colors"))).withColumn("probe", remap(F.col("reduced"), F.col("p")))
+    probes = probes.select("rgba", "palette", "probe", canonical(F.col("probe"), width, height, flip).alias("canon"))
+    hits = probes.join(tileset.select("canon", "tile", "data"), "canon")
+    best = hits.groupBy("rgba").agg(F.min(F.struct("palette", "tile", "probe", "data")).alias("b")).select("rgba", "b.*").persist()
+    rows = own.select("image_id", "seq", "seqs", "rgba")
+    if best.limit(few + 1).count() <= few:
+        found = rows.join(F.broadcast(best), "rgba", "left")
+    else:
+        salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = rows.withColumn("salt", F.pmod(F.xxhash64("image_id", "seq"), F.lit(SALTS)).cast("int")).join(salted, ["rgba", "salt"], "left")
+    return spread(_told(found, m, width, height))
+
+
+def flips(probe: Column, data: Column, width: int | Column = 8, height: int | Column = 8) -> tuple[Column, Column]:
     """How a tileset's tile must be mirrored to give ``probe``: not at all if that does, else h, v, or both."""
     same, h, v = probe == data, probe == mirrored(data, width, height, True, False), probe == mirrored(data, width, height, False, True)
     return ~same & (h | ~v), ~same & ~h

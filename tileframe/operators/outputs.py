@@ -25,11 +25,22 @@ def palette_act(palettes: Column, m: Mode) -> Column:
     return F.concat(F.rpad(rgb, 1536, "0"), F.lit("00"), byte_hex(F.size(F.flatten(palettes)) % 256), F.lit("ffff"))
 
 
-def palette_json(palettes: Column, m: Mode) -> Column:
-    """Subpalettes as JSON: colours at full depth as hex, and reduced channels."""
+def _lines(items: Column, depth: int) -> Column:
+    """JSON of an array of JSON texts, one to a line, for something that stands ``depth`` levels deep."""
+    pad = "  " * depth
+    listed = F.array_join(F.transform(items, lambda i: F.concat(F.lit(f"{pad}  "), i)), ",\n")
+    return F.when(F.size(items) == 0, "[]").otherwise(F.concat(F.lit("[\n"), listed, F.lit(f"\n{pad}]")))
+
+
+def palette_json(palettes: Column, m: Mode, indented: bool = False) -> Column:
+    """Subpalettes as JSON: colours at full depth as hex, and reduced channels; ``indented`` by two spaces a level, as palette files have it."""
     names = F.transform(palettes, lambda p: F.transform(p, lambda c: hex_of(normalize(c, m))))
     parts = F.transform(palettes, lambda p: F.transform(p, lambda c: F.array(*[channel(c, k).cast("int") for k in range(3)])))
-    return F.to_json(F.struct(names.alias("palettes"), parts.alias("palettes_native_rgb")))
+    if not indented:
+        return F.to_json(F.struct(names.alias("palettes"), parts.alias("palettes_native_rgb")))
+    told = _lines(F.transform(names, lambda p: _lines(F.transform(p, lambda c: F.concat(F.lit('"'), c, F.lit('"'))), 2)), 1)
+    channels = _lines(F.transform(parts, lambda p: _lines(F.transform(p, lambda c: _lines(F.transform(c, lambda v: v.cast("string")), 3)), 2)), 1)
+    return F.concat(F.lit('{\n  "palettes": '), told, F.lit(',\n  "palettes_native_rgb": '), channels, F.lit("\n}"))
 
 
 def palette_pixels(palettes: DataFrame, m: Mode, max_colors: int | None = None) -> DataFrame:

@@ -57,9 +57,17 @@ def packed(sets: DataFrame, m: Mode, max_colors: int | None = None, firsts: Data
     hue, brightness and value. ``firsts`` (image_id, col0) are the shared first colours. One
     image's distinct maximal sets are one row.
     """
-    most = max_colors or m.colors
+    most = F.lit(max_colors or m.colors)
+    if firsts is None:
+        return packed_within(sets, most)
+    sets = sets.join(firsts.select("image_id", reduce(F.col("col0"), m).alias("first")), "image_id")
+    return packed_within(sets, most, F.col("first"), ("first",)).drop("first")
+
+
+def packed_within(sets: DataFrame, most: Column, first: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``packed`` for subpalettes of ``most`` colours with ``first`` in front where it isn't null; both may be columns of ``sets``, which follow from image_id and are named in ``keys``."""
     by_size = F.struct((-F.size("colors")).alias("size"), (-F.col("seq")).alias("seq"), "colors")
-    rows = sets.groupBy("image_id").agg(F.sort_array(F.collect_list(by_size)).alias("sets"))
+    rows = sets.groupBy("image_id", *keys).agg(F.sort_array(F.collect_list(by_size)).alias("sets"))
 
     def put(bins: Column, s: Column) -> Column:
         fits = F.filter(F.sequence(F.lit(1), F.size(bins)), lambda i: F.size(F.array_union(F.element_at(bins, i), s["colors"])) <= most)
@@ -70,11 +78,10 @@ def packed(sets: DataFrame, m: Mode, max_colors: int | None = None, firsts: Data
     none = F.array().cast("array<array<long>>")
     rows = rows.withColumn("bins", F.aggregate("sets", none, put))
     ordered = F.transform(F.sort_array(F.transform("bins", lambda b, i: F.struct((-F.size(b)).alias("size"), i.alias("i"), F.sort_array(b).alias("colors")))), lambda b: b["colors"])
-    rows = rows.select("image_id", ordered.alias("ordered"))
-    if firsts is not None:
-        rows = rows.join(firsts.select("image_id", reduce(F.col("col0"), m).alias("first")), "image_id")
-        rows = rows.select("image_id", F.transform("ordered", lambda b: _moved_to_front(b, F.col("first"))).alias("ordered"))
-    return rows.select("image_id", F.transform("ordered", sorted_after_first).alias("palettes"))
+    rows = rows.select("image_id", *keys, ordered.alias("ordered"))
+    if first is not None:
+        rows = rows.withColumn("ordered", F.transform("ordered", lambda b: F.when(first.isNull(), b).otherwise(_moved_to_front(b, first))))
+    return rows.select("image_id", *keys, F.transform("ordered", sorted_after_first).alias("palettes"))
 
 
 def _moved_to_front(colors: Column, first: Column) -> Column:

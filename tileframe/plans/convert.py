@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +59,18 @@ class Options:
 
 @dataclass(frozen=True)
 class Conversion:
-    """The relations of a conversion; all carry image_id."""
+    """The relations of a conversion; all carry image_id. What they have in common is kept once it is worked out, until ``release``."""
 
     tiles: DataFrame
     palettes: DataFrame
     tileset: DataFrame
     entries: DataFrame
     diagnostics: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for part in self.kept:
+            part.unpersist()
 
 
 def sliced(pixels: DataFrame, options: Options) -> DataFrame:
@@ -77,7 +82,7 @@ def sliced(pixels: DataFrame, options: Options) -> DataFrame:
 def sliced_images(images: DataFrame, options: Options) -> DataFrame:
     """The same for whole images (image_id, width, height, rgba), without a shuffle of pixels."""
     _, _, width, height, _ = options.resolved()
-    return _row_by_row(tiles.slice_images(images, width, height))
+    return tiles.slice_images(images, width, height).select("image_id", "seq", "tx", "ty", "rgba")
 
 
 def _row_by_row(rows: DataFrame) -> DataFrame:
@@ -148,18 +153,23 @@ def build_tileset(image_tiles: DataFrame, found: DataFrame, options: Options) ->
 
 
 def build_map(image_tiles: DataFrame, found: DataFrame, tileset: DataFrame, options: Options, map_width: int = 0, map_height: int = 0) -> DataFrame:
-    """(image_id, seq, x, y, tile, palette, flip_h, flip_v, matched) for tiles (image_id, seq, tx, ty, rgba) in given palettes and a given tileset.
+    """(image_id, seq, x, y, tile, palette, flip_h, flip_v, matched) for tiles (image_id, seq, tx, ty, rgba), or their shapes with positions, in given palettes and a given tileset.
 
     With a map size the image is cut or filled up with empty tiles to that many of them.
+    Without image_id, ``found`` (one row) and ``tileset`` serve all images, which need no copies of them.
     """
     m, _, width, height, flip = options.resolved()
     if m.name == "pce_sprite":
         raise ValueError("sprites have no maps")
     if map_width and map_height:
         image_tiles = tiles.grid(image_tiles, map_width, map_height, width * height)
-    own = found.where("palettes is not null").select("image_id", "palettes")
-    entries = maps.build(image_tiles.select("image_id", "seq", "rgba"), own, tileset, m, flip, width, height)
-    entries = entries.join(image_tiles.select("image_id", "seq", F.col("tx").alias("x"), F.col("ty").alias("y")), ["image_id", "seq"])
+    rows = image_tiles if "seqs" in image_tiles.columns else image_tiles.select("image_id", "seq", "rgba")
+    if "image_id" not in tileset.columns:
+        entries = maps.build_shared(rows, found, tileset, m, flip, width, height)
+    else:
+        own = found.where("palettes is not null").select("image_id", "palettes")
+        entries = maps.build(rows, own, tileset, m, flip, width, height)
+    entries = entries.join(tiles.positions(image_tiles).toDF("image_id", "seq", "x", "y"), ["image_id", "seq"])
     return maps.offset(entries, options.tile_offset, options.palette_offset)
 
 
@@ -201,22 +211,26 @@ def convert(pixels: DataFrame, options: Options | None = None, image_palettes: D
         more = _uneven(pixels, width, height)
         pixels = pixels.join(more.select("image_id"), "image_id", "left_anti")
     done = convert_tiles(sliced(pixels, options), options, image_palettes)
-    return done if more is None else Conversion(done.tiles, done.palettes, done.tileset, done.entries, done.diagnostics.union(more))
+    return done if more is None else replace(done, diagnostics=done.diagnostics.union(more))
 
 
 def convert_tiles(image_tiles: DataFrame, options: Options, image_palettes: DataFrame | None = None) -> Conversion:
-    """``convert`` for tiles made by ``sliced`` or ``sliced_images``."""
+    """``convert`` for tiles made by ``sliced`` or ``sliced_images``.
+
+    Shapes, palettes and tilesets feed several relations and are persisted (in memory, then on disk), so pictures are
+    read and cut once; a lost part is worked out again.
+    """
     m, *_ = options.resolved()
-    own = tiles.shapes(image_tiles)
-    found = build_palettes(own, options, image_palettes)
-    tileset = build_tileset(own, found, options)
+    own = tiles.shapes(image_tiles, positions=True).persist()
+    found = build_palettes(own, options, image_palettes).persist()
+    tileset = build_tileset(own, found, options).persist()
     if m.name == "pce_sprite":  # sprites have no maps
         entries = tiles.spread(own.select("image_id", "seqs")).where("false").selectExpr(
             "image_id", "seq", "0 as tile", "0 as palette", "false as flip_h", "false as flip_v", "false as matched", "0 as x", "0 as y"
         )
     else:
-        entries = build_map(image_tiles, found, tileset, options)
-    return Conversion(image_tiles, found, tileset, entries, diagnose(own, found, tileset, options))
+        entries = build_map(own, found, tileset, options)
+    return Conversion(image_tiles, found, tileset, entries, diagnose(own, found, tileset, options), (own, found, tileset))
 
 
 def native(conversion: Conversion, options: Options, map_width: int, map_height: int) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, color
 from ..operators import maps, outputs, palettes, tiles
+from ..sources import native as sources
 from ..sources import png
 from ..sources.events import COLUMNS, GREY, event_pixels, event_tiles
 from .convert import Options, build_tileset, convert, first_colors, native
+from .many import convert_many
 from .modes import MODES, Mode, mode
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -671,6 +673,12 @@ def png_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("image_id", "image.width", "image.height", F.md5(_list("image.rgba").cast("binary")).alias("pixels"))
 
 
+def _with_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of all images and of one more, whose tiles have too many colours."""
+    noise = event_colors(spark, sf_dir).select(F.lit(-1).cast("long").alias("image_id"), (F.col("event_id") % 8).alias("x"), F.expr("event_id div 8").alias("y"), F.col("rgba").bitwiseOR(F.lit(0xFF000000)).alias("rgba"))
+    return event_pixels(spark, sf_dir).unionByName(noise)
+
+
 @query(
     "convert_native",
     f"""WITH {PIXELS_SQL}, {_in_order_sql(4)}, {_PACKED_MAP_SQL}, {_FLIP_SQL},
@@ -688,9 +696,123 @@ def png_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def convert_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole conversions; one image more has tiles of too many colours, which holds up none of the others."""
-    noise = event_colors(spark, sf_dir).select(F.lit(-1).cast("long").alias("image_id"), (F.col("event_id") % 8).alias("x"), F.expr("event_id div 8").alias("y"), F.col("rgba").bitwiseOR(F.lit(0xFF000000)).alias("rgba"))
     options = Options(bpp=2)
-    return native(convert(event_pixels(spark, sf_dir).unionByName(noise), options), options, 32, 32)
+    return native(convert(_with_noise(spark, sf_dir), options), options, 32, 32)
+
+
+_JSON_LINES = """'{{\n  "palettes": [\n    [\n' || string_agg('      "' || printf('#%02x%02x%02x', {full}) || '"', ',\n' ORDER BY i) || '\n    ]\n  ],\n  "palettes_native_rgb": [\n    [\n'
+    || string_agg(printf('      [\n        %d,\n        %d,\n        %d\n      ]', {parts}), ',\n' ORDER BY i) || '\n    ]\n  ]\n}}'"""
+
+
+@query("palette_json_indented", f"WITH {PIXELS_SQL}, {_COLORS_OF_SQL} SELECT image_id, {_JSON_LINES.format(full=', '.join(_FULL_SQL), parts=', '.join(_CH))} AS json FROM pc GROUP BY image_id")
+def palette_json_indented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sorted_palette(spark, sf_dir).select("image_id", outputs.palette_json(F.col("palettes"), SNES, indented=True).alias("json"))
+
+
+@query("palette_read_json", f"WITH {PIXELS_SQL}, {_INDEX_SQL} SELECT image_id, CAST(0 AS INT) AS palette, array_to_string(colors, ',') AS colors FROM pal")
+def palette_read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Palettes read back from their JSON documents."""
+    told = _sorted_palette(spark, sf_dir).select("image_id", outputs.palette_json(F.col("palettes"), SNES, indented=True).alias("json"))
+    read = told.select("image_id", F.posexplode(sources.palettes_from_json(F.col("json"), SNES)).alias("palette", "p"))
+    return read.select("image_id", "palette", _list("p").alias("colors"))
+
+
+@query("palette_read_native", f"WITH {PIXELS_SQL}, {_INDEX_SQL} SELECT image_id, CAST(k AS INT) AS palette, array_to_string(colors[k * 4 + 1:k * 4 + 4], ',') AS colors FROM pal, range(4) r(k)")
+def palette_read_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Palettes read back from their native bytes, in subpalettes of four colours."""
+    told = _sorted_palette(spark, sf_dir).select("image_id", outputs.palette_native(F.col("palettes"), SNES).alias("hex"))
+    read = told.select("image_id", F.posexplode(sources.palettes_from_native(F.col("hex"), SNES, 4)).alias("palette", "p"))
+    return read.select("image_id", "palette", _list("p").alias("colors"))
+
+
+@query("tiles_read_native", f"WITH {PIXELS_SQL}, {_INDEX_SQL}, {_FLIP_SQL} SELECT image_id, CAST(tile AS INT) AS tile, array_to_string(first, ',') AS data FROM ts")
+def tiles_read_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tilesets read back from their native bytes."""
+    told = outputs.tileset_native(tiles.dedupe(_indexed(spark, sf_dir)), SNES)
+    return sources.tiles_of(told.select("image_id", F.unhex("hex").alias("content")), SNES).select("image_id", "tile", _list("data").alias("data"))
+
+
+@query(
+    "conversion_diagnostics",
+    f"""WITH {PIXELS_SQL}, {_in_order_sql(4)}, {_PACKED_MAP_SQL}, {_FLIP_SQL}
+    SELECT image_id, 'too many tiles' AS problem FROM ts GROUP BY image_id HAVING count(*) > 4 UNION ALL SELECT -1, 'colors do not fit in a palette'""",
+)
+def conversion_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds up conversions: too many colours in one image, and tilesets of more than four tiles in others."""
+    return convert(_with_noise(spark, sf_dir), Options(bpp=2, max_tiles=4)).diagnostics.select("image_id", "problem")
+
+
+def _shared_sql(cut: int) -> str:
+    """Maps of all images in the palettes and the first ``cut`` tiles of image 0."""
+    flip = lambda by: f"list_transform(range(64), lambda p: data[{by} + 1])"
+    return f"""WITH {PIXELS_SQL}, {_in_order_sql(8)}, {_PACKED_MAP_SQL}, {_FLIP_SQL},
+    t0 AS (SELECT canon, first, tile FROM ts WHERE image_id = 0 AND tile < {cut}),
+    tf AS (SELECT rx.image_id, rx.seq, po.palette, list(list_position(po.colors, c) - 1 ORDER BY p) AS data
+        FROM rx JOIN cs USING (image_id, seq) JOIN po ON po.image_id = 0 AND len(list_filter(cs.colors, lambda x: NOT list_contains(po.colors, x))) = 0 GROUP BY rx.image_id, rx.seq, po.palette),
+    pf AS (SELECT *, {flip("p // 8 * 8 + 7 - p % 8")} AS fh, {flip("(7 - p // 8) * 8 + p % 8")} AS fv, list_reverse(data) AS fhv FROM tf),
+    hit AS (SELECT pf.image_id, pf.seq, palette, tile, CASE WHEN data = first THEN 0 WHEN fh = first THEN 1 WHEN fv = first THEN 2 ELSE 3 END AS how FROM pf JOIN t0 ON t0.canon = least(data, fh, fv, fhv)),
+    be AS (SELECT image_id, seq, min([palette, tile, how]) AS b FROM hit GROUP BY image_id, seq)
+    SELECT cs.image_id, CAST(cs.seq AS INT) AS seq, CAST(coalesce(b[2], 0) AS INT) AS tile, CAST(coalesce(b[1], 0) AS INT) AS palette, coalesce(b[3] IN (1, 3), false) AS flip_h, coalesce(b[3] IN (2, 3), false) AS flip_v, b IS NOT NULL AS matched
+    FROM cs LEFT JOIN be USING (image_id, seq)"""
+
+
+def _shared_entries(spark: SparkSession, sf_dir: str, few: int) -> DataFrame:
+    own, first = event_shapes(spark, sf_dir), event_shapes(spark, sf_dir).where("image_id = 0")
+    sets = palettes.maximal_sets(palettes.distinct_sets(palettes.color_sets(first, SNES, first_colors(first, PACKED))))
+    found = palettes.packed(sets, SNES, 8, first_colors(first, PACKED)).persist()
+    tileset = build_tileset(first, found, PACKED).where("tile < 4").drop("image_id")
+    return maps.build_shared(own, found.drop("image_id"), tileset, SNES, few=few)
+
+
+@query("map_shared_tileset", _shared_sql(4))
+def map_shared_tileset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of all images in one image's palettes and four of its tiles."""
+    return _shared_entries(spark, sf_dir, maps.FEW_KINDS)
+
+
+@query("map_shared_tileset_salted", _shared_sql(4))
+def map_shared_tileset_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the way for more kinds of tiles than are broadcast."""
+    return _shared_entries(spark, sf_dir, 0)
+
+
+_MANY = [m for m in MODES.values() if m.name != "pce_sprite"]  # sprites have no maps
+_MANY_SQL = f"""WITH {PIXELS_SQL.split("rx AS")[0].rstrip().rstrip(",")},
+md(mode, k, n, flip, shared, most, reach) AS (VALUES {", ".join(f"('{m.name}', {list(MODES).index(m.name)}, {m.colors}, {m.flip}, {m.col0_shared}, {m.palettes}, {m.max_tiles})" for m in _MANY)}),
+tl AS (SELECT image_id, seq, list(rgba ORDER BY p) AS rgba FROM px GROUP BY image_id, seq),
+sh AS (SELECT image_id, rgba, min(seq) AS seq, list(seq) AS seqs FROM tl GROUP BY image_id, rgba),
+re AS (SELECT image_id * 16 + k AS id, sh.seq, md.*, p, CASE mode {" ".join(f"WHEN '{m.name}' THEN {_reduce_sql(m.name, 'rgba[p + 1]')}" for m in _MANY)} END AS c FROM sh, md, range(64) r(p)),
+st AS (SELECT id, any_value(n) AS n, any_value(flip) AS flip, any_value(shared) AS shared, any_value(most) AS most, any_value(reach) AS reach FROM re GROUP BY id),
+co AS (SELECT id AS image_id, c AS col0 FROM re WHERE seq = 0 AND p = 0 AND shared),
+ow AS (SELECT id AS image_id, seq, list_sort(list(DISTINCT c)) AS colors FROM re GROUP BY id, seq),
+cs AS (SELECT image_id, seq, CASE WHEN col0 IS NULL THEN colors ELSE list_sort(list_distinct(list_append(colors, col0))) END AS colors FROM ow LEFT JOIN co USING (image_id)),
+ds AS (SELECT image_id, colors, min(seq) AS seq FROM cs GROUP BY image_id, colors),
+ms AS (SELECT a.*, n FROM ds a JOIN st ON st.id = a.image_id WHERE NOT EXISTS (SELECT 1 FROM ds b WHERE b.image_id = a.image_id AND len(b.colors) > len(a.colors) AND len(list_filter(a.colors, lambda x: NOT list_contains(b.colors, x))) = 0)),
+{_pack_sql("n").replace("GROUP BY image_id)", "GROUP BY image_id, n)").replace("SELECT image_id, list([colors]", "SELECT image_id, n, list([colors]")},
+ok AS (SELECT bins.* FROM bins JOIN st ON st.id = image_id WHERE len(bins) <= most AND len(list_filter(bins, lambda b: len(b) > n)) = 0),
+ob AS (SELECT image_id, bins, list_sort(list_transform(range(1, len(bins) + 1), lambda i: [-len(bins[i]), i])) AS by_size FROM ok),
+pu AS (SELECT image_id, generate_subscripts(by_size, 1) - 1 AS palette, bins[unnest(by_size)[2]] AS colors FROM ob),
+pk AS (SELECT image_id, palette, c, c = coalesce(col0, low) AS front, {_key_sql("c")} AS key FROM (SELECT image_id, palette, list_min(colors) AS low, unnest(colors) AS c FROM pu) LEFT JOIN co USING (image_id)),
+po AS (SELECT image_id, palette, list(c ORDER BY front DESC, key) AS colors FROM pk GROUP BY image_id, palette),
+tt AS (SELECT re.id AS image_id, re.seq, po.palette, any_value(re.flip) AS flip, list(list_position(po.colors, c) - 1 ORDER BY p) AS data
+    FROM re JOIN ow ON ow.image_id = re.id AND ow.seq = re.seq JOIN po ON po.image_id = re.id AND len(list_filter(ow.colors, lambda x: NOT list_contains(po.colors, x))) = 0 GROUP BY re.id, re.seq, po.palette),
+pf AS (SELECT *, list_transform(range(64), lambda p: data[p // 8 * 8 + 7 - p % 8 + 1]) AS fh, list_transform(range(64), lambda p: data[(7 - p // 8) * 8 + p % 8 + 1]) AS fv, list_reverse(data) AS fhv FROM tt),
+pc AS (SELECT *, CASE WHEN flip THEN least(data, fh, fv, fhv) ELSE data END AS canon FROM pf),
+fi AS (SELECT image_id, seq, arg_min(data, palette) AS data, arg_min(canon, palette) AS canon FROM pc GROUP BY image_id, seq),
+ts AS (SELECT image_id, canon, arg_min(data, seq) AS first, row_number() OVER (PARTITION BY image_id ORDER BY min(seq)) - 1 AS tile FROM fi GROUP BY image_id, canon),
+be AS (SELECT pc.image_id, pc.seq, min([palette, tile, CASE WHEN data = first THEN 0 WHEN fh = first THEN 1 WHEN fv = first THEN 2 ELSE 3 END]) AS b FROM pc JOIN ts ON ts.image_id = pc.image_id AND ts.canon = pc.canon GROUP BY pc.image_id, pc.seq),
+en AS (SELECT sh.image_id, md.k, unnest(seqs) AS seq, b IS NOT NULL AS matched, coalesce(reach = 0 OR b[2] < reach, false) AND b IS NOT NULL AS ok, b FROM sh CROSS JOIN md LEFT JOIN be ON be.image_id = sh.image_id * 16 + k AND be.seq = sh.seq)
+SELECT image_id * 16 + k AS image_id, CAST(seq AS INT) AS seq, CAST(seq % 32 AS INT) AS x, CAST(seq // 32 AS INT) AS y, CAST(CASE WHEN ok THEN b[2] ELSE 0 END AS INT) AS tile, CAST(CASE WHEN ok THEN b[1] ELSE 0 END AS INT) AS palette,
+    ok AND b[3] IN (1, 3) AS flip_h, ok AND b[3] IN (2, 3) AS flip_v, matched FROM en"""
+
+
+@query("convert_modes", _MANY_SQL)
+def convert_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of each picture in all sixteen modes, in one job; a mode without palettes matches no tile, sprites have no maps."""
+    pictures = event_pixels(spark, sf_dir).withColumnRenamed("image_id", "source_id")
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("mode")) for k, name in enumerate(MODES)])).alias("asked")
+    requests = pictures.select("source_id").distinct().select("source_id", asked).select("source_id", (F.col("source_id") * 16 + F.col("asked.k")).alias("image_id"), "asked.mode")
+    return convert_many(pictures, requests).entries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

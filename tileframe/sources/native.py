@@ -37,8 +37,8 @@ def read_palettes(spark: SparkSession, path: str, m: Mode, max_colors: int | Non
     return rows.select("path", F.when(F.col("told").isNotNull(), F.col("told")).otherwise(palettes_from_native(F.lower(F.hex("content")), m, max_colors)).alias("palettes"))
 
 
-def read_tiles(spark: SparkSession, path: str, m: Mode, bpp: int | None = None, width: int = 8, height: int = 8) -> DataFrame:
-    """(image_id, tile, data): the tiles of native files, in order; a size that isn't whole tiles is an error.
+def tiles_of(rows: DataFrame, m: Mode, bpp: int | None = None, width: int = 8, height: int = 8) -> DataFrame:
+    """(image_id, tile, data): the tiles of native bytes (image_id, content), in order; a size that isn't whole tiles is an error.
 
     Larger tiles are put together from 8 by 8 cells: one starts at every cell that has its others.
     """
@@ -46,8 +46,13 @@ def read_tiles(spark: SparkSession, path: str, m: Mode, bpp: int | None = None,
     layout(m, bpp)
     size = 8 * bpp
     whole = F.when(F.length("content") % size == 0, F.expr(f"length(content) div {size}").cast("int")).otherwise(F.raise_error(F.lit("not a whole number of tiles")).cast("int"))
-    rows = files(spark, path).withColumn("n", whole).where("n > 0")
-    rows = rows.select("path", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tile"))
+    rows = rows.withColumn("n", whole).where("n > 0")
+    rows = rows.select("image_id", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tile"))
     part = F.lower(F.hex(F.substring(F.col("content"), F.col("tile") * size + 1, F.lit(size))))
-    cells = rows.select(F.col("path").alias("image_id"), "tile", part.alias("native")).select("image_id", "tile", unpack_tile(F.col("native"), m, bpp).alias("data"))
+    cells = rows.select("image_id", "tile", part.alias("native")).select("image_id", "tile", unpack_tile(F.col("native"), m, bpp).alias("data"))
     return cells if (width, height) == (8, 8) else metatiles(cells, width, height, per_row=16 if m.name == "snes" else 1)
+
+
+def read_tiles(spark: SparkSession, path: str, m: Mode, bpp: int | None = None, width: int = 8, height: int = 8) -> DataFrame:
+    """``tiles_of`` native files; their paths are image_id."""
+    return tiles_of(files(spark, path).withColumnRenamed("path", "image_id"), m, bpp, width, height)
