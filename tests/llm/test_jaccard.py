@@ -62,7 +62,7 @@ def test_links_of_all_pairs(monkeypatch):
 
 def test_wide_spread_copies_are_compared_in_blocks(spark, sf, monkeypatch):
     """Copies of one text with up to a tenth of their words changed: no hub is near all of them."""
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 20_000)
     rng = random.Random(9)
     base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(150)]
     texts = []

@@ -5,10 +5,10 @@ at similarity 0.8 do, and more above. Each text's shingles are hashed once to 64
 its id; these sets, not texts, are compared. First every text is compared with the hub of its largest bucket: the text
 of a bucket whose buckets are the largest in all, which a text that was copied with changes comes out as. Then, ROUNDS times, the texts
 of each bucket that holds more than one component with its heaviest text in a component not asked yet. So far
-pairs are in proportion to the texts in buckets. What is still mixed is compared in full: small buckets inside
-a task, large ones block by block by sketches of a byte for each minimum, which tell pairs far below the limit from
-the others; only those others become rows and get their sets compared. Many texts that stay apart in one bucket cost the square of
-their number in comparisons of sketches, over many tasks.
+pairs are in proportion to the texts in buckets. What is still mixed is compared in full inside the tasks: a bucket falls into blocks of about
+BLOCK_BYTES of sets and each pair of blocks is a group, so sets are copied once for each block of their bucket; pairs never become rows, and
+only links that join components come out. Many texts that stay apart in one bucket cost the square of
+their number in comparisons, over many tasks.
 """
 
 from __future__ import annotations
@@ -28,10 +28,8 @@ from .components import connected_components
 BANDS, ROWS = 24, 6
 #: Shingles whose minima are taken at once.
 CHUNK = 2048
-#: Rounds of hubs after the first, rows of a bucket that a task compares by itself, and rows of a block of a larger one.
-ROUNDS, BLOCK, LARGE_BLOCK = 2, 128, 1024
-#: How much less than the limit a sketch may tell of a pair that is looked at: six standard errors of BANDS * ROWS minima.
-UNSURE = 0.2
+#: Rounds of hubs after the first, and bytes of sets in a block of a bucket.
+ROUNDS, BLOCK_BYTES = 2, 8 << 20
 _rng = np.random.default_rng(17)
 _FACTORS = (_rng.integers(0, 1 << 31, (BANDS * ROWS, 1)) * 2 + 1).astype(np.uint32)
 _TERMS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1)).astype(np.uint32)
@@ -53,47 +51,34 @@ def similarity(a: str | None, b: str | None, size: int) -> float:
     return both / max(1, len(one) + len(other) - both)
 
 
-def minima(text: str | None, size: int) -> np.ndarray | None:
-    """The least of each hash function over the shingles of a text; None for a text without words."""
+def bands(text: str | None, size: int) -> list[int]:
+    """A hash of each band of minima as a signed long; none for a text without words."""
     own = shingles(text, size)
     if not own:
-        return None
+        return []
     hashes = np.fromiter(map(xxh64_intdigest, own, repeat(7)), np.uint64, len(own)).astype(np.uint32)
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(hashes), CHUNK):
         least = np.minimum(least, (hashes[None, i : i + CHUNK] * _FACTORS + _TERMS).min(axis=1))
-    return least
-
-
-def _bands_of(least: np.ndarray | None) -> list[int]:
-    if least is None:
-        return []
     found = [xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, ROWS))]
     return np.array(found, np.uint64).view(np.int64).tolist()
 
 
-def bands(text: str | None, size: int) -> list[int]:
-    """A hash of each band of minima as a signed long; none for a text without words."""
-    return _bands_of(minima(text, size))
-
-
 def banded(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, key, bands, sketch) of each text; texts of the same words have the same key. A sketch is a byte of each minimum."""
+    """(id, key, bands) of each text; texts of the same words have the same key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, found, sketches = [], [], []
+            keys, found = [], []
             for x in b.column(1):
                 t = x.as_py()
-                least = minima(t, size)
                 keys.append(xxh64_intdigest(b" ".join(_words(t))))
-                found.append(_bands_of(least))
-                sketches.append(b"" if least is None else least.astype(np.uint8).tobytes())
-            told = [b.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(told, ["id", "key", "bands", "sketch"])
+                found.append(bands(t, size))
+            told = [b.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(told, ["id", "key", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, key long, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, "id long, key long, bands array<long>")
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -144,10 +129,8 @@ def joined(docs: DataFrame, roots: DataFrame, id_col: str = "doc_id", text_col:
         asked = members.limit(0).select("band", "id") if asked is None else written(asked.union(hubs))
     members = at.join(now.select("id", "root"), "id")
     mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    members = written(members.join(mixed, "band", "left_semi").select("band", "id", "root", "n"))
-    now = _merged(now, _small_links(members, sets, least))
-    members = members.where(F.col("n") > BLOCK).drop("root").join(now.select("id", "root"), "id")
-    now = _merged(now, _alike(_candidates(members, found.select("id", "sketch"), least), sets, least))
+    members = written(members.join(mixed, "band", "left_semi").select("band", "id", "root"))
+    now = _merged(now, _block_links(members, sets, least))
     return now.where("node != root").select("node", "root").distinct()
 
 
@@ -191,48 +174,17 @@ def spanning_links(roots: np.ndarray, sets: list[np.ndarray], least: float) -> l
     return found
 
 
-def _small_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(u, v): links between roots of all texts that are alike and in one bucket of BLOCK rows at most of ``members`` (band, id, root, n)."""
+def _block_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): links between roots of all texts that are alike and in one bucket of ``members`` (band, id, root)."""
+    rows = members.select("band", "id", "root").join(sets.select("id", F.size("own").alias("size")), "id")
+    blocks = rows.groupBy("band").agg(F.ceil(F.sum(8 * F.col("size")) / BLOCK_BYTES).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root").join(sets, "id")
 
     def run(own: pa.Table) -> pa.Table:
         table = own.combine_chunks()
         found = spanning_links(table["root"].to_numpy(), [np.asarray(x.values) for x in table["own"]], least)
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
-    rows = members.where(F.col("n") <= BLOCK).select("band", "id", "root").join(sets, "id")
-    return rows.groupBy("band").applyInArrow(run, "u long, v long")
-
-
-def near_sketches(sketches: np.ndarray, roots: np.ndarray, block: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Places of pairs of rows with different roots whose sketches agree in the share ``least`` - UNSURE or more.
-
-    Rows of two blocks are compared across, rows of one with each other.
-    """
-    found, two = [], block.min(initial=0) != block.max(initial=0)
-    for a in range(len(sketches)):
-        others = np.arange(a + 1, len(sketches))
-        others = others[(roots[others] != roots[a]) & ((block[others] != block[a]) | (not two))]
-        equal = (sketches[others] == sketches[a]).mean(axis=1)
-        found += [(a, int(b)) for b in others[equal >= least - UNSURE]]
-    return found
-
-
-def _candidates(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(u, ru, v, rv): pairs in one bucket of ``members`` (band, id, root, n) with different roots and near sketches.
-
-    Rows of a bucket fall into blocks of about LARGE_BLOCK and each pair of blocks is a group, so no task has a whole bucket.
-    """
-    rows = members.withColumn("blocks", F.ceil(F.col("n") / min(LARGE_BLOCK, BLOCK * 8)).cast("int"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root").join(sketches, "id")
-    names = ("u", "ru", "v", "rv")
-
-    def run(own: pa.Table) -> pa.Table:
-        ids, roots, block = (own[c].to_numpy() for c in ("id", "root", "block"))
-        told = np.frombuffer(b"".join(own["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        pairs = near_sketches(told, roots, block, least)
-        a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-        return pa.table(dict(zip(names, (ids[a], roots[a], ids[b], roots[b]), strict=True)))
-
-    return rows.groupBy("band", "i", "j").applyInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
+    return rows.groupBy("band", "i", "j").applyInArrow(run, "u long, v long")
