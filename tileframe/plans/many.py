@@ -8,6 +8,7 @@ number of modes, in which settings are columns.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,39 +94,51 @@ def sliced(pixels: DataFrame, asked: DataFrame) -> DataFrame:
     return found.withColumn("seq", F.get("places", F.lit(0))["seq"])
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows as a reliable checkpoint in the session's shared folder, so that what follows is planned from them alone. Only a local session may do without such a folder and gets a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
+
+
 def convert_many(pixels: DataFrame, requests: DataFrame) -> Conversion:
     """Convert pictures (source_id, x, y, rgba) as ``requests`` say, each to its own mode; relations carry the requests' image_id.
 
     Entries are (image_id, seq, x, y, tile, palette, flip_h, flip_v, matched). A request that
     can't be met has null palettes and its problem in ``palettes`` and ``diagnostics`` and holds up no other.
+    Tiles, palettes and tilesets are worked out at once and checkpointed, entries and diagnostics come from them.
     """
-    asked = checked(settings(requests), pixels).persist()
-    cut = sliced(pixels, asked).persist()
+    asked = _kept(checked(settings(requests), pixels))
+    cut = _kept(sliced(pixels, asked))
     own = cut.drop("places").join(asked.where("problem is null"), ["source_id", "tile_width", "tile_height"])
     own = own.withColumn("reduced", F.transform("rgba", lambda c: reduced(c, F.col("bits"), F.col("gated"))))
     corner = F.coalesce("given", F.get("rgba", F.lit(0)))
-    own = own.select(
+    own = _kept(own.select(
         "image_id", "seq", "uses", "reduced", F.sort_array(F.array_distinct("reduced")).alias("colors"), "tile_width", "tile_height", "flip", "discard", "mapped",
         F.when(F.col("primed") & (F.col("seq") == 0), reduced(corner, F.col("bits"), F.col("gated"))).alias("first"), "primed", "bpp", "most_palettes", "reach", "most_tiles",
-    ).persist()
-    found = _palettes(own).unionByName(asked.where("problem is not null").selectExpr("image_id", "cast(null as array<array<long>>) as palettes", "problem")).persist()
+    ))
+    found = _kept(_palettes(own).unionByName(asked.where("problem is not null").selectExpr("image_id", "cast(null as array<array<long>>) as palettes", "problem")))
     usable = found.where("palettes is not null").select("image_id", "palettes")
     keys = ["tile_width", "tile_height", "flip"]
     matched = palettes.first_match(own.select("image_id", "seq", "colors"), usable).where("palette is not null")
     rows = own.join(matched, ["image_id", "seq"]).join(usable, "image_id")
-    rows = rows.withColumn("data", palettes.remap(F.col("reduced"), F.get("palettes", F.col("palette")))).select("image_id", "seq", "uses", "palette", "data", *keys, "discard")
+    rows = _kept(rows.withColumn("data", palettes.remap(F.col("reduced"), F.get("palettes", F.col("palette")))).select("image_id", "seq", "uses", "palette", "data", *keys, "discard"))
     tileset = tiles.dedupe(rows.where("discard"), *(F.col(k) for k in keys), keys=keys)
     places = cut.select("source_id", "tile_width", "tile_height", "seq", "places")
     spread = rows.where("not discard").join(asked.select("image_id", "source_id"), "image_id").join(places, ["source_id", "tile_width", "tile_height", "seq"])
     spread = spread.withColumn("place", F.explode("places")).select("image_id", F.col("place.seq").alias("seq"), "palette", "data", *keys)
-    tileset = tileset.unionByName(tiles.numbered(spread, *(F.col(k) for k in keys))).persist()
+    tileset = _kept(tileset.unionByName(tiles.numbered(spread, *(F.col(k) for k in keys))))
     entries = _entries(own.where("mapped"), usable, tileset)
     entries = entries.join(asked.select("image_id", "source_id", "tile_width", "tile_height"), "image_id").join(places, ["source_id", "tile_width", "tile_height", "seq"])
     entries = entries.withColumn("place", F.explode("places")).select("image_id", "place.*", "tile", "palette", "flip_h", "flip_v", "matched")
     nowhere = F.lit(None).cast("int").alias("seq")
     problems = found.where("palettes is null").select("image_id", nowhere, "problem")
     large = tileset.groupBy("image_id").agg(F.count("*").alias("n")).join(asked.where("most_tiles > 0").select("image_id", "most_tiles"), "image_id").where("n > most_tiles")
-    return Conversion(cut, found, tileset, entries, problems.unionByName(large.select("image_id", nowhere, F.lit("too many tiles").alias("problem"))), (asked, cut, own, found, tileset))
+    return Conversion(cut, found, tileset, entries, problems.unionByName(large.select("image_id", nowhere, F.lit("too many tiles").alias("problem"))))
 
 
 def _palettes(own: DataFrame) -> DataFrame:
