@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from tileframe.llm import importance
+from tileframe.llm import importance, markers
 from tileframe.llm.queries import QUERIES
 
 
@@ -27,6 +27,36 @@ def test_counts_and_weights_are_those_of_a_plain_pass(documents, spark, sf):
     assert {r.doc_id for r in got if r.chosen} == {r.doc_id for r in best}
 
 
+def test_kept_is_the_sample_by_the_lesser_weight(spark):
+    """``kept`` against a plain top-k, and its recall of toxic documents where few are labelled."""
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["op7_quality_classifier"](spark, sf).collect()
+    weight = {r.doc_id: importance.SHARP * min(r.log_weight + importance.LOG_ODDS, -r.shun_log_odds) for r in got}
+    k = round(sum(1 / (1 + math.exp(-max(-500, min(500, w)))) for w in weight.values()))
+    best = sorted(got, key=lambda r: -(weight[r.doc_id] + r.gumbel_key - r.log_weight))[:k]
+    kept = {r.doc_id for r in got if r.kept}
+    assert 0 < k < len(got) and kept == {r.doc_id for r in best}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()
+    toxic, clean = ({r.doc_id for r in labels if r.toxic == t} for t in (1, 0))
+    assert len(toxic - kept) >= 0.9 * len(toxic) and len(clean & kept) > 0.97 * len(clean)
+
+
+def test_markers_against_a_plain_count(spark):
+    bad, good = ["you scum, go away scum", "such scum is bad"] * 20, ["you go away", "such a day is good", None, ""] * 30
+    rows = [(f"{t} {i}", 1) for i, t in enumerate(bad)] + [(t and f"{t} {i}", 0) for i, t in enumerate(good)]
+    found = markers.Markers(spark.createDataFrame(rows, "text string, kind int"), -1.0)
+    tokens = [[importance.tokens_of(t) for t, k in rows if k == kind] for kind in (0, 1)]
+    often = sum(t.count("scum") for t in tokens[1]) / sum(map(len, tokens[1]))
+    assert abs(found.of("scum") - math.log((60 + 0.5) / 0.5 * sum(map(len, tokens[0])) / sum(map(len, tokens[1])))) < 1e-9
+    assert found.of("you") == 0 and found.of("go") == 0 and found.cost > 0.9 * often
+    cache = importance.Cache(found.of)
+    assert found.log_odds(["scum", "you"], cache) > 0 > found.log_odds(["you"], cache) and found.log_odds([], cache) == -1.0
+    x = markers.sureness(np.array([12.0, 10.0, 0.0]), 51, np.array([0.0, 60.0, 9.0]), 300)
+    p = 12 / 351
+    assert abs(x[0] - math.sqrt(2 * (12 * math.log(12 / (51 * p)) + 39 * math.log(39 / (51 * (1 - p))) - 300 * math.log(1 - p)))) < 1e-9
+    assert abs(x[1]) < 0.1 and x[2] < 0
+
+
 def test_good_stays_and_junk_goes(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")

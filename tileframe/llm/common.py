@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,3 +65,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def words_of(text: Column) -> Column:
     """Words of a text as an array; none for a null or blank text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+class Cache(dict):
+    """What ``find`` gives for a key, remembered; forgets all when it has CACHED keys."""
+
+    CACHED = 200_000
+
+    def __init__(self, find: Callable):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key):
+        if len(self) >= self.CACHED:
+            self.clear()
+        found = self[key] = self.find(key)
+        return found

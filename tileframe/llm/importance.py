@@ -4,7 +4,8 @@ Two generative models over hashed word n-grams, one of target text and one of ra
 each document a log importance weight; Gumbel noise on the weights and a top-k turn these
 into a sample without replacement, with chances in proportion to the weights. A text is taken
 as tokens (runs of letters or digits, and runs of other marks) in lower case; features are its
-tokens and pairs of neighbours, hashed to BUCKETS.
+tokens and pairs of neighbours, hashed to BUCKETS. A third model, of text to shun, is weighed
+against the target model likewise (``markers``), and a document's weight is then the lesser one.
 """
 
 from __future__ import annotations
@@ -12,14 +13,19 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .common import checkpoint, free
+from .common import Cache, checkpoint, free
+
+if TYPE_CHECKING:
+    from .markers import Markers
 
 BUCKETS = 1 << 16
 #: Labelled target documents that the target model is fitted on, about: those whose hash falls below the share that gives so many.
@@ -30,35 +36,51 @@ MARKED_SAMPLE = 10_000
 SHRINK = 20.0
 #: Log odds, before its text is looked at, that a document is target text. Weights of target text scatter around 0 by some nats.
 LOG_ODDS = 10.0
+#: Power that weights are raised to where there is text to shun: what has even odds to be good is drawn half of the time, but little else is left to chance.
+SHARP = 8.0
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
-def features(text: str | None) -> np.ndarray:
-    """Buckets of the tokens and token pairs of a text."""
-    tokens = TOKEN.findall((text or "").lower())
+def tokens_of(text: str | None) -> list[str]:
+    return TOKEN.findall((text or "").lower())
+
+
+def _hash(token: str) -> int:
+    return xxh32_intdigest(token, 1)
+
+
+def _features(tokens: list[str], hashes: Cache) -> np.ndarray:
     if not tokens:
         return np.zeros(0, np.int64)
-    single = np.fromiter((xxh32_intdigest(t, 1) for t in tokens), np.uint64, len(tokens))
+    single = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
     pairs = (single[:-1] * np.uint64(0x9E3779B1) + single[1:] * np.uint64(0x85EBCA77)) ^ (single[:-1] >> np.uint64(7))
     return (np.concatenate([single, pairs >> np.uint64(16)]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def feature_counts(docs: DataFrame) -> np.ndarray:
-    """How often each bucket comes up in all of column text: BUCKETS numbers, whatever the number of texts."""
+def features(text: str | None) -> np.ndarray:
+    """Buckets of the tokens and token pairs of a text."""
+    return _features(tokens_of(text), Cache(_hash))
+
+
+def feature_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket comes up in all of column text, and in the rows with target: BUCKETS numbers each, whatever the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total, hashes = np.zeros((2, BUCKETS), np.int64), Cache(_hash)
         for b in batches:
-            for t in b.column(0):
-                np.add.at(total, features(t.as_py()), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
-
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(BUCKETS, np.int64)
+            for t, target in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                own = _features(tokens_of(t.as_py()), hashes)
+                for counts in total[: 1 + target]:
+                    np.add.at(counts, own, 1)
+        some = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], ["bucket", "n", "target"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text"), "target")
+    found = rows.mapInArrow(run, "bucket long, n long, target long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+    out = np.zeros((2, BUCKETS), np.int64)
     for r in found.collect():
-        out[r.bucket] = r.n
-    return out
+        out[:, r.bucket] = r.n, r.target
+    return out[0], out[1]
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -68,41 +90,40 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((target + SHRINK) / (expected + SHRINK))
 
 
-def _among(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, sample: int, n: int) -> DataFrame:
-    """(text) of the rows of ``docs`` with one of about ``sample`` of the ``n`` ids in column target."""
-    picked = F.pmod(F.xxhash64("target"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))
-    rows = docs.select(F.col(id_col).alias("target"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(ids.where(picked)), "target", "left_semi").select("text")
+def _picked(ids: DataFrame, sample: int, n: int) -> DataFrame:
+    """About ``sample`` of the ``n`` ids in column target, by their hash."""
+    return ids.where(F.pmod(F.xxhash64("target"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20)))
 
 
-def shunned(rows: DataFrame, docs: DataFrame, target_ids: DataFrame, shun_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``rows`` with shun_log_odds: log odds that a text is like those of ``shun_ids`` rather than like those of ``target_ids``."""
+def shun_model(texts: DataFrame, kinds: list[DataFrame], ns: list[int]) -> Markers | None:
+    """What tells texts to shun from target texts, from the texts (target, text) of about MARKED_SAMPLE ids of each kind (target ones, to shun), equal
+    texts once; none unless there are both."""
     from .markers import Markers
 
-    kinds = [ids.toDF("target").where("target is not null").distinct() for ids in (shun_ids, target_ids)]
-    ns = [ids.count() for ids in kinds]
     if not all(ns):
-        return rows.withColumn("shun_log_odds", F.lit(float("-inf")))
-    texts = [checkpoint(_among(docs, ids, id_col, text_col, MARKED_SAMPLE, n).distinct()) for ids, n in zip(kinds, ns, strict=True)]
-    sent = docs.sparkSession.sparkContext.broadcast(Markers(*texts, math.log(ns[0] / ns[1])))
-
-    @F.pandas_udf("double")
-    def odds(batch):
-        cache: dict[str, float] = {}
-        return batch.map(lambda t: sent.value.log_odds(t, cache), na_action=None)
-
-    return rows.withColumn("shun_log_odds", odds(F.col(text_col).cast("string")))
+        return None
+    some = [F.broadcast(_picked(ids, MARKED_SAMPLE, n).withColumn("kind", F.lit(k))) for k, (ids, n) in enumerate(zip(kinds, ns, strict=True))]
+    rows = texts.select("target", F.col("text").cast("string").alias("text"))
+    labelled = checkpoint(some[0].union(some[1]).join(rows, "target").select("text", "kind").distinct())
+    return Markers(labelled, math.log(ns[1] / ns[0]))
 
 
-def weighed(docs: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``docs`` with log_weight: the sum of the log ratios of each whole text's features; 0 for a text without any."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+def weighed(docs: DataFrame, ratios: np.ndarray, text_col: str, shun: Markers | None, out: str) -> DataFrame:
+    """``docs`` with ``out``: log_weight, the sum of the log ratios of each whole text's features (0 for a text without any), and shun_log_odds, in one pass."""
+    sent = docs.sparkSession.sparkContext.broadcast((ratios, shun))
 
-    @F.pandas_udf("double")
-    def weight(texts):
-        return texts.map(lambda t: float(sent.value[features(t)].sum()), na_action=None)
+    @F.pandas_udf("log_weight double, shun_log_odds double")
+    def weight(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ratios, shun = sent.value
+        hashes, marks = Cache(_hash), Cache(shun.of) if shun else None
+        for texts in batches:
+            found = []
+            for t in texts:
+                tokens = tokens_of(t)
+                found.append((float(ratios[_features(tokens, hashes)].sum()), shun.log_odds(tokens, marks) if shun else -math.inf))
+            yield pd.DataFrame(found, columns=["log_weight", "shun_log_odds"])
 
-    return docs.withColumn("log_weight", weight(F.col(text_col).cast("string")))
+    return docs.withColumn(out, weight(F.col(text_col).cast("string")))
 
 
 def gumbel(*key: Column) -> Column:
@@ -162,25 +183,43 @@ def resample(
     texts; the target model those of about ``sample`` target documents. Noise goes by id and
     text, so equal rows are chosen alike. Null texts weigh 0. Without target documents all
     weights are 0. Columns named like a result are replaced, others pass through; without
-    ``keep_text`` the texts don't. With ``shun_ids`` there are also
-    shun_log_odds, by marker words of the texts with these ids, and kept: chosen and more
-    likely target text than one to shun.
+    ``keep_text`` the texts don't.
+
+    With ``shun_ids`` there are also shun_log_odds, of a model of the texts with these ids
+    against one of the target texts, and kept: a second sample with the same noise. Its log
+    weight is the lesser of a document's log odds against raw text and against text to shun,
+    raised to the power SHARP, and its size the sum of the posteriors (at most ``size``). A
+    document of low weight in either way seldom gets in, however well it does in the other.
     """
-    ids, tie = target_ids.toDF("target").where("target is not null").distinct(), free(docs, "tie")
+    ids, tie, parts = target_ids.toDF("target").where("target is not null").distinct(), free(docs, "tie"), free(docs, "parts")
     n = ids.count()
-    text = F.col(text_col).alias("text")
+    texts = docs.select(F.col(id_col).alias("target"), F.col(text_col).alias("text"))
     # the sample bounds what is broadcast: about ``sample`` ids
-    target = _among(docs, ids, id_col, text_col, sample, n)
-    ratios = log_ratios(feature_counts(target), feature_counts(docs.select(text))) if n else np.zeros(BUCKETS)
-    rows = weighed(docs, ratios, text_col)
+    flagged = texts.join(F.broadcast(_picked(ids, sample, n).withColumn("picked", F.lit(True))), "target", "left").select("text", F.col("picked").isNotNull().alias("target"))
+    raw, target = feature_counts(flagged) if n else (np.zeros(BUCKETS), np.zeros(BUCKETS))
+    shun = None
+    if shun_ids is not None:
+        bad = shun_ids.toDF("target").where("target is not null").distinct()
+        shun = shun_model(texts, [ids, bad], [n, bad.count()])
+    rows = weighed(docs, log_ratios(target, raw), text_col, shun, parts).withColumn("log_weight", F.col(parts)["log_weight"])
     if shun_ids is not None:
-        rows = shunned(rows, docs, target_ids, shun_ids, id_col, text_col)
+        rows = rows.withColumn("shun_log_odds", F.col(parts)["shun_log_odds"])
     own = (F.col(id_col), F.col(text_col).cast("string"))
-    rows = rows.withColumn("gumbel_key", F.col("log_weight") + gumbel(*own)).withColumn(tie, F.xxhash64(*own))
+    rows = rows.drop(parts).withColumn("gumbel_key", F.col("log_weight") + gumbel(*own)).withColumn(tie, F.xxhash64(*own))
     # weights are worked out once, so they are written with all that is returned
     rows = keys = checkpoint(rows if keep_text else rows.drop(text_col))
     if size is None:
-        odds = F.greatest(F.least(F.col("log_weight") + LOG_ODDS, F.lit(500.0)), F.lit(-500.0))
-        size = round(keys.agg(F.coalesce(F.sum(1 / (1 + F.exp(-odds))), F.lit(0.0))).first()[0])
-    rows = rows.withColumn("chosen", top_k(keys, F.col("gumbel_key"), F.col(tie), size)).drop(tie)
-    return rows if shun_ids is None else rows.withColumn("kept", F.col("chosen") & (F.col("shun_log_odds") <= 0))
+        expected = _posteriors(keys, F.col("log_weight") + LOG_ODDS)
+    chosen = top_k(keys, F.col("gumbel_key"), F.col(tie), expected if size is None else size)
+    rows = rows.withColumn("chosen", chosen)
+    if shun_ids is not None:
+        weight = SHARP * F.least(F.col("log_weight") + LOG_ODDS, -F.col("shun_log_odds"))
+        drawn = _posteriors(keys, weight)
+        rows = rows.withColumn("kept", top_k(keys, weight + F.col("gumbel_key") - F.col("log_weight"), F.col(tie), drawn if size is None else min(size, drawn)))
+    return rows.drop(tie)
+
+
+def _posteriors(rows: DataFrame, log_odds: Column) -> int:
+    """The number of rows expected to be of a kind that they are of with these log odds."""
+    odds = F.greatest(F.least(log_odds, F.lit(500.0)), F.lit(-500.0))
+    return round(rows.agg(F.coalesce(F.sum(1 / (1 + F.exp(-odds))), F.lit(0.0))).first()[0])

@@ -1,10 +1,10 @@
-"""Marker words that set labelled texts to shun (toxic ones, say) apart from labelled target texts.
+"""A generative model of labelled texts to shun (toxic ones, say) against one of labelled target texts.
 
 A text that is well written but for a few words looks like target text to a sum over all its
-n-grams. So words and their beginnings are looked at one by one: those that significantly
-more of the shunned texts have are markers, and a text is judged by how many of its tokens
-are markers (as Poisson counts, so a long text needs more of them), with the labelled shares
-as prior.
+n-grams. So the two models differ only where the labelled texts surely do: words and their
+beginnings that significantly more of the shunned texts have are markers. A text is taken as
+tokens of which some are markers (as Poisson counts, so a long text needs more of them), with
+the labelled shares as prior.
 """
 
 from __future__ import annotations
@@ -19,102 +19,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .importance import TOKEN
+from .common import Cache
+from .importance import tokens_of
 
 BUCKETS = 1 << 18
 #: Lengths of the beginnings of words that count besides whole words: word formation goes on behind them.
 BEGINNINGS = (4, 5, 6, 7)
-#: Standard errors that the log ratio of a marker's document shares lies above 0.
-SURE = 4.5
-#: Tokens that a task keeps the parts of.
-CACHED = 200_000
+#: Standard errors by which more of the shunned texts have a marker, by the likelihood ratio, which holds for markers that no target text has.
+SURE = 3.5
 
 
 def _parts(token: str) -> tuple[int, ...]:
-    return tuple(xxh32_intdigest(x) % BUCKETS for x in (token, *[f"^{token[:n]}" for n in BEGINNINGS if len(token) > n]))
+    return tuple({xxh32_intdigest(x) % BUCKETS for x in (token, *[f"^{token[:n]}" for n in BEGINNINGS if len(token) > n])})
 
 
-def _tokens(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
-
-
-def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """By bucket the texts and the tokens of column text that have it; the texts and the tokens in all."""
+def _counts(texts: DataFrame) -> np.ndarray:
+    """Of (text, kind), kind 1 to shun and 0 target, by kind and bucket the texts and the tokens that have it; the last bucket has all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, tokens, cache = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64), {}
+        found, parts = np.zeros((2, 2, BUCKETS + 1), np.int64), Cache(_parts)
         for b in batches:
-            for t in b.column(0):
-                inside: Counter[int] = Counter()
-                for token, n in Counter(_tokens(t.as_py())).items():
-                    if (parts := cache.get(token)) is None:
-                        if len(cache) >= CACHED:
-                            cache.clear()
-                        parts = cache[token] = _parts(token)
-                    for p in set(parts):
+            for text, kind in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                tokens = Counter(tokens_of(text.as_py()))
+                inside = Counter({BUCKETS: tokens.total()})
+                for token, n in tokens.items():
+                    for p in parts[token]:
                         inside[p] += n
-                    tokens[BUCKETS] += n
                 own = np.fromiter(inside, np.int64, len(inside))
-                texts[own] += 1
-                tokens[own] += np.fromiter(inside.values(), np.int64, len(inside))
-                texts[BUCKETS] += 1
-        some = np.flatnonzero(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(texts[some]), pa.array(tokens[some])], ["bucket", "texts", "tokens"])
+                found[0, kind, own] += 1
+                found[1, kind, own] += np.fromiter(inside.values(), np.int64, len(inside))
+        kind, some = np.nonzero(found[0])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, some, found[0, kind, some], found[1, kind, some])], ["kind", "bucket", "texts", "tokens"])
+
+    found, out = texts.mapInArrow(run, "kind long, bucket long, texts long, tokens long"), np.zeros((2, 2, BUCKETS + 1))
+    for r in found.groupBy("kind", "bucket").agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).collect():
+        out[:, r.kind, r.bucket] = r.texts, r.tokens
+    return out
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket long, texts long, tokens long")
-    texts, tokens = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    for r in found.groupBy("bucket").agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).collect():
-        texts[r.bucket], tokens[r.bucket] = r.texts, r.tokens
-    return texts[:-1], tokens[:-1], int(texts[-1]), int(tokens[-1])
+
+def sureness(a: np.ndarray, n: float, b: np.ndarray, m: float) -> np.ndarray:
+    """By how many standard errors the share a / n lies above b / m: the signed root of the likelihood ratio statistic."""
+    both = (a + b) / (n + m)
+    part = lambda k, all_, p: np.where(k > 0, k * np.log(np.maximum(k, 1) / np.maximum(all_ * p, 1e-300)), 0.0)
+    g = sum(part(k, all_, both) + part(all_ - k, all_, 1 - both) for k, all_ in ((a, n), (b, m)))
+    return np.sign(a / n - b / m) * np.sqrt(2 * np.maximum(g, 0))
 
 
 class Markers:
-    """Log ratios of the markers, what a token costs and the prior log odds; nothing is shunned without both kinds of texts."""
+    """Log ratios of the markers, what a token costs and the prior log odds, from (text, kind); nothing is shunned without both kinds of texts."""
 
-    def __init__(self, shunned: DataFrame, target: DataFrame, prior: float):
-        (ds, cs, ns, ts), (dt, ct, nt, tt) = _counts(shunned), _counts(target)
+    def __init__(self, texts: DataFrame, prior: float):
+        (had, often) = _counts(texts)
+        (nt, ns), (tt, ts) = had[:, -1], often[:, -1]
         self.ratios: dict[int, float] = {}
         self.cost, self.prior = 0.0, prior
         if not (ts and tt):
             return
-        ratio = np.log((ds + 0.5) / (ns + 1)) - np.log((dt + 0.5) / (nt + 1))
-        sure = np.flatnonzero(ratio > SURE * np.sqrt(1 / (ds + 0.5) + 1 / (dt + 0.5)))
-        often, seldom = (cs[sure] + 0.5) / ts, (ct[sure] + 0.5) / tt
-        logs = np.log(often / seldom)
+        sure = np.flatnonzero(sureness(had[1, :-1], ns, had[0, :-1], nt) > SURE)
+        logs = np.log((often[1, sure] + 0.5) / ts) - np.log((often[0, sure] + 0.5) / tt)
         self.ratios = dict(zip(sure[logs > 0].tolist(), logs[logs > 0].tolist(), strict=True))
-        self.rates = [self._rate(shunned, ts), self._rate(target, tt)]
-        self.cost = self.rates[0] - self.rates[1]
+        rates = self._marked(texts)
+        self.cost = rates.get(1, 0) / ts - rates.get(0, 0) / tt
 
-    def _of(self, token: str) -> float:
+    def of(self, token: str) -> float:
         """The best log ratio of a token's parts; 0 for a token without a marker."""
         return max((self.ratios.get(p, 0.0) for p in _parts(token)), default=0.0)
 
-    def _rate(self, docs: DataFrame, total: int) -> float:
-        """The share of the tokens of column text that are markers."""
+    def _marked(self, texts: DataFrame) -> dict[int, int]:
+        """How many tokens of the texts of each kind are markers."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache: dict[str, float] = {}
-            n = sum(self._weights(t.as_py(), cache)[1] for b in batches for t in b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-        found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n long")
-        return found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / total
-
-    def _weights(self, text: str | None, cache: dict[str, float]) -> tuple[float, int, int]:
-        """Sum of the markers' log ratios, markers and tokens of a text."""
-        total, n, tokens = 0.0, 0, _tokens(text)
-        for token in tokens:
-            if (w := cache.get(token)) is None:
-                if len(cache) >= CACHED:
-                    cache.clear()
-                w = cache[token] = self._of(token)
-            if w:
-                total, n = total + w, n + 1
-        return total, n, len(tokens)
-
-    def log_odds(self, text: str | None, cache: dict[str, float]) -> float:
-        """Log odds that a text is one to shun."""
+            found, cache = [0, 0], Cache(self.of)
+            for b in batches:
+                for text, kind in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    found[kind] += sum(cache[t] > 0 for t in tokens_of(text.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(found)], ["kind", "n"])
+
+        return {r.kind: r.n for r in texts.mapInArrow(run, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+
+    def log_odds(self, tokens: list[str], cache: Cache) -> float:
+        """Log odds that a text of these tokens is one to shun; ``cache`` is one of ``of``."""
         if not self.ratios:
             return -math.inf
-        total, _, tokens = self._weights(text, cache)
-        return self.prior + total - tokens * self.cost
+        return self.prior + sum(map(cache.__getitem__, tokens)) - len(tokens) * self.cost
