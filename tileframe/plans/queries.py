@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec, color
+from ..functions import codec, color, sql
 from ..operators import maps, outputs, palettes, tiles
 from ..sources import native as sources
 from ..sources import png
@@ -16,6 +16,7 @@ from ..sources.events import COLUMNS, GREY, event_pixels, event_tiles
 from .convert import Options, build_tileset, convert, first_colors, native
 from .many import convert_many
 from .modes import MODES, Mode, mode
+from .report import reports, sizes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -815,6 +816,82 @@ def convert_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert_many(pictures, requests).entries
 
 
+def _all_modes_sql(select: Callable[[str], str]) -> str:
+    return " UNION ALL ".join(select(name) for name in MODES)
+
+
+def _over_modes(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """SQL over view colors of all events in all modes, the mode being a column. The sixteen names are spread by a generator, not a join."""
+    sql.register(spark)
+    names = ", ".join(f"'{name}'" for name in MODES)
+    event_colors(spark, sf_dir).createOrReplaceTempView("colors")
+    return spark.sql(f"SELECT event_id, mode, {', '.join(columns)} FROM (SELECT *, explode(array({names})) AS mode FROM colors)")
+
+
+@query("sql_reduce_modes", _all_modes_sql(lambda n: f"SELECT event_id, '{n}' AS mode, {_reduce_sql(n)} AS reduced FROM ({COLORS_SQL})"))
+def sql_reduce_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_modes(spark, sf_dir, "tile_reduce(rgba, mode) AS reduced")
+
+
+@query("sql_normalize_modes", _all_modes_sql(lambda n: f"SELECT event_id, '{n}' AS mode, {_normalize_sql(n, 'c')} AS normalized FROM (SELECT event_id, {_reduce_sql(n)} AS c FROM ({COLORS_SQL}))"))
+def sql_normalize_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_modes(spark, sf_dir, "tile_normalize(tile_reduce(rgba, mode), mode) AS normalized")
+
+
+_GREY_WORD_SQL = {"gb": "3 - (c & 3)", "ws": "7 - (c & 7)", "ngp": "7 - (c & 7)"}
+
+
+@query(
+    "sql_color_words",
+    _all_modes_sql(lambda n: f"SELECT event_id, '{n}' AS mode, {_GREY_WORD_SQL.get(n) or _WORD_SQL[n].format(*_CH)} AS word FROM (SELECT event_id, {_reduce_sql(n)} AS c FROM ({COLORS_SQL}))"),
+)
+def sql_color_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_modes(spark, sf_dir, "tile_color_word(tile_reduce(rgba, mode), mode) AS word")
+
+
+def _mode_entry_sql(name: str) -> str:
+    low, high = "printf('%02x', t & 255)", _ENTRY_SQL.get(name)
+    told = "''" if name not in _ENTRY_SQL else low if high is None else f"{low} || printf('%02x', {high})"
+    return f"SELECT event_id, '{name}' AS mode, {told} AS native FROM (SELECT event_id, rgba % 2048 AS t, user_id % 16 AS p, event_id // 2 % 2 AS h, event_id // 4 % 2 AS v FROM ({COLORS_SQL}))"
+
+
+@query("sql_map_entries", _all_modes_sql(_mode_entry_sql))
+def sql_map_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "CAST(rgba % 2048 AS INT), CAST(user_id % 16 AS INT), event_id div 2 % 2 = 1, event_id div 4 % 2 = 1"
+    return _over_modes(spark, sf_dir, f"tile_entry({own}, mode) AS native")
+
+
+@query("sql_hex_color", f"SELECT event_id, printf('#%02x%02x%02x', rgba & 255, (rgba >> 8) & 255, (rgba >> 16) & 255) AS hex, printf('#%02x%02x%02x%02x', rgba & 255, (rgba >> 8) & 255, (rgba >> 16) & 255, rgba >> 24) AS hex_alpha FROM ({COLORS_SQL})")
+def sql_hex_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    event_colors(spark, sf_dir).createOrReplaceTempView("colors")
+    return spark.sql("SELECT event_id, tile_hex(rgba) AS hex, tile_hex_alpha(rgba) AS hex_alpha FROM colors")
+
+
+_REPORT_SQL = f"""WITH {PIXELS_SQL}, {_in_order_sql(4)}, {_PACKED_MAP_SQL}, {_FLIP_SQL},
+    rp AS (SELECT image_id, string_agg(CAST(len(colors) AS VARCHAR), ',' ORDER BY palette) AS sizes, count(*) AS n, CAST(sum(len(colors)) AS BIGINT) AS colors, min_by(colors, palette)[1] AS c FROM po GROUP BY image_id),
+    rt AS (SELECT image_id, count(*) AS tiles, CAST(sum(uses) - count(*) AS BIGINT) AS discarded FROM ts GROUP BY image_id),
+    rm AS (SELECT image_id, count(*) AS mapped FROM cs GROUP BY image_id)"""
+
+
+@query("conversion_sizes", f"{_REPORT_SQL} SELECT image_id, CAST(NULL AS VARCHAR) AS problem, sizes, tiles, discarded, mapped, CAST(0 AS BIGINT) AS unmatched FROM rp JOIN rt USING (image_id) JOIN rm USING (image_id) UNION ALL SELECT -1, 'colors do not fit in a palette', NULL, 0, 0, count(DISTINCT event_id // 64), count(DISTINCT event_id // 64) FROM events")
+def conversion_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of each subpalette, tiles kept and discarded, and places mapped, of each image."""
+    return sizes(convert(_with_noise(spark, sf_dir), Options(bpp=2))).withColumn("sizes", _list("sizes"))
+
+
+@query(
+    "conversion_report",
+    f"""{_REPORT_SQL} SELECT image_id, CAST(NULL AS VARCHAR) AS problem, 'Mapping optimized palette (8x4 entries)' || chr(10) || 'Setting color zero to ' || printf('#%02x%02x%02x', {', '.join(_CH)}) || chr(10)
+    || 'Created palette with ' || colors || ' colors' || CASE WHEN n > 1 THEN ' [' || sizes || ']' ELSE '' END || chr(10) || 'Created optimized tileset with ' || tiles || ' entries (discarded ' || discarded || ' redundant tiles)' || chr(10)
+    || 'Mapping ' || mapped || ' 8x8px tiles from image' AS report FROM rp JOIN rt USING (image_id) JOIN rm USING (image_id) UNION ALL SELECT -1, 'colors do not fit in a palette', NULL""",
+)
+def conversion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as lines of text."""
+    options = Options(bpp=2)
+    return reports(convert(_with_noise(spark, sf_dir), options), options)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tilesets without repeats, their tiles in native form."""
     found = tiles.dedupe(_indexed(spark, sf_dir))
