@@ -30,17 +30,22 @@ def color_sets(tiles: DataFrame, m: Mode, firsts: DataFrame | None = None) -> Da
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
-    """(image_id, colors, seq): each set of an image once, with its first place; empty sets go."""
-    return sets.where(F.size("colors") > 0).groupBy("image_id", "colors").agg(F.min("seq").alias("seq"))
+    """(image_id, colors, seq): each set of an image once, with its first place; empty sets go, null ones (``within``) count as one."""
+    return sets.where(F.col("colors").isNull() | (F.size("colors") > 0)).groupBy("image_id", "colors").agg(F.min("seq").alias("seq"))
+
+
+def within(sets: DataFrame, most: int | Column) -> DataFrame:
+    """Sets, null those of more than ``most`` colours: as distinct sets these are one row an image, however many they are."""
+    return sets.withColumn("colors", F.when(F.size("colors") <= most, F.col("colors")))
 
 
 def maximal_sets(sets: DataFrame) -> DataFrame:
-    """Distinct sets that no other set of their image holds.
+    """Distinct sets that no other set of their image holds; null ones (``within``) stay.
 
     A set and what holds it share all its colours, so they are joined on the one that the
     fewest sets of the image have: a colour that most of them share brings no pairs together.
     """
-    colors = sets.select("image_id", "seq", "colors", F.explode("colors").alias("color"))
+    colors = sets.select("image_id", "seq", "colors", F.explode_outer("colors").alias("color"))
     colors = colors.withColumn("n", F.count("*").over(W.partitionBy("image_id", "color")))
     own = colors.groupBy("image_id", "seq", "colors").agg(F.min(F.struct("n", "color"))["color"].alias("rarest"))
     larger = colors.where("n > 1").select("image_id", F.col("color").alias("rarest"), F.col("colors").alias("larger"))
@@ -64,16 +69,32 @@ def packed(sets: DataFrame, m: Mode, max_colors: int | None = None, firsts: Data
     return packed_within(sets, most, F.col("first"), ("first",)).drop("first")
 
 
-def packed_within(sets: DataFrame, most: Column, first: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``packed`` for subpalettes of ``most`` colours with ``first`` in front where it isn't null; both may be columns of ``sets``, which follow from image_id and are named in ``keys``."""
+def fitted(sets: DataFrame, most: Column, count: Column, first: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(image_id, palettes, problem): ``packed_within`` of maximal sets (``within`` ``most``) into ``count`` subpalettes; images that these don't hold have null palettes and say so.
+
+    A set that no subpalette holds settles it without packing, and packing ends with the
+    first subpalette too many, so the work on an image grows with its sets and not with their square.
+    """
+    found = packed_within(sets, most, first, keys, count)
+    problem = F.when(F.col("palettes").isNull(), "colors do not fit in a palette").when(F.size("palettes") > count, "colors do not fit in the available palettes")
+    return found.select("image_id", F.when(problem.isNull(), F.col("palettes")).alias("palettes"), problem.alias("problem"))
+
+
+def packed_within(sets: DataFrame, most: Column, first: Column | None = None, keys: tuple[str, ...] = (), count: Column | None = None) -> DataFrame:
+    """``packed`` for subpalettes of ``most`` colours with ``first`` in front where it isn't null; both may be columns of ``sets``, which follow from image_id and are named in ``keys``.
+
+    Images with a null set have null palettes. With ``count``, packing ends with the first subpalette beyond it, so that there are more than ``count`` but not all.
+    """
     by_size = F.struct((-F.size("colors")).alias("size"), (-F.col("seq")).alias("seq"), "colors")
-    rows = sets.groupBy("image_id", *keys).agg(F.sort_array(F.collect_list(by_size)).alias("sets"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("colors").isNotNull(), by_size)))
+    rows = sets.groupBy("image_id", *keys).agg(F.when(~F.bool_or(F.col("colors").isNull()), listed).alias("sets"))
 
     def put(bins: Column, s: Column) -> Column:
         fits = F.filter(F.sequence(F.lit(1), F.size(bins)), lambda i: F.size(F.array_union(F.element_at(bins, i), s["colors"])) <= most)
         last = F.when(F.size(bins) == 0, F.lit(0)).otherwise(F.coalesce(F.array_max(fits), F.lit(0)))
         merged = F.transform(bins, lambda b, j: F.when(j == last - 1, F.array_union(b, s["colors"])).otherwise(b))
-        return F.when(last == 0, F.concat(bins, F.array(s["colors"]))).otherwise(merged)
+        more = F.when(last == 0, F.concat(bins, F.array(s["colors"]))).otherwise(merged)
+        return more if count is None else F.when(F.size(bins) > count, bins).otherwise(more)
 
     none = F.array().cast("array<array<long>>")
     rows = rows.withColumn("bins", F.aggregate("sets", none, put))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import color
 from ..operators import maps, outputs, palettes, tiles
 from .modes import TRANSPARENT, Mode, checked, mode
 
@@ -116,12 +117,13 @@ def build_palettes(image_tiles: DataFrame, options: Options, image_palettes: Dat
         problem = F.when(F.col("palette").isNull(), "not an indexed image")
         return image_palettes.select("image_id", F.when(problem.isNull(), own).alias("palettes"), problem.alias("problem"))
     firsts = first_colors(image_tiles, options)
-    sets = palettes.maximal_sets(palettes.distinct_sets(palettes.color_sets(image_tiles, m, firsts)))
-    found = palettes.packed(sets, m, 1 << bpp, firsts)
-    most = m.palettes if options.max_palettes is None else options.max_palettes
-    problem = F.when(F.exists("palettes", lambda p: F.size(p) > (1 << bpp)), "colors do not fit in a palette")
-    problem = problem.when(F.size("palettes") > most, "colors do not fit in the available palettes")
-    return found.select("image_id", F.when(problem.isNull(), F.col("palettes")).alias("palettes"), problem.alias("problem"))
+    sets = palettes.within(palettes.color_sets(image_tiles, m, firsts), 1 << bpp)
+    sets = palettes.maximal_sets(palettes.distinct_sets(sets))
+    count = F.lit(m.palettes if options.max_palettes is None else options.max_palettes)
+    if firsts is None:
+        return palettes.fitted(sets, F.lit(1 << bpp), count)
+    sets = sets.join(firsts.select("image_id", color.reduce(F.col("col0"), m).alias("first")), "image_id")
+    return palettes.fitted(sets, F.lit(1 << bpp), count, F.col("first"), ("first",))
 
 
 def indexed(image_tiles: DataFrame, found: DataFrame, options: Options) -> DataFrame:

@@ -146,13 +146,11 @@ def _palettes(own: DataFrame) -> DataFrame:
     firsts = own.where("first is not null").select("image_id", "first")
     limits = own.groupBy("image_id").agg(F.max("bpp").alias("bpp"), F.max("most_palettes").alias("most_palettes"))
     limits = limits.withColumn("most", F.call_function("shiftleft", F.lit(1), F.col("bpp"))).drop("bpp").join(firsts, "image_id", "left")
-    sets = own.select("image_id", "seq", "colors").join(limits.select("image_id", "first"), "image_id")
+    sets = own.select("image_id", "seq", "colors").join(limits.select("image_id", "first", "most"), "image_id")
     primed = F.when(F.col("first").isNull(), F.col("colors")).otherwise(F.sort_array(F.array_union("colors", F.array("first"))))
-    sets = palettes.maximal_sets(palettes.distinct_sets(sets.select("image_id", "seq", primed.alias("colors")))).join(limits, "image_id")
-    found = palettes.packed_within(sets, F.col("most"), F.col("first"), keys=("most", "first", "most_palettes"))
-    problem = F.when(F.exists("palettes", lambda p: F.size(p) > F.col("most")), "colors do not fit in a palette")
-    problem = problem.when(F.size("palettes") > F.col("most_palettes"), "colors do not fit in the available palettes")
-    return found.select("image_id", F.when(problem.isNull(), F.col("palettes")).alias("palettes"), problem.alias("problem"))
+    sets = palettes.within(sets.select("image_id", "seq", "most", primed.alias("colors")), F.col("most")).drop("most")
+    sets = palettes.maximal_sets(palettes.distinct_sets(sets)).join(limits, "image_id")
+    return palettes.fitted(sets, F.col("most"), F.col("most_palettes"), F.col("first"), ("most", "first", "most_palettes"))
 
 
 def _entries(own: DataFrame, usable: DataFrame, tileset: DataFrame) -> DataFrame:
