@@ -12,20 +12,24 @@ from ..plans.modes import Mode
 def slice_tiles(pixels: DataFrame, width: int | Column = 8, height: int | Column = 8, fill: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
     """(image_id, tx, ty, rgba): pixels gathered by tile, row by row; pixels that an edge tile lacks are ``fill``. Indices (idx) come along.
 
-    Sizes may be columns, which follow from image_id and are named in ``keys``.
+    Sizes may be columns, which follow from image_id and are named in ``keys``. A pixel without
+    index is gathered as one number of its place and colour (0 to 2^32 - 1, or null).
     """
     x, y = F.col("x"), F.col("y")
     own = ["rgba", *(["idx"] if "idx" in pixels.columns else [])]
     rows = pixels.select(
         "image_id", *keys, F.floor(x / width).cast("int").alias("tx"), F.floor(y / height).cast("int").alias("ty"), ((y % height) * width + x % width).cast("int").alias("p"), *own
     )
-    found = rows.groupBy("image_id", *keys, "tx", "ty").agg(F.sort_array(F.collect_list(F.struct("p", *own))).alias("found"))
+    one = F.struct("p", *own) if "idx" in own else F.shiftleft(F.col("p").cast("long"), 33) + F.coalesce(F.col("rgba") + 1, F.lit(0))
+    found = rows.groupBy("image_id", *keys, "tx", "ty").agg(F.sort_array(F.collect_list(one)).alias("found"))
     size = width * height
-    place = F.sequence(F.lit(0), size - 1 if isinstance(size, Column) else F.lit(size - 1))
-    at = lambda i: F.get(F.filter("found", lambda f: f["p"] == i), F.lit(0))
+    sequence = F.sequence(F.lit(0), size - 1 if isinstance(size, Column) else F.lit(size - 1))
+    place = (lambda f: f["p"]) if "idx" in own else (lambda f: F.shiftright(f, 33))
+    value = (lambda f, name: f[name]) if "idx" in own else (lambda f, _: F.nullif(f.bitwiseAND(F.lit((1 << 33) - 1)), F.lit(0)) - 1)
+    at = lambda i: F.get(F.filter("found", lambda f: place(f) == i), F.lit(0))
 
     def whole(name: str, other: Column) -> Column:
-        return F.when(F.size("found") == size, F.col("found")[name]).otherwise(F.transform(place, lambda i: F.coalesce(at(i)[name], other))).alias(name)
+        return F.when(F.size("found") == size, F.transform("found", lambda f: value(f, name))).otherwise(F.transform(sequence, lambda i: F.coalesce(value(at(i), name), other))).alias(name)
 
     others = {"rgba": F.lit(fill).cast("long"), "idx": F.lit(0)}
     return found.select("image_id", "tx", "ty", *[whole(c, others[c]) for c in own])

@@ -35,8 +35,8 @@ def _pixel(m: Column) -> Column:
     return F.when((m == 0) | (m > 3), F.lit(GREY)).otherwise(rgb.cast("long") + 0xFF000000)
 
 
-def event_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, seq, tx, ty, rgba): tiles with their 64 colours, row by row.
+def event_tiles(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """(image_id, seq, tx, ty, rgba): tiles with their 64 colours, row by row, in ``parts`` partitions or as planning sees fit.
 
     Pixels follow from four small fields, so the hundred tiles that there can be are drawn once.
     """
@@ -44,11 +44,15 @@ def event_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = spark.range(100).select(part(20, 5).alias("k"), part(4, 5).alias("g"), part(2, 2).alias("fh"), part(1, 2).alias("fv"))
     drawn = drawn.withColumn("rgba", F.transform(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), _index), _pixel))
     # one file is one task; tiles are dealt out before the work on their pixels
-    rows = _events(spark, sf_dir).repartition("image_id", "seq").join(F.broadcast(drawn), ["k", "g", "fh", "fv"])
+    rows = _events(spark, sf_dir).repartition(*([parts] if parts else []), "image_id", "seq").join(F.broadcast(drawn), ["k", "g", "fh", "fv"])
     return rows.select("image_id", "seq", (F.col("seq") % COLUMNS).alias("tx"), F.expr(f"seq div {COLUMNS}").cast("int").alias("ty"), "rgba")
 
 
 def event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, x, y, rgba): the same images as pixels."""
-    rows = event_tiles(spark, sf_dir).select("image_id", "tx", "ty", F.posexplode("rgba").alias("p", "rgba"))
+    """(image_id, x, y, rgba): the same images as pixels.
+
+    The number of partitions is given, as adaptive planning goes by the bytes of the narrow rows
+    of events and puts so many in a task that sorting their pixels spills.
+    """
+    rows = event_tiles(spark, sf_dir, int(spark.conf.get("spark.sql.shuffle.partitions"))).select("image_id", "tx", "ty", F.posexplode("rgba").alias("p", "rgba"))
     return rows.select("image_id", (F.col("tx") * SIDE + F.col("p") % SIDE).alias("x"), (F.col("ty") * SIDE + F.expr(f"p div {SIDE}")).cast("int").alias("y"), "rgba")
