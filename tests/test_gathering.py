@@ -2,7 +2,10 @@
 
 import re
 
+import numpy as np
+
 from tileframe.operators import tiles
+from tileframe.sources import png
 from tileframe.sources.events import event_pixels
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +28,15 @@ def test_pixels_of_tiles_are_numbers(spark):
 def test_event_pixels_keep_their_partitions(spark):
     """A read of so few bytes would be put together to one partition otherwise, and likewise millions of pixels."""
     assert event_pixels(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pixels_of_files_are_numbers_by_row(spark):
+    rng = np.random.default_rng(1)
+    want = rng.integers(0, 1 << 32, 5 * 7)
+    rows = [(0, x, y, int(want[y * 5 + x])) for x in range(5) for y in range(7) if (x, y) != (2, 3)] + [(1, 70_000, 1, 0xFF0000FF)]
+    files = png.as_files(spark.createDataFrame(rows, "image_id long, x int, y int, rgba long"))
+    assert "shiftleft" in files._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.image_id: png.decode(r.content) for r in files.collect()}
+    want[3 * 5 + 2] = 0
+    assert got[0]["rgba"].tolist() == want.tolist() and (got[1]["width"], got[1]["height"]) == (70_001, 2)
+    assert got[1]["rgba"][-1] == 0xFF0000FF and not got[1]["rgba"][:-1].any()
