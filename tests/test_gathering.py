@@ -1,10 +1,11 @@
-"""Pixels are gathered as narrow numbers, from partitions of a given number."""
+"""Pixels are gathered as narrow numbers, from partitions of a given number, and hex is read in one pass."""
 
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tileframe.operators import tiles
+from tileframe.operators import maps, tiles
 from tileframe.sources import png
 from tileframe.sources.events import event_pixels
 
@@ -40,3 +41,11 @@ def test_pixels_of_files_are_numbers_by_row(spark):
     want[3 * 5 + 2] = 0
     assert got[0]["rgba"].tolist() == want.tolist() and (got[1]["width"], got[1]["height"]) == (70_001, 2)
     assert got[1]["rgba"][-1] == 0xFF0000FF and not got[1]["rgba"][:-1].any()
+
+
+def test_bytes_are_found_in_one_pass(spark):
+    rows = [("a1b2c3", "0102030405"), ("", "01"), ("ff", ""), ("", ""), (None, "01")]
+    df = spark.createDataFrame(rows, "a string, b string").select(maps.interleaved(F.col("a"), F.col("b")).alias("i"), maps.banked(F.col("a")).alias("k"))
+    assert [r.i for r in df.collect()] == ["a101b202c30300040005", "0001", "ff00", "", None]
+    assert [r.k for r in df.collect()] == ["a1c3b2", "", "ff", "", None]
+    assert "substr" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -130,19 +130,21 @@ def check_banks(width: int, height: int) -> None:
         raise ValueError("banked maps have sides of a multiple of 32")
 
 
+def _bytes(hexes: Column) -> Column:
+    """The bytes of hex as an array, in one pass: a substring by its place is looked for from the start each time."""
+    return F.regexp_extract_all(hexes, F.lit("(..)"), F.lit(1))
+
+
 def banked(hexes: Column) -> Column:
     """Bytes of two-byte entries with all first bytes in front of all second ones; for maps that ``check_banks`` allows."""
-    at = F.sequence(F.lit(0), (F.length(hexes) / 4 - 1).cast("int"))
-    half = lambda k: F.array_join(F.transform(at, lambda i: F.substring(hexes, i * 4 + 2 * k + 1, F.lit(2))), "")
+    half = lambda k: F.array_join(F.filter(_bytes(hexes), lambda _, i: i % 2 == k), "")
     return F.when(F.length(hexes) < 4, hexes).otherwise(F.concat(half(0), half(1)))
 
 
 def interleaved(maps: Column, tiles: Column) -> Column:
     """Bytes of a map and of tiles in turn, the shorter filled up with zeros."""
-    size = F.greatest(F.length(maps), F.length(tiles))
-    a, b = F.rpad(maps, size, "0"), F.rpad(tiles, size, "0")
-    both = F.transform(F.sequence(F.lit(0), (size / 2 - 1).cast("int")), lambda i: F.concat(F.substring(a, i * 2 + 1, F.lit(2)), F.substring(b, i * 2 + 1, F.lit(2))))
-    return F.when(size == 0, F.lit("")).otherwise(F.array_join(both, ""))
+    both = F.zip_with(_bytes(maps), _bytes(tiles), lambda a, b: F.concat(F.coalesce(a, F.lit("00")), F.coalesce(b, F.lit("00"))))
+    return F.array_join(both, "")
 
 
 def as_json(entries: DataFrame, m: Mode) -> DataFrame:
