@@ -111,3 +111,18 @@ def test_odd_rows(spark, odd_docs):
     assert importance.resample(odd_docs, ids.limit(0)).where("log_weight != 0").count() == 0
     assert importance.resample(odd_docs.limit(0), ids).count() == 0
     assert importance.resample(odd_docs, ids, size=3).where("chosen").count() >= 3
+
+
+def test_texts_of_labels_are_found_without_a_shuffle_of_all_texts(spark):
+    """However large the tables are: only the samples of ids are sent, and only labelled texts are dealt out."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = spark.createDataFrame([(i, f"text {i % 7}") for i in range(50)], "target long, text string")
+        kinds = [spark.range(k, 50, 5).toDF("target") for k in (0, 1)]
+        found = importance.labelled_texts(texts, kinds, [10, 10])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(map(tuple, found.collect())) == sorted((f"text {i}", k) for i in range(7) for k in (0, 1))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

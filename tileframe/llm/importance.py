@@ -95,17 +95,23 @@ def _picked(ids: DataFrame, sample: int, n: int) -> DataFrame:
     return ids.where(F.pmod(F.xxhash64("target"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20)))
 
 
+def labelled_texts(texts: DataFrame, kinds: list[DataFrame], ns: list[int]) -> DataFrame:
+    """(text, kind): the texts (target, text) of about MARKED_SAMPLE of the ``ns`` ids of each kind, equal texts once.
+
+    The samples bound what is broadcast; the hint stands on their union, as those of its parts don't count in a join.
+    """
+    some = [_picked(ids, MARKED_SAMPLE, n).withColumn("kind", F.lit(k)) for k, (ids, n) in enumerate(zip(kinds, ns, strict=True))]
+    rows = texts.select("target", F.col("text").cast("string").alias("text"))
+    return rows.join(F.broadcast(some[0].union(some[1])), "target").select("text", "kind").distinct()
+
+
 def shun_model(texts: DataFrame, kinds: list[DataFrame], ns: list[int]) -> Markers | None:
-    """What tells texts to shun from target texts, from the texts (target, text) of about MARKED_SAMPLE ids of each kind (target ones, to shun), equal
-    texts once; none unless there are both."""
+    """What tells texts to shun from target texts, from labelled texts of each kind (target ones, to shun); none unless there are both."""
     from .markers import Markers
 
     if not all(ns):
         return None
-    some = [F.broadcast(_picked(ids, MARKED_SAMPLE, n).withColumn("kind", F.lit(k))) for k, (ids, n) in enumerate(zip(kinds, ns, strict=True))]
-    rows = texts.select("target", F.col("text").cast("string").alias("text"))
-    labelled = checkpoint(some[0].union(some[1]).join(rows, "target").select("text", "kind").distinct())
-    return Markers(labelled, math.log(ns[1] / ns[0]))
+    return Markers(checkpoint(labelled_texts(texts, kinds, ns)), math.log(ns[1] / ns[0]))
 
 
 def weighed(docs: DataFrame, ratios: np.ndarray, text_col: str, shun: Markers | None, out: str) -> DataFrame:
