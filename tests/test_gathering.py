@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tileframe.operators import maps, tiles
+from tileframe.plans import many
 from tileframe.sources import png
 from tileframe.sources.events import event_pixels
 
@@ -49,3 +50,14 @@ def test_bytes_are_found_in_one_pass(spark):
     assert [r.i for r in df.collect()] == ["a101b202c30300040005", "0001", "ff00", "", None]
     assert [r.k for r in df.collect()] == ["a1c3b2", "", "ff", "", None]
     assert "substr" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pictures_of_many_modes_tell_their_colors_once(spark):
+    """Modes reduce the different colours of a kind of tile, not each of its pixels; tiles are gathered by plain keys."""
+    rows = [(5, x, y, ENDS[(x // 3) % 4]) for x in range(16) for y in range(9)]
+    asked = spark.createDataFrame([(5, 8, 8, 16, 9, None), (5, 16, 16, 16, 9, None)], "source_id long, tile_width int, tile_height int, width int, height int, problem string")
+    cut = many.sliced(spark.createDataFrame(rows, "source_id long, x int, y int, rgba long"), asked)
+    got = cut.collect()
+    assert sorted((r.tile_width, r.seq, r.uses) for r in got) == [(8, 0, 1), (8, 1, 1), (8, 2, 1), (8, 3, 1), (16, 0, 1)]
+    for r in got:
+        assert len(set(r.kinds)) == len(r.kinds) and [r.kinds[i] for i in r.at] == r.rgba

@@ -12,7 +12,7 @@ from ..plans.modes import Mode
 def slice_tiles(pixels: DataFrame, width: int | Column = 8, height: int | Column = 8, fill: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
     """(image_id, tx, ty, rgba): pixels gathered by tile, row by row; pixels that an edge tile lacks are ``fill``. Indices (idx) come along.
 
-    Sizes may be columns, which follow from image_id and are named in ``keys``. A pixel without
+    Sizes may be columns, which are named in ``keys``; these tell tiles apart like image_id and come along. A pixel without
     index is gathered as one number of its place and colour (0 to 2^32 - 1, or null).
     """
     x, y = F.col("x"), F.col("y")
@@ -32,7 +32,7 @@ def slice_tiles(pixels: DataFrame, width: int | Column = 8, height: int | Column
         return F.when(F.size("found") == size, F.transform("found", lambda f: value(f, name))).otherwise(F.transform(sequence, lambda i: F.coalesce(value(at(i), name), other))).alias(name)
 
     others = {"rgba": F.lit(fill).cast("long"), "idx": F.lit(0)}
-    return found.select("image_id", "tx", "ty", *[whole(c, others[c]) for c in own])
+    return found.select("image_id", *keys, "tx", "ty", *[whole(c, others[c]) for c in own])
 
 
 def slice_images(images: DataFrame, width: int = 8, height: int = 8, fill: int = 0) -> DataFrame:

@@ -81,17 +81,18 @@ def checked(asked: DataFrame, pixels: DataFrame) -> DataFrame:
 
 
 def sliced(pixels: DataFrame, asked: DataFrame) -> DataFrame:
-    """(source_id, tile_width, tile_height, seq, uses, places, rgba): the distinct tiles of pictures (source_id, x, y, rgba) in each size that ``asked`` (``checked``) has for them.
+    """(source_id, tile_width, tile_height, seq, uses, places, rgba, kinds, at): the distinct tiles of pictures (source_id, x, y, rgba) in each size that ``asked`` (``checked``) has for them.
 
     ``places`` are the numbers, columns and rows of a tile's places, row by row; ``seq`` is the first number.
+    ``kinds`` are its different colours and ``at`` which of them each pixel has, so a mode reduces each once.
     """
     sizes = asked.where("problem is null").select("source_id", "tile_width", "tile_height", F.ceil(F.col("width") / F.col("tile_width")).cast("int").alias("across")).distinct()
-    rows = pixels.join(sizes, "source_id").withColumn("image_id", F.struct("source_id", "tile_width", "tile_height", "across"))
-    cut = tiles.slice_tiles(rows, F.col("tile_width"), F.col("tile_height"), keys=("tile_width", "tile_height"))
-    cut = cut.select("image_id.*", "tx", "ty", "rgba")
+    rows = pixels.join(sizes, "source_id").withColumnRenamed("source_id", "image_id")
+    cut = tiles.slice_tiles(rows, F.col("tile_width"), F.col("tile_height"), keys=("tile_width", "tile_height", "across")).withColumnRenamed("image_id", "source_id")
     seq = F.col("ty") * F.col("across") + F.col("tx")
     found = cut.groupBy("source_id", "tile_width", "tile_height", "rgba").agg(F.sort_array(F.collect_list(F.struct(seq.alias("seq"), F.col("tx").alias("x"), F.col("ty").alias("y")))).alias("places"), F.count("*").alias("uses"))
-    return found.withColumn("seq", F.get("places", F.lit(0))["seq"])
+    found = found.withColumn("seq", F.get("places", F.lit(0))["seq"]).withColumn("kinds", F.array_distinct("rgba"))
+    return found.withColumn("at", F.transform("rgba", lambda c: F.array_position("kinds", c).cast("int") - 1))
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -115,10 +116,10 @@ def convert_many(pixels: DataFrame, requests: DataFrame) -> Conversion:
     asked = _kept(checked(settings(requests), pixels))
     cut = _kept(sliced(pixels, asked))
     own = cut.drop("places").join(asked.where("problem is null"), ["source_id", "tile_width", "tile_height"])
-    own = own.withColumn("reduced", F.transform("rgba", lambda c: reduced(c, F.col("bits"), F.col("gated"))))
+    own = own.withColumn("of", F.transform("kinds", lambda c: reduced(c, F.col("bits"), F.col("gated")))).withColumn("reduced", F.transform("at", lambda i: F.get("of", i)))
     corner = F.coalesce("given", F.get("rgba", F.lit(0)))
     own = _kept(own.select(
-        "image_id", "seq", "uses", "reduced", F.sort_array(F.array_distinct("reduced")).alias("colors"), "tile_width", "tile_height", "flip", "discard", "mapped",
+        "image_id", "seq", "uses", "reduced", F.sort_array(F.array_distinct("of")).alias("colors"), "tile_width", "tile_height", "flip", "discard", "mapped",
         F.when(F.col("primed") & (F.col("seq") == 0), reduced(corner, F.col("bits"), F.col("gated"))).alias("first"), "primed", "bpp", "most_palettes", "reach", "most_tiles",
     ))
     found = _kept(_palettes(own).unionByName(asked.where("problem is not null").selectExpr("image_id", "cast(null as array<array<long>>) as palettes", "problem")))

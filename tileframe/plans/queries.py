@@ -812,7 +812,7 @@ def convert_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps of each picture in all sixteen modes, in one job; a mode without palettes matches no tile, sprites have no maps."""
     pictures = event_pixels(spark, sf_dir).withColumnRenamed("image_id", "source_id")
     asked = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("mode")) for k, name in enumerate(MODES)])).alias("asked")
-    requests = pictures.select("source_id").distinct().select("source_id", asked).select("source_id", (F.col("source_id") * 16 + F.col("asked.k")).alias("image_id"), "asked.mode")
+    requests = event_tiles(spark, sf_dir).select(F.col("image_id").alias("source_id")).distinct().select("source_id", asked).select("source_id", (F.col("source_id") * 16 + F.col("asked.k")).alias("image_id"), "asked.mode")
     return convert_many(pictures, requests).entries
 
 
