@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from tileframe.llm import simhash
 from tileframe.llm.components import connected_components
@@ -87,3 +88,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100), (200, 201), (201, 200), (203, 201)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 51)} | {201: 200, 203: 200}
+
+
+def test_rows_at_anchors_are_never_broadcast(spark):
+    """They come from few fingerprints, by whose size planning would hold them for small."""
+    fps = spark.range(20_000).select(F.xxhash64("id").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).select("fp")
+    found = simhash.links(fps)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan

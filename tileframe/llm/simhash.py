@@ -103,13 +103,14 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
 
     Only anchors with a fingerprint at home and another one are looked at. An anchor of
     more than BLOCK rows is split: its rows fall into blocks by hash, and each pair of
-    blocks is a group of its own, so every pair is still compared.
+    blocks is a group of its own, so every pair is still compared. The join is never a
+    broadcast: the rows at anchors are sized by the fingerprints, of which they are 31 times as many.
     """
     if bits > 3:
         raise ValueError("two halves cover 3 differing bits at most")
     at = anchored(fps)
     busy = at.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0")
-    rows = at.join(busy.select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "anchor")
+    rows = at.hint("merge").join(busy.select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "anchor")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("own", own).withColumn("other", other)
