@@ -180,7 +180,8 @@ def _block_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame
     blocks = rows.groupBy("band").agg(F.ceil(F.sum(8 * F.col("size")) / BLOCK_BYTES).cast("int").alias("blocks"))
     rows = rows.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root").join(sets, "id")
+    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root")
+    rows = rows.hint("merge").join(sets, "id")  # sized as before they were spread over blocks, so never a broadcast
 
     def run(own: pa.Table) -> pa.Table:
         table = own.combine_chunks()
