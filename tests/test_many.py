@@ -1,5 +1,6 @@
 """Conversions to many modes at once, and tilesets that serve many images."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,29 @@ def test_a_conversion_cuts_its_pictures_once(spark):
         part.count()
         assert "InMemoryTableScan" in part._jdf.queryExecution().optimizedPlan().toString() or "InMemoryRelation" in part._jdf.queryExecution().optimizedPlan().toString()
     done.release()
+
+
+def test_tiles_of_a_map_are_not_drawn_in_filters(spark, pictures):
+    """Tiles are drawn once and kept: keys that a join wants not null would have them drawn again, for each line."""
+    done = convert_many(pictures, spark.createDataFrame([(1, 1, "snes"), (2, 2, "gb")], "image_id long, source_id long, mode string"))
+    plan = done.entries._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "array_position(" not in plan
+
+
+@pytest.mark.parametrize("width, height", [(8, 8), (16, 8), (8, 16), (16, 16)])
+def test_large_tiles_of_many_colors(spark, width, height):
+    """Up to 256 colours a tile, cells that are missing or have no colour, transparent pixels, mirrors and tiles of one picture in another place."""
+    rng = np.random.default_rng(width + 2 * height)
+    own = rng.integers(0, 1 << 24, (40, 56)).astype(np.int64) + (255 << 24)
+    own[:16, 16:32], own[:16, 32:48], own[16:32, :16] = own[:16, :16][:, ::-1], own[:16, :16][::-1], own[:16, :16][::-1, ::-1]
+    own[16:24, 16:24], own[3, 3:6], own[32:, 8:] = 0, 0, own[0, 0]
+    rows = pixels(spark, {1: own}).where("not (x between 24 and 31 and y between 16 and 31)")
+    wishes = {"tile_width": width, "tile_height": height, "bpp": 8, "max_palettes": 40}
+    requests = spark.createDataFrame([(1, 1, "snes", *wishes.values())], "image_id long, source_id long, mode string, tile_width int, tile_height int, bpp int, max_palettes int")
+    done, one = convert_many(rows.withColumnRenamed("image_id", "source_id"), requests), convert(rows, Options(mode="snes", **wishes))
+    assert told(done.tileset, "tile", "data", "canon", "uses", "palette") == told(one.tileset, "tile", "data", "canon", "uses", "palette")
+    columns = ["seq", "x", "y", "tile", "palette", "flip_h", "flip_v", "matched"]
+    # a tile of which no pixel is given has no row in either
+    assert told(done.entries, *columns) == told(one.entries, *columns)
+    assert {(r.seq, str(r.rgba)) for r in done.tiles.selectExpr("explode(places.seq) as seq", "rgba").collect()} == {(r.seq, str(r.rgba)) for r in one.tiles.collect()}
+    one.release()
